@@ -36,16 +36,19 @@ _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, index bytes, payload by
 _BITS, _MASK32, _LOW = np.uint64(16), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
 _S16, _S32 = np.uint64(16), np.uint64(32)
 _TOTAL = 1 << 16
-_CONTEXTS, _KNOWN_MOST, _NEW_LEAST = 1 << 18, 49_152, 64
+_CONTEXTS, _HASH_SHIFT, _KNOWN_MOST, _NEW_LEAST = 1 << 18, np.uint32(14), 49_152, 64
 
 
 class _Model:
-    """Predictions of order 2 and 1, frequencies of order 0, learned in batches."""
+    """Predictions of order 2 and 1, frequencies of order 0, learned in batches.
+
+    An entry of a prediction table is 4 * id + confidence.
+    """
 
     def __init__(self, alphabet: int):
         self.alphabet = alphabet
-        self.pred2, self.conf2 = np.full(_CONTEXTS, -1, np.int64), np.zeros(_CONTEXTS, np.int64)
-        self.pred1, self.conf1 = np.full(alphabet + 1, -1, np.int64), np.zeros(alphabet + 1, np.int64)
+        self.order2 = np.full(_CONTEXTS, 4 * _TOTAL, np.int32)  # no id is predicted yet
+        self.order1 = np.full(alphabet, 4 * _TOTAL, np.int32)
         self.counts = np.zeros(alphabet, np.int64)
         self.cases = np.tile(np.array([8, 4, 4], np.int64), (32, 1))
         self._tables()
@@ -53,7 +56,8 @@ class _Model:
     def _tables(self) -> None:
         share = self.cases * (_TOTAL - 3) // self.cases.sum(1, keepdims=True) + 1
         share[:, 2] += _TOTAL - share.sum(1)
-        self.share0, self.share1 = share[:, 0].astype(np.uint64), share[:, 1].astype(np.uint64)
+        self.case_freq = share.reshape(-1).astype(np.uint64)
+        self.case_start = (np.cumsum(share, 1) - share).reshape(-1).astype(np.uint64)
         counts = self.counts
         while np.count_nonzero(counts) > _KNOWN_MOST:
             counts = counts >> 1
@@ -65,26 +69,28 @@ class _Model:
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
         symbols = np.append(known, self.alphabet)
-        self.slots = np.repeat(symbols, freq[symbols])
+        self.slots = np.repeat(symbols.astype(np.int32), freq[symbols])
 
     def look(self, p2: np.ndarray, p1: np.ndarray):
-        h = ((p1 * 0x9E3779B1 + p2 * 0x85EBCA6B) >> 7) & (_CONTEXTS - 1)
-        a, b = self.pred2[h], self.pred1[p1]
-        return h, a, b, self.conf2[h] * 4 + self.conf1[p1] + 16 * (a == b)
+        """(order-2 slot, its id, order 1's id, context of the case) for each lane."""
+        h = (p1 * np.uint32(0x9E3779B1) + p2 * np.uint32(0x85EBCA6B)) >> _HASH_SHIFT
+        e2, e1 = self.order2[h], self.order1[p1]
+        a, b = e2 >> 2, e1 >> 2
+        return h, a, b, ((e2 & 3) << 2) + (e1 & 3) + ((a == b) << 4)
 
     @staticmethod
-    def _learn(pred: np.ndarray, conf: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
-        held, sure = pred[at], conf[at]
-        hit = held == ids
-        pred[at] = np.where(hit | (sure > 0), held, ids)
-        conf[at] = np.where(hit, np.minimum(sure + 1, 3), np.maximum(sure - 1, 0))
+    def _learn(entries: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
+        held = entries[at]
+        sure = held & 3
+        missed = np.where(sure > 0, held - 1, ids << 2)
+        entries[at] = np.where(held >> 2 == ids, held + (sure < 3), missed)
 
     def learn(self, batch: list[tuple]) -> None:
-        h, p1, ctx, case, ids = (np.concatenate(x) for x in zip(*batch))
-        self._learn(self.pred2, self.conf2, h, ids)
-        self._learn(self.pred1, self.conf1, p1, ids)
+        h, p1, case, ids = (np.concatenate(x) for x in zip(*batch))
+        self._learn(self.order2, h, ids)
+        self._learn(self.order1, p1, ids)
         self.counts += np.bincount(ids, minlength=self.alphabet)
-        self.cases += np.bincount(ctx * 3 + case, minlength=96).reshape(32, 3)
+        self.cases += np.bincount(case, minlength=96).reshape(32, 3)
         self._tables()
 
 
@@ -94,7 +100,7 @@ def _lanes(n: int) -> tuple[int, int, int]:
 
 
 def _learns(step: int) -> bool:
-    return step & (step - 1) == 0 or step % 8 == 0
+    return step & (step - 1) == 0 or step % 16 == 0
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -105,11 +111,11 @@ def encode_block(ids: np.ndarray) -> bytes:
     sizes[:extra] += 1
     at = np.cumsum(sizes) - sizes
     alphabet = int(min(ids.max(initial=0), _TOTAL - 1)) + 1
-    model, ids = _Model(alphabet), ids.astype(np.int64)
+    model = _Model(alphabet)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
     steps = base + (extra > 0)
     out, pos = np.zeros((4 * steps + 2, lanes), np.uint32), np.zeros(lanes, np.int64)
-    p1, p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    p1, p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def code(who, start, freq):
         nonlocal low, rng
@@ -127,28 +133,28 @@ def encode_block(ids: np.ndarray) -> bytes:
     batch = []
     for step in range(steps):
         m = lanes if step < base else extra
-        x, live = ids[at[:m] + step], slice(0, m)
-        q1 = p1[:m]
-        h, a, b, ctx = model.look(p2[:m], q1)
+        x, q1 = ids[at[:m] + step], p1[:m]
+        kept = np.minimum(x, alphabet - 1)
+        h, a, b, context = model.look(p2[:m], q1)
         case = np.where(x == a, 0, np.where(x == b, 1, 2))
-        s0, s1 = model.share0[ctx], model.share1[ctx]
-        start = np.where(case == 0, np.uint64(0), np.where(case == 1, s0, s0 + s1))
-        freq = np.where(case == 0, s0, np.where(case == 1, s1, np.uint64(_TOTAL) - s0 - s1))
-        code(live, start, freq)
+        k = context * 3 + case
+        code(slice(0, m), model.case_start[k], model.case_freq[k])
         rest = np.flatnonzero(case == 2)
         if len(rest):
             y = x[rest]
-            known = y < alphabet
-            symbol = np.where(known, y, alphabet)
-            symbol = np.where(model.freq[symbol] > 0, symbol, alphabet)
-            code(rest, model.start[symbol], model.freq[symbol])
+            symbol = np.minimum(y, alphabet)
+            freq = model.freq[symbol]
+            new = np.flatnonzero(freq == 0)
+            symbol[new] = alphabet
+            freq[new] = model.freq[alphabet]
+            code(rest, model.start[symbol], freq)
             new = rest[symbol == alphabet]
             if len(new):
-                for half in (x[new] >> 16, x[new] & 0xFFFF):
-                    code(new, half.astype(np.uint64), np.ones(len(new), np.uint64))
-        kept = np.minimum(x, alphabet - 1)
-        batch.append((h, q1.copy(), ctx, case, kept))
-        p2[:m], p1[:m] = q1, kept
+                one = np.ones(len(new), np.uint64)
+                code(new, (x[new] >> 16).astype(np.uint64), one)
+                code(new, (x[new] & 0xFFFF).astype(np.uint64), one)
+        batch.append((h, q1, k, kept.astype(np.int32)))
+        p2, p1 = q1, kept
         if _learns(step + 1):
             model.learn(batch)
             batch = []
@@ -184,7 +190,7 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
 
     def value(who):
         r = rng[who] >> _BITS
-        return r, np.minimum(code[who] // r, np.uint64(_TOTAL - 1))
+        return r, np.minimum(code[who] // r, np.uint64(_TOTAL - 1)).astype(np.int64)
 
     def take(who, r, start, freq):
         left, width = code[who] - r * start, r * freq
@@ -198,37 +204,36 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
     sizes = np.full(lanes, base)
     sizes[:extra] += 1
     at = np.cumsum(sizes) - sizes
-    ids = np.zeros(n, np.int64)
-    p1, p2, batch = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), []
+    ids = np.zeros(n, np.uint32)
+    p1, p2, batch = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), []
     for step in range(base + (extra > 0)):
         m = lanes if step < base else extra
         live, q1 = slice(0, m), p1[:m]
-        h, a, b, ctx = model.look(p2[:m], q1)
-        s0, s1 = model.share0[ctx], model.share1[ctx]
-        r, v = value(live)
-        case = (v >= s0).astype(np.int64) + (v >= s0 + s1)
-        start = np.where(case == 0, np.uint64(0), np.where(case == 1, s0, s0 + s1))
-        freq = np.where(case == 0, s0, np.where(case == 1, s1, np.uint64(_TOTAL) - s0 - s1))
-        take(live, r, start, freq)
-        x = np.where(case == 0, a, b)
+        h, a, b, context = model.look(p2[:m], q1)
+        k = context * 3
+        r, c = rng[live] >> _BITS, code[live]
+        case = (c >= r * model.case_start[k + 1]).astype(np.int32) + (c >= r * model.case_start[k + 2])
+        k += case
+        take(live, r, model.case_start[k], model.case_freq[k])
+        x = np.where(case == 0, a, b).astype(np.uint32)
         rest = np.flatnonzero(case == 2)
         if len(rest):
             r, v = value(rest)
-            symbol = model.slots[v.astype(np.int64)]
+            symbol = model.slots[v]
             take(rest, r, model.start[symbol], model.freq[symbol])
             x[rest] = symbol
             new = rest[symbol == alphabet]
             if len(new):
-                whole = np.zeros(len(new), np.int64)
-                for _ in range(2):
-                    r, v = value(new)
-                    take(new, r, v, np.ones(len(new), np.uint64))
-                    whole = (whole << 16) | v.astype(np.int64)
-                x[new] = whole
+                one = np.ones(len(new), np.uint64)
+                r, high = value(new)
+                take(new, r, high.astype(np.uint64), one)
+                r, low = value(new)
+                take(new, r, low.astype(np.uint64), one)
+                x[new] = (high << 16) | low
         ids[at[:m] + step] = x
-        kept = np.minimum(x, alphabet - 1)
-        batch.append((h, q1.copy(), ctx, case, kept))
-        p2[:m], p1[:m] = q1, kept
+        kept = np.minimum(x, np.uint32(alphabet - 1))
+        batch.append((h, q1, k, kept.astype(np.int32)))
+        p2, p1 = q1, kept
         if _learns(step + 1):
             model.learn(batch)
             batch = []

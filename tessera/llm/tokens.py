@@ -46,6 +46,13 @@ _GLUED_PIECES = regex.compile(rf" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE
 _DROPPED_PIECES = regex.compile(rf"[^{WHITE_SPACE}]+")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level models write for each byte: itself where it prints, else from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class _Tier(dict):
     """Value of each piece; a piece that is missing is split, looked up and kept."""
 
@@ -82,18 +89,26 @@ class PieceEncoder:
         split_head, split_tail = (self._head_pieces, self._tail_pieces) if glued else (self._dropped_pieces, None)
         self.head = _Tier(split_head, self.encode_whole)
         self.tail = _Tier(split_tail, lambda piece: self.encode_whole(" " + piece)) if glued else None
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def encode_whole(self, text: str):
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return len(ids) if self.lengths_only else array("I", ids).tobytes()
 
+    def _encode_part(self, part: str):
+        """A single pre-token, handed to the library's model past its pre-tokenizer."""
+        found = self.model.tokenize(part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
+        return len(found) if self.lengths_only else array("I", [x.id for x in found]).tobytes()
+
     def _head_pieces(self, piece: str):
         parts = _GLUED.findall(piece)
-        return self._sum([self.head[x] for x in parts]) if len(parts) > 1 else None
+        return self._sum([self.head[x] for x in parts]) if len(parts) > 1 else self._encode_part(piece)
 
     def _tail_pieces(self, piece: str):
         parts = _GLUED.findall(" " + piece)
-        if len(parts) < 2 or parts[0][:1] != " " or parts[0] == " ":
+        if len(parts) == 1:
+            return self._encode_part(" " + piece)
+        if parts[0][:1] != " " or parts[0] == " ":
             return None
         return self._sum([self.tail[parts[0][1:]], *[self.head[x] for x in parts[1:]]])
 
@@ -102,7 +117,9 @@ class PieceEncoder:
             return None  # its normal form and lower case are the library's business
         low = piece.lower()
         parts = _DROPPED.findall(low)
-        return self._sum([self.head[x] for x in parts]) if len(parts) != 1 or low != piece else None
+        if len(parts) == 1 and low == piece:
+            return self._encode_part(piece)
+        return self._sum([self.head[x] for x in parts])
 
     def _encode(self, text: str):
         if not text:
