@@ -75,7 +75,10 @@ def amended(filings: DataFrame, *, group: str, filed: str, form: str, original:
     less.
     """
     order = [F.col(filed), (F.col(form) == original).desc(), F.col(unique)]
-    numbered = segments(filings, group, order, F.col(form) == original)
+    above = F.lag(F.struct(F.col(filed), F.col(form) == original)).over(W.partitionBy(group).orderBy(*order))
+    again = above.eqNullSafe(F.struct(F.col(filed), F.lit(True)))  # originals of one day start one stretch
+    marked = filings.withColumn("_starts", (F.col(form) == original) & ~again)
+    numbered = segments(marked, group, order, F.col("_starts")).drop("_starts")
     before = F.max(filed).over(W.partitionBy(group).orderBy(F.col(filed).cast("timestamp").cast("long")).rangeBetween(W.unboundedPreceding, -1))
     numbered = numbered.withColumn("_before", before)
     heads = numbered.where((F.col(form) == original) | F.col("_before").isNull() | (F.datediff(F.col(filed), F.col("_before")) > days))
