@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,9 +147,8 @@ def _pack(batches):
 
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-    + [("part", pa.int32()), ("text", pa.string()), ("role", pa.string())]
 )
-_OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, text string, role string"
+_OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def edited_text(text: str, following: str) -> str:
@@ -172,10 +171,6 @@ def _compared(doc_id, text: str, own: np.ndarray, following: str, other: np.ndar
     )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
-
-
 def compare_with_next(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     """Each document against its edited text and the next document by descending doc_id.
 
@@ -183,44 +178,41 @@ def compare_with_next(docs: DataFrame, *, parts: int | None = None) -> DataFrame
     Null texts count as empty and null doc_ids come last; rows of one doc_id are
     ordered by their texts, descending.  An empty table gives an empty one.
 
-    Documents are range-partitioned once.  A task compares neighbours as they
-    stream by; only the first and last document of each partition leave it with
-    their texts, and each last one is then joined to the first of the next.
+    Documents are dealt once, to parts cut at quantiles of their order, so that
+    neighbours stream by within a task.  The first document of each part goes to
+    the part before it as well; that is one text per part.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    low = rows.agg(F.min("doc_id")).first()[0] or 0
+    fraction = F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(2**63))), 11) * F.lit(2.0**-53)  # of the tie's order
+    rows = rows.withColumn("key", -(F.coalesce(F.col("doc_id").cast("double"), F.lit(float(low) - 2.0)) + fraction))
+    found = rows.select("key").approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)
+    cuts = [-math.inf, *sorted(set(found)), math.inf]
+    if found:
+        placed = Bucketizer(splits=cuts, inputCol="key", outputCol="bucket").transform(rows).withColumn("part", F.col("bucket").cast("int"))
+    else:
+        placed = rows.withColumn("part", F.lit(0))
+    heads = placed.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("h")).select("part", "h.doc_id", "h.tie")
+    heads = sorted((tuple(r) for r in heads.collect()), key=lambda r: r[0])  # a row per part
+    before = [(heads[i - 1][0], doc_id, tie) for i, (_, doc_id, tie) in enumerate(heads)]
+    wanted = F.broadcast(spark.createDataFrame(before, "to_part int, head_id long, head_tie long"))
+    first = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("head_id")) & (rows["tie"] == F.col("head_tie")))
+    first = first.select("to_part", "doc_id", "tie", "text").dropDuplicates(["to_part"])
+    dealt = placed.select("part", F.lit(False).alias("is_next"), "doc_id", "tie", "text").unionByName(first.select(F.col("to_part").alias("part"), F.lit(True).alias("is_next"), "doc_id", "tie", "text"))
+    dealt = dealt.repartitionById(max(1, len(cuts) - 1), "part").sortWithinPartitions("part", "is_next", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
 
     def run(batches: Iterator[pa.RecordBatch]):
-        part, held, first = TaskContext.get().partitionId(), None, True
+        held = None
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for is_next, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = signature_hashes(text)
-                if first:
-                    out.append((doc_id, *[None] * 6, part, text, "first"))
-                    first = False
                 if held:
-                    out.append((*_compared(*held, text, own), part, None, "whole"))
-                held = (doc_id, text, own)
+                    out.append(_compared(*held, text, own))
+                held = None if is_next else (doc_id, text, own)
             if out:
-                yield _batch(out)
-        if held:
-            yield _batch([(held[0], *[None] * 6, part, held[1], "last")])
-
-    done = settle(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, _OUT_DDL), "spotsigs-next")
-    filled = sorted(r[0] for r in done.where("role = 'first'").select("part").collect())  # a number per partition
-    following = spark.createDataFrame([(p, filled[(i + 1) % len(filled)]) for i, p in enumerate(filled)] or [(-1, -1)], "part int, next_part int")
-    ends = done.where("role = 'last'").select("doc_id", "text", "part").join(F.broadcast(following), "part")
-    starts = done.where("role = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-
-    def finish(frames):
-        for pdf in frames:
-            for doc_id, text, after in zip(pdf["doc_id"], pdf["text"], pdf["next_text"]):
-                row = _compared(None if pd.isna(doc_id) else int(doc_id), text, signature_hashes(text), after, signature_hashes(after))
-                yield pd.DataFrame([row], columns=_OUT.names[:7]).astype({"doc_id": "Int64"})
-
-    columns = _OUT.names[:7]
-    edge = ends.join(starts, "next_part").select("doc_id", "text", "next_text").mapInPandas(finish, ", ".join(_OUT_DDL.split(", ")[:7]))
-    return done.where("role = 'whole'").select(*columns).unionByName(edge.select(*columns))
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT)
+
+    return dealt.select("is_next", "doc_id", "text").mapInArrow(run, _OUT_DDL)

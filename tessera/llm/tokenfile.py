@@ -33,9 +33,9 @@ from tessera.llm.tokens import encoder
 BLOCK_IDS, LANE_IDS, MOST_LANES = 1 << 20, 256, 4096
 MAGIC = b"TIDB"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, index bytes, payload bytes, crc of payload, crc of ids
-_BITS, _MASK32, _LOW = np.uint64(16), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
+_MASK32, _LOW = np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
 _S16, _S32 = np.uint64(16), np.uint64(32)
-_TOTAL = 1 << 16
+_TOTAL = 1 << 16  # of the shares of the cases, and of the frequencies of order 0; the coder's total is its square
 _CONTEXTS, _HASH_SHIFT, _KNOWN_MOST, _NEW_LEAST = 1 << 18, np.uint32(14), 49_152, 64
 
 
@@ -56,8 +56,11 @@ class _Model:
     def _tables(self) -> None:
         share = self.cases * (_TOTAL - 3) // self.cases.sum(1, keepdims=True) + 1
         share[:, 2] += _TOTAL - share.sum(1)
-        self.case_freq = share.reshape(-1).astype(np.uint64)
-        self.case_start = (np.cumsum(share, 1) - share).reshape(-1).astype(np.uint64)
+        ends = np.cumsum(share, 1)
+        self.case_start = ((ends - share) << 16).reshape(-1).astype(np.uint64)
+        self.case_freq = (share << 16).reshape(-1).astype(np.uint64)
+        self.end0, self.end1 = (ends[:, 0] << 16).astype(np.uint64), (ends[:, 1] << 16).astype(np.uint64)
+        self.rest = share[:, 2].astype(np.uint64)  # what order 0's frequencies are multiplied by
         counts = self.counts
         while np.count_nonzero(counts) > _KNOWN_MOST:
             counts = counts >> 1
@@ -99,8 +102,13 @@ def _lanes(n: int) -> tuple[int, int, int]:
     return lanes, n // lanes, n % lanes
 
 
+def _teaches(step: int) -> bool:
+    """Whether a step's ids are taught to the model: all at first, later every fourth."""
+    return step < 32 or step % 4 == 0
+
+
 def _learns(step: int) -> bool:
-    return step & (step - 1) == 0 or step % 16 == 0
+    return step & (step - 1) == 0 or step % 32 == 0
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -118,42 +126,43 @@ def encode_block(ids: np.ndarray) -> bytes:
     p1, p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def code(who, start, freq):
-        nonlocal low, rng
-        r = rng[who] >> _BITS
+        r = rng[who] >> _S32
         lo, width = low[who] + r * start, r * freq
         short = np.flatnonzero(width < _LOW)
-        if len(short):
+        while len(short):
             lane = short if isinstance(who, slice) else who[short]
-            out[pos[lane], lane] = lo[short] >> _S32
+            part = lo[short]
+            out[pos[lane], lane] = part >> _S32
             pos[lane] += 1
-            lo[short] = (lo[short] & _MASK32) << _S16
+            lo[short] = (part & _MASK32) << _S16
             width[short] <<= _S16
+            short = short[width[short] < _LOW]
         low[who], rng[who] = lo, width
 
     batch = []
     for step in range(steps):
         m = lanes if step < base else extra
         x, q1 = ids[at[:m] + step], p1[:m]
-        kept = np.minimum(x, alphabet - 1)
         h, a, b, context = model.look(p2[:m], q1)
         case = np.where(x == a, 0, np.where(x == b, 1, 2))
         k = context * 3 + case
-        code(slice(0, m), model.case_start[k], model.case_freq[k])
-        rest = np.flatnonzero(case == 2)
-        if len(rest):
-            y = x[rest]
-            symbol = np.minimum(y, alphabet)
-            freq = model.freq[symbol]
-            new = np.flatnonzero(freq == 0)
-            symbol[new] = alphabet
-            freq[new] = model.freq[alphabet]
-            code(rest, model.start[symbol], freq)
-            new = rest[symbol == alphabet]
-            if len(new):
-                one = np.ones(len(new), np.uint64)
-                code(new, (x[new] >> 16).astype(np.uint64), one)
-                code(new, (x[new] & 0xFFFF).astype(np.uint64), one)
-        batch.append((h, q1, k, kept.astype(np.int32)))
+        symbol = np.minimum(x, alphabet)
+        freq = model.freq[symbol]
+        unknown = freq == 0
+        if unknown.any():
+            symbol[unknown] = alphabet
+            freq[unknown] = model.freq[alphabet]
+        other, rest, start = case == 2, model.rest[context], model.case_start[k]
+        start = np.where(other, start + model.start[symbol] * rest, start)
+        code(slice(0, m), start, np.where(other, freq * rest, model.case_freq[k]))
+        new = np.flatnonzero(other & (symbol == alphabet))
+        if len(new):
+            one = np.full(len(new), _TOTAL, np.uint64)
+            code(new, (x[new] >> 16).astype(np.uint64) << _S16, one)
+            code(new, (x[new] & 0xFFFF).astype(np.uint64) << _S16, one)
+        kept = np.minimum(x, alphabet - 1)
+        if _teaches(step):
+            batch.append((h, q1, k, kept.astype(np.int32)))
         p2, p1 = q1, kept
         if _learns(step + 1):
             model.learn(batch)
@@ -189,16 +198,16 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
         code = (code << _S16) | word(every)
 
     def value(who):
-        r = rng[who] >> _BITS
-        return r, np.minimum(code[who] // r, np.uint64(_TOTAL - 1)).astype(np.int64)
+        r = rng[who] >> _S32
+        return r, np.minimum(code[who] // r, _MASK32)
 
     def take(who, r, start, freq):
         left, width = code[who] - r * start, r * freq
         short = np.flatnonzero(width < _LOW)
-        if len(short):
-            lane = every[who][short]
-            left[short] = (left[short] << _S16) | word(lane)
+        while len(short):
+            left[short] = (left[short] << _S16) | word(short if isinstance(who, slice) else who[short])
             width[short] <<= _S16
+            short = short[width[short] < _LOW]
         code[who], rng[who] = left, width
 
     sizes = np.full(lanes, base)
@@ -210,29 +219,30 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
         m = lanes if step < base else extra
         live, q1 = slice(0, m), p1[:m]
         h, a, b, context = model.look(p2[:m], q1)
-        k = context * 3
-        r, c = rng[live] >> _BITS, code[live]
-        case = (c >= r * model.case_start[k + 1]).astype(np.int32) + (c >= r * model.case_start[k + 2])
-        k += case
-        take(live, r, model.case_start[k], model.case_freq[k])
-        x = np.where(case == 0, a, b).astype(np.uint32)
-        rest = np.flatnonzero(case == 2)
-        if len(rest):
-            r, v = value(rest)
-            symbol = model.slots[v]
-            take(rest, r, model.start[symbol], model.freq[symbol])
-            x[rest] = symbol
-            new = rest[symbol == alphabet]
-            if len(new):
-                one = np.ones(len(new), np.uint64)
-                r, high = value(new)
-                take(new, r, high.astype(np.uint64), one)
-                r, low = value(new)
-                take(new, r, low.astype(np.uint64), one)
-                x[new] = (high << 16) | low
+        r, v = value(live)
+        end1, rest = model.end1[context], model.rest[context]
+        other = v >= end1
+        case = (v >= model.end0[context]).astype(np.int32) + other
+        k = context * 3 + case
+        slot = np.where(other, v - end1, np.uint64(0)) // rest
+        symbol = model.slots[np.minimum(slot, np.uint64(_TOTAL - 1)).astype(np.int64)]
+        start = np.where(other, end1 + model.start[symbol] * rest, model.case_start[k])
+        take(live, r, start, np.where(other, model.freq[symbol] * rest, model.case_freq[k]))
+        x = np.where(other, symbol, np.where(case == 0, a, b)).astype(np.uint32)
+        new = np.flatnonzero(other & (symbol == alphabet))
+        if len(new):
+            one = np.full(len(new), _TOTAL, np.uint64)
+            halves = []
+            for _ in range(2):
+                r, half = value(new)
+                half >>= _S16
+                take(new, r, half << _S16, one)
+                halves.append(half)
+            x[new] = (halves[0] << _S16) | halves[1]
         ids[at[:m] + step] = x
         kept = np.minimum(x, np.uint32(alphabet - 1))
-        batch.append((h, q1, k, kept.astype(np.int32)))
+        if _teaches(step):
+            batch.append((h, q1, k, kept.astype(np.int32)))
         p2, p1 = q1, kept
         if _learns(step + 1):
             model.learn(batch)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's cache; a full cache is emptied.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_200_000
 #: Rows that the table of frequent pre-tokens is taken from, and its entries.
 SAMPLE_ROWS, FREQUENT = 2_000, 20_000
 
@@ -105,6 +105,10 @@ class PieceEncoder:
         return self._sum([self.head[x] for x in parts]) if len(parts) > 1 else self._encode_part(piece)
 
     def _tail_pieces(self, piece: str):
+        if piece.isalpha():
+            return self._encode_part(" " + piece)
+        if piece[:-1].isalpha():  # a word and one sign that isn't a letter
+            return self._sum([self.tail[piece[:-1]], self.head[piece[-1]]])
         parts = _GLUED.findall(" " + piece)
         if len(parts) == 1:
             return self._encode_part(" " + piece)
