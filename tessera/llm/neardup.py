@@ -307,5 +307,6 @@ def deduplicated(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     _, classes = near_classes(docs, similar=similar)
     kept = classes.where("digest = kept_digest").select(F.col("digest").alias("key"), F.col("class_id").alias("kept_id"))
     full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("row_id"), digest_of(F.col("text")).alias("key"))
-    chosen = full.join(kept, "key").where(F.col("row_id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["key"])
+    # both columns are keys of the join, so a large group of copies isn't dealt to one task
+    chosen = full.join(kept, (full["key"] == kept["key"]) & full["row_id"].eqNullSafe(kept["kept_id"])).select("row", full["key"]).dropDuplicates(["key"])
     return chosen.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
