@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import digest_of, settle
+from tessera.llm.shared import digest_of, settle, slices
 
 #: Words of a shingle and the similarity that makes two texts near duplicates.
 SHINGLE, SIMILAR = 5, 0.8
@@ -261,7 +261,7 @@ def near_classes(docs: DataFrame, *, similar: float = SIMILAR, bands: int = BAND
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             texts = batch.column(2)
             found = band_hashes(texts, bands, rows)
             blank = pc.equal(pc.binary_length(pc.utf8_trim_whitespace(pc.fill_null(texts, ""))), 0).to_pylist()
@@ -277,7 +277,7 @@ def near_classes(docs: DataFrame, *, similar: float = SIMILAR, bands: int = BAND
     chosen = keyed.join(wanted, (keyed["digest"] == wanted["digest"]) & keyed["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
 
     def collect_sets(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             yield pa.record_batch({"node": batch.column(0), "items": pa.array(shingle_sets(batch.column(1)), pa.binary())})
 
     sets = chosen.select("digest", "text").mapInArrow(collect_sets, "node binary, items binary").dropDuplicates(["node"])

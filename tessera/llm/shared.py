@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,19 @@ def digest_of(column):
     return F.unhex(F.md5(F.coalesce(column, F.lit("")).cast("binary")))
 
 
+def slices(batch, column: int, most_bytes: int = 2 << 20):
+    """The batch in slices of at most ``most_bytes`` of text in a column, or of one row.
+
+    Arrays that a task builds from a slice stay small, however many rows a batch has.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start, done = 0, 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, done + most_bytes, side="right")))
+        yield batch.slice(start, end - start)
+        start, done = end, int(ends[end - 1])
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, with underscores before it until no column has that name."""
     lowered = {x.lower() for x in taken}
