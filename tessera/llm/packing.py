@@ -32,6 +32,8 @@ from tessera.llm.tokens import encoder
 
 #: Ranking slots over all rows; each length has one at least.
 SLOTS = 4096
+#: Entries of a worker's cache of pieces; it outlives the stage, beside whatever runs next.
+CACHE_ENTRIES = 600_000
 
 Pattern = list[tuple[int, int]]  # (length, times) from the start of the bin
 
@@ -157,7 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048,
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches):
-        enc, end = encoder(tokenizer_path), end_id.to_bytes(4, "little")
+        enc, end = encoder(tokenizer_path, entries=CACHE_ENTRIES), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -156,11 +156,11 @@ class PieceEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, *, lengths_only: bool = False) -> PieceEncoder:
+def encoder(path: str, *, lengths_only: bool = False, entries: int = CACHE_ENTRIES) -> PieceEncoder:
     """This worker's encoder for the file; it lives as long as the worker."""
-    key = (path, lengths_only)
+    key = (path, lengths_only, entries)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, lengths_only=lengths_only)
+        _ENCODERS[key] = PieceEncoder(path, lengths_only=lengths_only, entries=entries)
     return _ENCODERS[key]
 
 
