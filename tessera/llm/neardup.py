@@ -1,11 +1,12 @@
 """Near-duplicate classes: ProbMinHash, banding, exact verification.
 
-Texts are sets of shingles of five lower-cased white-space words; a repeated
-shingle weighs more.  Each shingle is an exponential arrival process whose rate
-is its weight; every arrival lands on one register of the signature, and a
-register keeps the shingle that arrived first.  Once a process is past the last
-register's time it can change nothing, so it ends early.  Two signatures agree
-on a register with the probability Jaccard of the weighted sets.  Groups of five
+Texts are sets of shingles of five lower-cased white-space words.  Each shingle
+is an exponential arrival process whose rate is its weight; every arrival lands
+on one register of the signature, and a register keeps the shingle that arrived
+first.  Once a process is past the last register's time it can change nothing, so
+it ends early.  Two signatures agree on a register with the probability Jaccard
+of the weighted sets.  Every distinct shingle weighs 1, however often it is
+repeated, so that this is the very Jaccard that is verified.  Groups of five
 registers are hashed to bands; texts that share a band are candidates, and all
 candidates of a bucket are compared by the exact Jaccard of their shingle sets.
 
@@ -92,8 +93,8 @@ def band_hashes(texts: pa.Array, bands: int = BANDS, rows: int = ROWS) -> np.nda
     """Signed 64-bit band hashes (texts x bands)."""
     row, items = shingles(texts)
     key = _mix(items + row.astype(np.uint64) * _G)  # tells equal shingles of different texts apart
-    _, at, times = np.unique(key, return_index=True, return_counts=True)
-    sig = prob_minhash(row[at], items[at], 1.0 + np.log(times), len(texts), bands * rows).reshape(len(texts), bands, rows)
+    _, at = np.unique(key, return_index=True)
+    sig = prob_minhash(row[at], items[at], np.ones(len(at)), len(texts), bands * rows).reshape(len(texts), bands, rows)
     out = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _G, (len(texts), bands)).copy()
     for i in range(rows):
         out = _mix(out + sig[:, :, i])

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -351,6 +352,18 @@ def test_near_duplicates_of_documents(spark, block, monkeypatch):
     assert Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect()) == Counter(want)
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    rng, rows = random.Random(3), []
+    for i in range(24):
+        n, times = ((70, 100), (70, 1000), (96, 1000))[i % 3]
+        base, line = ([f"w{rng.randrange(10**9)}" for _ in range(k)] for k in (n + 4, 12))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + line * times))]
+    want = brute_classes(rows)
+    assert all(c == i - i % 2 for i, c in want)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter(want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
