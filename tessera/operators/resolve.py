@@ -70,25 +70,27 @@ def undecided(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     return pairs.join(d, ["left_id", "right_id"], "left_anti")
 
 
-def connected(pairs: DataFrame, left: str = "left_id", right: str = "right_id", *, most_rounds: int = 50) -> DataFrame:
+def connected(pairs: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:
     """(id, group_id): the least id that each is connected to, over all pairs.
 
-    Each round takes the least of a node's and its neighbours' groups and looks
-    one group further; rounds are checkpointed to the shared folder.
+    Each round maps every node to whichever of itself and its neighbours is drawn
+    first and contracts the edges by that map, until none is left.  Draws are
+    hashes that differ by round, so a chain halves each round, whatever the order
+    of its ids; rounds are checkpointed to the shared folder.
     """
-    edges = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a != b")
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("group_id")).select(F.col("a").alias("id"), "group_id").checkpoint()
-    for _ in range(most_rounds):
-        near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("group_id").alias("near"))
-        stepped = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("group_id", "near").alias("next"))
-        further = stepped.select(F.col("id").alias("_of"), F.col("next").alias("_to"))
-        new = stepped.join(further, F.col("next") == F.col("_of"), "left").select("id", F.least("next", F.coalesce("_to", "next")).alias("group_id")).checkpoint()
-        moved = new.join(labels.withColumnRenamed("group_id", "was"), "id").where("group_id != was").isEmpty()
-        labels = new
-        if moved:
-            break
-    return labels
+    edges = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a != b").distinct().checkpoint()
+    found = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().withColumn("root", F.col("id"))
+    turn = 0
+    while not edges.isEmpty():
+        a, b = (F.struct(F.xxhash64(c, F.lit(turn)).alias("draw"), F.col(c).alias("id")) for c in ("a", "b"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = both.groupBy("a").agg(F.min(b).alias("near")).select(F.col("a").alias("root"), F.least(F.col("near"), a)["id"].alias("up")).checkpoint()
+        found = found.join(step, "root", "left").select("id", F.coalesce("up", "root").alias("root")).checkpoint()
+        up_a, up_b = step.select(F.col("root").alias("a"), F.col("up").alias("up_a")), step.select(F.col("root").alias("b"), F.col("up").alias("up_b"))
+        moved = edges.join(up_a, "a").join(up_b, "b").where("up_a != up_b")
+        edges = moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct().checkpoint()
+        turn += 1
+    return found.join(found.groupBy("root").agg(F.min("id").alias("group_id")), "root").select("id", "group_id")
 
 
 def cascade(entities: DataFrame, unique: str, steps: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small rows, with nulls, ties and gaps."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,16 @@ def test_connected_follows_chains(spark):
     assert all(got[i] == 1 for i in range(1, 21)) and got[60] == got[50] == 50
 
 
+def test_connected_follows_long_chains(spark):
+    ids = list(range(1001, 1401))
+    random.Random(5).shuffle(ids)
+    chains = [[*range(2, 61), 1], list(range(100, 400)), ids]
+    pairs = spark.createDataFrame([p for c in chains for p in zip(c, c[1:])], "left_id long, right_id long")
+    got = {r.id: r.group_id for r in resolve.connected(pairs).collect()}
+    assert got == {i: min(c) for c in chains for i in c}
+    assert resolve.connected(pairs.limit(0)).count() == 0
+
+
 def test_rounds_merge_greedily(spark):
     day = dt.datetime(2020, 1, 1)
     rows = [
