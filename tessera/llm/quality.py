@@ -67,7 +67,7 @@ def style(text: str) -> list[float]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = np.bincount(_KINDS[np.minimum(codes, len(_KINDS) - 1)], minlength=6)
     letters, shown = max(1, n[1] + n[2]), max(1, len(codes) - n[0])
-    distinct = set(words)
+    distinct = Counter(words)
     repeats = sum(map(str.__eq__, words, words[1:]))
     return [
         math.log1p(len(words)),
@@ -79,7 +79,7 @@ def style(text: str) -> list[float]:
         len(distinct) / len(words),
         shown / len(words) / 10,
         n[3] / shown,
-        max(map(words.count, list(distinct)[:3])) / len(words) if len(words) < 5000 else 0.0,
+        max(distinct.values()) / len(words),
     ]
 
 

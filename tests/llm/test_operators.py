@@ -300,6 +300,13 @@ def test_quality(spark, odd, none):
     assert kept.columns == odd.columns
 
 
+@pytest.mark.parametrize("n", [100, 6000])
+def test_top_share_is_of_all_words(n):
+    words = [f"w{i}" for i in range(n)] + ["most"] * n
+    assert quality.style(" ".join(words))[quality.STYLE.index("top_share")] == 0.5
+    assert quality.style(" ".join(words[::-1]))[quality.STYLE.index("top_share")] == 0.5
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 def shingle_set(text):
     w = (text or "").lower().split()
