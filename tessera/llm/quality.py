@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,17 @@ BEGINNINGS = (4, 5)
 PRECISION = 0.9
 STYLE = ("log_words", "upper", "symbols", "bangs", "bars", "repeats", "distinct", "word_length", "digits", "top_share")
 _WORD = re.compile(r"\w+")
+#: Two letters of Han or kana, which are written without blanks: a word of such texts.
+_UNSPACED = re.compile(r"([\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{2})(?=\w)")
 _PLAIN = ".,;:'\"-()?!"
+_PLAIN_WIDE = "、。「」『』・" + "".join(chr(ord(c) + 0xFEE0) for c in _PLAIN)  # of Han, kana and Hangul texts
+#: Code points that most texts stay below, and the end of all.
+_COMMON, _ALL = 0x3000, 0x110000
 
 
-def _character_kinds() -> np.ndarray:
-    kinds = np.full(0x3000, 1, np.uint8)  # 1: any other letter
+@cache
+def _character_kinds(end: int) -> np.ndarray:
+    kinds = np.full(end, 1, np.uint8)  # 1: any other letter
     for code in range(len(kinds)):
         c = chr(code)
         if c.isupper():
@@ -52,20 +59,20 @@ def _character_kinds() -> np.ndarray:
         elif c.isspace():
             kinds[code] = 0
         elif not c.isalnum():
-            kinds[code] = 4 if c in _PLAIN else 5
+            kinds[code] = 4 if c in _PLAIN or c in _PLAIN_WIDE else 5
     return kinds
 
 
-_KINDS = _character_kinds()
-
-
 def style(text: str) -> list[float]:
     """Numbers of STYLE for a whole text; all zero where it has no words."""
     words = text.split()
     if not words:
         return [0.0] * len(STYLE)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = np.bincount(_KINDS[np.minimum(codes, len(_KINDS) - 1)], minlength=6)
+    common = codes.max() < _COMMON
+    if not common:
+        words = _UNSPACED.sub(r"\1 ", text).split()
+    n = np.bincount(_character_kinds(_COMMON if common else _ALL)[codes], minlength=6)
     letters, shown = max(1, n[1] + n[2]), max(1, len(codes) - n[0])
     distinct = Counter(words)
     repeats = sum(map(str.__eq__, words, words[1:]))

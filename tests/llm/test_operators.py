@@ -307,6 +307,23 @@ def test_top_share_is_of_all_words(n):
     assert quality.style(" ".join(words[::-1]))[quality.STYLE.index("top_share")] == 0.5
 
 
+@pytest.mark.parametrize("text", ["春の朝、子どもたちは川の近くで遊んでいた。空は青く、風はまだ少し冷たい。", "아침에 아이들은 강가에서 놀았다. 하늘은 파랗고 바람은 아직 차갑다.", "春天的早晨，孩子们在河边玩耍。天空很蓝，风还有点冷。", "𠀀𠀁𠀂 𠀃𠀄"])
+def test_letters_past_the_latin_scripts(text):
+    got = dict(zip(quality.STYLE, quality.style(text)))
+    assert got["symbols"] == got["upper"] == 0.0
+    assert got["top_share"] < 0.5 and got["word_length"] < 0.5
+    assert quality.style("Ｓｐａｍ ＮＯＷ ７")[quality.STYLE.index("upper")] == 4 / 7
+    assert quality.style("春 😀 ★")[quality.STYLE.index("symbols")] == 2 / 3
+
+
+def test_clean_texts_past_the_latin_scripts_are_kept(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    for text in ("春の朝、子どもたちは川の近くで遊んでいた。空は青く、風はまだ少し冷たい。", "春天的早晨，孩子们在河边玩耍。天空很蓝，风还有点冷。", "아침에 아이들은 강가에서 놀았다. 하늘은 파랗고 바람은 아직 차갑다."):
+        assert model.evidence(text)[0] < 0
+    assert model.evidence("★☆" * 40)[0] > 0
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 def shingle_set(text):
     w = (text or "").lower().split()
