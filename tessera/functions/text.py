@@ -59,6 +59,31 @@ def best_window(quote: str, source: str) -> float:
     return best
 
 
+def quote_candidates(quotes: DataFrame, sources: DataFrame, *, quote: str = "quote", source: str = "content", enough: float = 0.9) -> DataFrame:
+    """Distinct (item_id, doc_id) of ``quotes`` and ``sources`` that verify_quotes can match; none is missed.
+
+    A window with Dice d of word pairs shares at least d / (2 - d) of the quote's
+    pairs, and a source that holds the quote word for word all but the first and
+    the last, which may be parts of longer words there.  Quotes of three words or
+    fewer have no pair to rely on then; they are looked for in every source.
+    """
+
+    def pairs(df: DataFrame, unique: str, text: str) -> DataFrame:
+        words = df.select(unique, F.split(match_form(F.col(text)), " ").alias("w")).where(F.size("w") > 1)
+        at = F.sequence(F.lit(1), F.size("w") - 1)
+        each = F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1))))
+        return words.select(unique, F.explode(each).alias("pair"))
+
+    own = pairs(quotes, "item_id", quote)
+    sizes = own.groupBy("item_id").agg(F.count("*").alias("n"))
+    shared = own.join(pairs(sources, "doc_id", source), "pair").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    least = F.least(F.ceil(F.col("n") * (enough / (2 - enough)) - 1e-9), F.col("n") - 2)
+    near = shared.join(sizes, "item_id").where(F.col("shared") >= least).select("item_id", "doc_id")
+    short = quotes.select("item_id", match_form(F.col(quote)).alias("_q")).where((F.col("_q") != "") & (F.size(F.split("_q", " ")) <= 3))
+    held = sources.select("doc_id", match_form(F.col(source)).alias("_s")).join(short, F.contains("_s", "_q")).select("item_id", "doc_id")
+    return near.unionByName(held).distinct()
+
+
 def verify_quotes(claims: DataFrame, *, quote: str = "quote", source: str = "content", enough: float = 0.9) -> DataFrame:
     """Add similarity (1 where the source holds the quote, else the best window) and matched.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import money, names, text, web
 from tessera.operators import keyed, relational, resolve, rounds
+from tessera.plans import textual
 from tessera.streaming import events
 
 
@@ -92,6 +93,17 @@ def test_best_window():
     assert text.best_window("one two three four", "nothing of the kind is here") < 0.5
 
 
+def test_quotes_in_many_documents(spark, tmp_path):
+    quote = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(30)]
+    near = [*quote[:29], "changed"]
+    texts = [" ".join(quote[::-1] * 3)] * 4 + ["before " + " ".join(quote) + " after"] * 6 + ["x " + " ".join(near), "bob" + " ".join(quote) + "s", "a tea cup", "the cup"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(quote)), (2, "Tea cup"), (3, "..."), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = textual.quote_checks(spark, str(tmp_path)).where("matched").collect()
+    want = [(i, d) for i, q in ((1, " ".join(quote)), (2, "tea cup")) for d, s in enumerate(texts) if q in s or text.best_window(q, s) >= 0.9]
+    assert sorted((r.item_id, r.doc_id) for r in got) == want and len(want) == 9
+
+
 def test_streams(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     at = dt.datetime(2024, 1, 1)
