@@ -123,3 +123,12 @@ def spread_pick(df: DataFrame, bucket: str, order: Sequence[Column], n: int) ->
     """``n`` rows taken in turn from the buckets, each in its order."""
     turn = df.withColumn("_turn", F.row_number().over(W.partitionBy(bucket).orderBy(*order)))
     return turn.orderBy("_turn", bucket).limit(n).drop("_turn")
+
+
+def every_pair(left: DataFrame, right: DataFrame, left_key: str, right_key: str, *, block: int = 2048) -> DataFrame:
+    """All pairs of rows of two tables, joined by cells of about ``block`` rows of each, so neither has to fit a task."""
+    m, n = (max(1, -(-df.count() // block)) for df in (left, right))
+    turns = {"_i": F.sequence(F.lit(0), F.lit(m - 1)), "_j": F.sequence(F.lit(0), F.lit(n - 1))}
+    a = left.withColumn("_i", F.pmod(F.xxhash64(left_key), F.lit(m)).cast("int")).withColumn("_j", F.explode(turns["_j"]))
+    b = right.withColumn("_j", F.pmod(F.xxhash64(right_key), F.lit(n)).cast("int")).withColumn("_i", F.explode(turns["_i"]))
+    return a.join(b, ["_i", "_j"]).drop("_i", "_j")

@@ -63,10 +63,14 @@ def hybrid_lookalikes(spark, sf_dir):
     """
 )
 def preference_match(spark, sf_dir):
-    """Match of every vector with each user's centroid, for users with three signals or more."""
+    """Match of every vector with each user's centroid, for users with three signals or more.
+
+    As the SQL has it, a user's signals are the vectors of the label whose ids are
+    divisible by 3; the tables have no others.
+    """
     e = table(spark, sf_dir, "embeddings")
     users = vectors.centroids(e.where("vec_id % 3 = 0"), ["label"], "embedding").where("signal_count >= 3").withColumnRenamed("label", "user_id")
-    pairs = e.select(F.col("vec_id").alias("id"), "embedding").crossJoin(F.broadcast(users))  # a row per user of the report, ten
+    pairs = ops.every_pair(e.select(F.col("vec_id").alias("id"), "embedding"), users, "id", "user_id")
     return pairs.select("id", "user_id", vectors.percent(F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 9)).alias("match_pct"))
 
 

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tessera.functions import money, names, text, web
 from tessera.operators import keyed, relational, resolve, rounds
-from tessera.plans import textual
+from tessera.plans import scoring, textual
 from tessera.streaming import events
 
 
@@ -25,6 +26,15 @@ def test_first_per_keeps_k_rows(spark):
     assert got == [("", 2), ("a", 3), ("a", 4), ("b", 1)]
 
 
+def test_every_pair_in_blocks(spark):
+    left, right = spark.range(25).withColumnRenamed("id", "a"), spark.createDataFrame([(i,) for i in [*range(11), None]], "b long")
+    got = Counter((r.a, r.b) for r in relational.every_pair(left, right, "a", "b", block=4).collect())
+    assert got == Counter((a, b) for a in range(25) for b in [*range(11), None])
+    assert relational.every_pair(left, right.limit(0), "a", "b").count() == 0
+    plan = scoring.preference_match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "strategy=broadcast" not in plan
+
+
 def test_upsert_policies(spark):
     schema = "k string, a string, b array<string>, c boolean"
     old = spark.createDataFrame([("x", "1", ["p"], False), ("y", None, None, None), (None, "n", None, None)], schema)
