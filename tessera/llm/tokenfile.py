@@ -2,7 +2,9 @@
 
 A file is a run of blocks.  Each block starts from an empty model and carries
 checksums of its payload and of the ids it decodes to, so a damaged block is
-noticed and costs no other.  Within a block the ids are dealt in order to lanes,
+noticed and costs no other.  A block holds whole documents; only one that is
+longer than a block fills several, and those are read as one run.  Runs are
+independent, so readers are dealt runs, not files.  Within a block the ids are dealt in order to lanes,
 equal stretches that are coded side by side as numpy vectors; every lane has its
 own range coder, and all of them teach one model.
 
@@ -27,22 +29,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import open_for_read, open_for_write, scratch, settle
-from tessera.llm.tokens import encoder
+from tessera.llm.tokens import encoder, merges_by_rank
 
 #: Ids of a block, of a lane at least, and lanes of a block at most.
 BLOCK_IDS, LANE_IDS, MOST_LANES = 1 << 20, 256, 4096
+#: Steps of a lane after which the model learns; every id of every lane is taught.
+LEARN_EVERY = 16
+#: Ids that a reading task is to get at least, and such tasks at most; each takes its share of the runs.
+READ_IDS, MOST_READERS = 4 << 20, 100_000
 MAGIC = b"TIDB"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, index bytes, payload bytes, crc of payload, crc of ids
 _MASK32, _LOW = np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
 _S16, _S32 = np.uint64(16), np.uint64(32)
 _TOTAL = 1 << 16  # of the shares of the cases, and of the frequencies of order 0; the coder's total is its square
-_CONTEXTS, _HASH_SHIFT, _KNOWN_MOST, _NEW_LEAST = 1 << 18, np.uint32(14), 49_152, 64
+_CONTEXTS, _HASH_SHIFT, _KNOWN_MOST, _NEW_LEAST = 1 << 18, 14, 49_152, 64
+_FREQ, _S17 = np.uint64((1 << 17) - 1), np.uint64(17)
 
 
 class _Model:
     """Predictions of order 2 and 1, frequencies of order 0, learned in batches.
 
-    An entry of a prediction table is 4 * id + confidence.
+    An entry of a prediction table is 4 * id + confidence.  ``places`` holds the
+    frequency of each id under order 0 and, from bit 17 on, where its share
+    starts.  Whatever is used as an index is a 64-bit integer throughout.
     """
 
     def __init__(self, alphabet: int):
@@ -69,14 +78,13 @@ class _Model:
         if len(known):
             freq[known] = 1 + counts[known] * (_TOTAL - _NEW_LEAST - len(known)) // counts.sum()
         freq[-1] = _TOTAL - freq.sum()
-        self.freq = freq.astype(np.uint64)
-        self.start = (np.cumsum(freq) - freq).astype(np.uint64)
+        self.places = (freq | (np.cumsum(freq) - freq) << 17).astype(np.uint64)
         symbols = np.append(known, self.alphabet)
-        self.slots = np.repeat(symbols.astype(np.int32), freq[symbols])
+        self.slots = np.repeat(symbols, freq[symbols])
 
     def look(self, p2: np.ndarray, p1: np.ndarray):
         """(order-2 slot, its id, order 1's id, context of the case) for each lane."""
-        h = (p1 * np.uint32(0x9E3779B1) + p2 * np.uint32(0x85EBCA6B)) >> _HASH_SHIFT
+        h = ((p1 * 0x9E3779B1 + p2 * 0x85EBCA6B) & 0xFFFFFFFF) >> _HASH_SHIFT
         e2, e1 = self.order2[h], self.order1[p1]
         a, b = e2 >> 2, e1 >> 2
         return h, a, b, ((e2 & 3) << 2) + (e1 & 3) + ((a == b) << 4)
@@ -90,8 +98,9 @@ class _Model:
 
     def learn(self, batch: list[tuple]) -> None:
         h, p1, case, ids = (np.concatenate(x) for x in zip(*batch))
-        self._learn(self.order2, h, ids)
-        self._learn(self.order1, p1, ids)
+        short = ids.astype(np.int32)
+        self._learn(self.order2, h, short)
+        self._learn(self.order1, p1, short)
         self.counts += np.bincount(ids, minlength=self.alphabet)
         self.cases += np.bincount(case, minlength=96).reshape(32, 3)
         self._tables()
@@ -102,28 +111,24 @@ def _lanes(n: int) -> tuple[int, int, int]:
     return lanes, n // lanes, n % lanes
 
 
-def _teaches(step: int) -> bool:
-    """Whether a step's ids are taught to the model: all at first, later every fourth."""
-    return step < 32 or step % 4 == 0
-
-
 def _learns(step: int) -> bool:
-    return step & (step - 1) == 0 or step % 32 == 0
+    """Whether the model learns what it was taught since: soon at first, later every LEARN_EVERY steps."""
+    return step & (step - 1) == 0 or step % LEARN_EVERY == 0
 
 
 def encode_block(ids: np.ndarray) -> bytes:
     """Lane lengths and words of one block's ids (unsigned 32-bit)."""
     n = len(ids)
     lanes, base, extra = _lanes(n)
-    sizes = np.full(lanes, base)
-    sizes[:extra] += 1
-    at = np.cumsum(sizes) - sizes
+    steps, cut = base + (extra > 0), (base + 1) * extra  # the first ``extra`` lanes have an id more
+    grid = np.zeros((steps, lanes), np.int64)  # a row for each step
+    grid[:, :extra] = ids[:cut].reshape(extra, steps).T
+    grid[:base, extra:] = ids[cut:].reshape(lanes - extra, base).T
     alphabet = int(min(ids.max(initial=0), _TOTAL - 1)) + 1
     model = _Model(alphabet)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    steps = base + (extra > 0)
     out, pos = np.zeros((4 * steps + 2, lanes), np.uint32), np.zeros(lanes, np.int64)
-    p1, p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    p1, p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def code(who, start, freq):
         r = rng[who] >> _S32
@@ -142,27 +147,26 @@ def encode_block(ids: np.ndarray) -> bytes:
     batch = []
     for step in range(steps):
         m = lanes if step < base else extra
-        x, q1 = ids[at[:m] + step], p1[:m]
+        x, q1 = grid[step, :m], p1[:m]
         h, a, b, context = model.look(p2[:m], q1)
         case = np.where(x == a, 0, np.where(x == b, 1, 2))
         k = context * 3 + case
         symbol = np.minimum(x, alphabet)
-        freq = model.freq[symbol]
-        unknown = freq == 0
-        if unknown.any():
+        place = model.places[symbol]
+        unknown = np.flatnonzero((place & _FREQ) == 0)
+        if len(unknown):
             symbol[unknown] = alphabet
-            freq[unknown] = model.freq[alphabet]
+            place[unknown] = model.places[alphabet]
         other, rest, start = case == 2, model.rest[context], model.case_start[k]
-        start = np.where(other, start + model.start[symbol] * rest, start)
-        code(slice(0, m), start, np.where(other, freq * rest, model.case_freq[k]))
+        start = np.where(other, start + (place >> _S17) * rest, start)
+        code(slice(0, m), start, np.where(other, (place & _FREQ) * rest, model.case_freq[k]))
         new = np.flatnonzero(other & (symbol == alphabet))
         if len(new):
             one = np.full(len(new), _TOTAL, np.uint64)
             code(new, (x[new] >> 16).astype(np.uint64) << _S16, one)
             code(new, (x[new] & 0xFFFF).astype(np.uint64) << _S16, one)
         kept = np.minimum(x, alphabet - 1)
-        if _teaches(step):
-            batch.append((h, q1, k, kept.astype(np.int32)))
+        batch.append((h, q1, k, kept))
         p2, p1 = q1, kept
         if _learns(step + 1):
             model.learn(batch)
@@ -210,25 +214,24 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
             short = short[width[short] < _LOW]
         code[who], rng[who] = left, width
 
-    sizes = np.full(lanes, base)
-    sizes[:extra] += 1
-    at = np.cumsum(sizes) - sizes
-    ids = np.zeros(n, np.uint32)
-    p1, p2, batch = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), []
-    for step in range(base + (extra > 0)):
+    steps = base + (extra > 0)
+    grid = np.zeros((steps, lanes), np.int64)
+    p1, p2, batch = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), []
+    for step in range(steps):
         m = lanes if step < base else extra
         live, q1 = slice(0, m), p1[:m]
         h, a, b, context = model.look(p2[:m], q1)
         r, v = value(live)
         end1, rest = model.end1[context], model.rest[context]
         other = v >= end1
-        case = (v >= model.end0[context]).astype(np.int32) + other
+        case = (v >= model.end0[context]).astype(np.int64) + other
         k = context * 3 + case
         slot = np.where(other, v - end1, np.uint64(0)) // rest
         symbol = model.slots[np.minimum(slot, np.uint64(_TOTAL - 1)).astype(np.int64)]
-        start = np.where(other, end1 + model.start[symbol] * rest, model.case_start[k])
-        take(live, r, start, np.where(other, model.freq[symbol] * rest, model.case_freq[k]))
-        x = np.where(other, symbol, np.where(case == 0, a, b)).astype(np.uint32)
+        place = model.places[symbol]
+        start = np.where(other, end1 + (place >> _S17) * rest, model.case_start[k])
+        take(live, r, start, np.where(other, (place & _FREQ) * rest, model.case_freq[k]))
+        x = np.where(other, symbol, np.where(case == 0, a, b))
         new = np.flatnonzero(other & (symbol == alphabet))
         if len(new):
             one = np.full(len(new), _TOTAL, np.uint64)
@@ -239,15 +242,14 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
                 take(new, r, half << _S16, one)
                 halves.append(half)
             x[new] = (halves[0] << _S16) | halves[1]
-        ids[at[:m] + step] = x
-        kept = np.minimum(x, np.uint32(alphabet - 1))
-        if _teaches(step):
-            batch.append((h, q1, k, kept.astype(np.int32)))
+        grid[step, :m] = x
+        kept = np.minimum(x, alphabet - 1)
+        batch.append((h, q1, k, kept))
         p2, p1 = q1, kept
         if _learns(step + 1):
             model.learn(batch)
             batch = []
-    return ids.astype("<u4")
+    return np.concatenate([grid[:, :extra].T.reshape(-1), grid[:base, extra:].T.reshape(-1)]).astype("<u4")
 
 
 def write_block(out, index: list[tuple[int | None, int, bool]], ids: bytes) -> int:
@@ -263,9 +265,9 @@ def write_block(out, index: list[tuple[int | None, int, bool]], ids: bytes) -> i
     return _HEAD.size + len(table) + len(payload)
 
 
-def read_blocks(source):
-    """(index, ids) of each block of an open file; a block that fails its checksums raises."""
-    while head := source.read(_HEAD.size):
+def read_blocks(source, end: int | None = None):
+    """(index, ids) of each block from where an open file stands, up to ``end``; a block that fails its checksums raises."""
+    while (end is None or source.tell() < end) and (head := source.read(_HEAD.size)):
         magic, n, docs, table_size, size, stored, ids_crc = _HEAD.unpack(head)
         body = source.read(table_size + size)
         if magic != MAGIC or zlib.crc32(body) != stored:
@@ -278,61 +280,95 @@ def read_blocks(source):
         yield index, ids
 
 
+_MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("offset", pa.int64()), ("n_bytes", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64())])
+
+
+class _FileWriter:
+    """Blocks of one file and a manifest row for each run of them that can be read on its own."""
+
+    def __init__(self, path: str, part: int):
+        self.out, self.path, self.part = open_for_write(path), path, part
+        self.index, self.held, self.runs = [], bytearray(), []
+        self.at = self.ids = self.run_at = self.run_ids = self.docs = 0
+
+    def add(self, doc_id, ids: bytes) -> None:
+        room = 4 * BLOCK_IDS
+        if self.held and len(self.held) + len(ids) > room:
+            self.end_run()
+        self.docs += 1
+        for at in range(0, len(ids), room):
+            piece = ids[at : at + room]
+            self.index.append((doc_id, len(piece) // 4, at + room < len(ids)))
+            self.held += piece
+            if at + room < len(ids):
+                self._flush()
+
+    def _flush(self) -> None:
+        self.at += write_block(self.out, self.index, bytes(self.held))
+        self.ids += len(self.held) // 4
+        self.index, self.held = [], bytearray()
+
+    def end_run(self) -> None:
+        self._flush()
+        self.runs.append((self.part, self.path, self.run_at, self.at - self.run_at, self.run_ids, self.ids - self.run_ids, self.docs))
+        self.run_at, self.run_ids, self.docs = self.at, self.ids, 0
+
+    def close(self) -> pa.RecordBatch:
+        self.end_run()
+        self.out.close()
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*self.runs), _MANIFEST)], schema=_MANIFEST)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, files: int | None = None) -> DataFrame:
     """Encode every text, append ``end_id``, write files in ascending doc_id order.
 
-    Returns one row per file: part, path, n_docs, n_ids, n_bytes; parts follow the
-    order of doc_ids.  Names are new for each attempt of a task and only those
-    returned count, so repeated or lost tasks do no harm.
+    Returns one row per run of blocks: part, path, offset and n_bytes of the run,
+    first (ids of the file before it), n_ids, n_docs; parts follow the order of
+    doc_ids.  Names are new for each attempt of a task and only those returned
+    count, so repeated or lost tasks do no harm.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "token-files")
+    by_rank = merges_by_rank(tokenizer_path)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
     def write(batches):
-        enc, context, end = encoder(tokenizer_path), TaskContext.get(), end_id.to_bytes(4, "little")
-        part = context.partitionId()
-        path = f"{folder}/part-{part:06d}-{context.taskAttemptId()}.tid"
-        out, index, held, room, docs_n, ids_n, size = None, [], bytearray(), 4 * BLOCK_IDS, 0, 0, 0
+        enc, context, end = encoder(tokenizer_path, by_rank=by_rank), TaskContext.get(), end_id.to_bytes(4, "little")
+        part, out = context.partitionId(), None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out = out or open_for_write(path)
-                ids = enc.ids(text or "") + end
-                docs_n, ids_n, at = docs_n + 1, ids_n + len(ids) // 4, 0
-                while at < len(ids):
-                    part_ids = ids[at : at + room - len(held)]
-                    at += len(part_ids)
-                    index.append((doc_id, len(part_ids) // 4, at < len(ids)))
-                    held += part_ids
-                    if len(held) == room:
-                        size += write_block(out, index, bytes(held))
-                        index, held = [], bytearray()
+                out = out or _FileWriter(f"{folder}/part-{part:06d}-{context.taskAttemptId()}.tid", part)
+                out.add(doc_id, enc.ids(text or "") + end)
         if out:
-            if held:
-                size += write_block(out, index, bytes(held))
-            out.close()
-            yield pa.record_batch([[part], [path], [docs_n], [ids_n], [size]], schema=schema)
+            yield out.close()
 
     keys = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text")]
     ordered = docs.select(*keys).repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    return settle(ordered.select("doc_id", "text").mapInArrow(write, "part int, path string, n_docs long, n_ids long, n_bytes long"), "token-manifest")
+    written = ordered.select("doc_id", "text").mapInArrow(write, "part int, path string, offset long, n_bytes long, first long, n_ids long, n_docs long")
+    return settle(written, "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files' blocks."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files' blocks.
+
+    What comes to the driver is a row per file, for the number of ids before it.
+    """
     spark = manifest.sparkSession
     rows, base = [], 0
-    for part, path, n in sorted(tuple(r) for r in manifest.select("part", "path", "n_ids").collect()):  # a row per file
-        rows.append((path, base))
+    for part, n in sorted(tuple(r) for r in manifest.groupBy("part").agg(F.sum("n_ids")).collect()):
+        rows.append((part, base))
         base += n
+    bases = spark.createDataFrame(rows, "part int, base long")
+    runs = manifest.join(F.broadcast(bases), "part").select("path", "offset", "n_bytes", (F.col("base") + F.col("first")).alias("at"))
+    tasks = max(1, min(-(-base // READ_IDS), MOST_READERS))
 
     def read(frames):
         for pdf in frames:
-            for path, at in zip(pdf["path"], pdf["base"]):
+            for path, offset, size, at in zip(pdf["path"], pdf["offset"], pdf["n_bytes"], pdf["at"]):
                 with open_for_read(path) as source:
-                    start, crc = at, 0
-                    for index, ids in read_blocks(source):
+                    source.seek(int(offset))
+                    start, crc, end = at, 0, int(offset + size)
+                    for index, ids in read_blocks(source, end):
                         raw, i, done = memoryview(ids.tobytes()), 0, []
                         for doc_id, n, more in index:
                             crc = zlib.crc32(raw[4 * i : 4 * (i + n)], crc)
@@ -343,8 +379,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         out = pd.DataFrame(done, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
                         yield out.astype({"doc_id": "Int64"})
 
-    plan = spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)))
-    return plan.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return runs.repartition(tasks, "path", "offset").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def roundtrip(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2) -> DataFrame:

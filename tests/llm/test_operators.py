@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import media, mixing, neardup, packing, quality, spotsigs, tokenfile, tokens, url_filter, warc
+from tessera.llm import media, mixing, neardup, packing, quality, shared, spotsigs, tokenfile, tokens, url_filter, warc
 from tessera.llm.queries import URL_RULES
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -147,6 +147,7 @@ def test_spotsigs(odd, odd_rows, none):
         assert set(spotsigs.from_string(r.fingerprint).tolist()) == a and set(spotsigs.from_string(r.edited_fingerprint).tolist()) == b
         j = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
         assert r.near_edited == pytest.approx(j(a, b)) and r.near_next == pytest.approx(j(a, c))
+        assert r.edited_is_near == (j(a, b) >= 0.8) and r.next_is_near == (j(a, c) >= 0.8)
     assert by[5][0].fingerprint == by[6][0].fingerprint
     assert spotsigs.compare_with_next(none).count() == 0
 
@@ -165,10 +166,32 @@ def test_spotsigs_classes(odd, odd_rows):
 # 5, 7, 8 ------------------------------------------------------------------------------------------------------------
 def test_piece_encoder_is_exact(odd_rows):
     texts = [r[1] or "" for r in odd_rows] + ["\x1c a\x1cb", " lead", "trail ", "a\n b", "ΑΣ İ ǅ don't X'S 12½²", "é é", " x　y", "!!", "'s", " 's"]
+    rng = random.Random(2)
+    signs = [*map(chr, range(0x20, 0x250)), "ing", "tion", "'s", "中", "😀", "\u0301", "İ", "ẞ", "\x85", "\xa0", "\x1c", "  ", "\n"]
+    texts += ["".join(rng.choice(signs) for _ in range(60)) for _ in range(4000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x20000)])) for _ in range(40)) for _ in range(4000)]
+    texts += ["".join(rng.choice(["a", "b", " ", "\n", "\t", "'s", "1", "!", "é", "中"]) for _ in range(80)) for _ in range(2000)] + ["a" * 30_000, "ab " * 30_000, " " * 5000 + "x"]
     for path in (BYTE, WORD):
-        enc, counts = tokens.PieceEncoder(path), tokens.PieceEncoder(path, lengths_only=True)
-        for text, want in zip(texts, ids_of(path, texts)):
-            assert np.frombuffer(enc.ids(text), "<u4").tolist() == want and counts.count(text) == len(want)
+        assert tokens.merges_by_rank(path)
+        want = ids_of(path, texts)
+        for by_rank in (False, True):
+            enc, counts = tokens.PieceEncoder(path, by_rank=by_rank), tokens.PieceEncoder(path, lengths_only=True, by_rank=by_rank, entries=3000)
+            counts.fix([(True, "tion", 1), (False, "ing", 1)] if path == BYTE else [(False, "ing", 1)])
+            for text, ids in zip(texts, want):
+                assert np.frombuffer(enc.ids(text), "<u4").tolist() == ids and counts.count(text) == len(ids)
+            assert len(counts.head) <= 2  # the first tier stays what it was
+
+
+def test_ranks_that_are_not_merges(tmp_path):
+    import json
+
+    spec = json.loads(open(BYTE, encoding="utf-8").read())
+    model = spec["model"]
+    kept = [m for m in model["merges"] if (m if isinstance(m, str) else " ".join(m)) != "t h"]
+    for name, changed in (("dropped", model | {"merges": kept}), ("unordered", model | {"merges": model["merges"][::-1]}), ("dropout", model | {"dropout": 0.1})):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | {"model": changed}), encoding="utf-8")
+        assert not tokens.merges_by_rank(str(path))
 
 
 def test_token_counts(odd, odd_rows, none):
@@ -226,6 +249,22 @@ def test_token_file(odd, odd_rows, none):
     assert tokenfile.roundtrip(none, BYTE).count() == 0
 
 
+def test_long_documents_fill_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 64)
+    sizes = [10, 50, 60, 63, 64, 65, 500, 3, 3]
+    folder = shared.scratch(spark, "runs")
+    writer = tokenfile._FileWriter(f"{folder}/a.tid", 0)
+    want, at = [], 0
+    for doc, n in enumerate(sizes):
+        ids = np.arange(at, at + n).astype("<u4").tobytes()
+        writer.add(doc, ids)
+        want.append((doc, at, n, zlib.crc32(ids)))
+        at += n
+    manifest = spark.createDataFrame(writer.close().to_pandas(), "part int, path string, offset long, n_bytes long, first long, n_ids long, n_docs long")
+    assert manifest.count() == 6  # one for each block of whole documents, and one for a longer document and what fits after it
+    assert sorted(map(tuple, tokenfile.read_token_files(manifest).collect())) == want
+
+
 def test_range_coder():
     rng = np.random.default_rng(0)
     cases = [np.zeros(1), np.arange(255), rng.integers(0, 2**32, 3000), np.arange(70_000), rng.zipf(1.3, 20_000) % 50_000, np.zeros(5000)]
