@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import settle
-from tessera.llm.tokens import encoder
+from tessera.llm.tokens import encoder, merges_by_rank
 
 #: Ranking slots over all rows; each length has one at least.
 SLOTS = 4096
@@ -155,11 +155,11 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and the end id, cut at the capacity."""
-    step = 4 * capacity
+    step, by_rank = 4 * capacity, merges_by_rank(tokenizer_path)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches):
-        enc, end = encoder(tokenizer_path, entries=CACHE_ENTRIES), end_id.to_bytes(4, "little")
+        enc, end = encoder(tokenizer_path, entries=CACHE_ENTRIES, by_rank=by_rank), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
