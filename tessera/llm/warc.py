@@ -1,11 +1,14 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
 Every record is a gzip member of its own, so a reader can start at any member.
-The reader is handed byte ranges.  A task looks for the gzip magic in its range,
-validates each candidate by inflating its beginning and checking for a WARC
-version line and headers, and owns the records that start inside its range; the
-last one may run past the end.  Compressed data that happens to hold the magic
-is thereby told from a real member.
+The reader is handed byte ranges.  A task scans for the gzip magic, validates each
+candidate by inflating its beginning and checking for a WARC version line and
+headers, and owns the records that start inside its range; the last one may run
+past the end.  Compressed data that happens to hold the magic is thereby told
+from a real member.  A payload may itself hold gzip records, stored as they are.
+So after a member the scan goes on at its end, and it starts before the range by
+as much as the archive's longest member: whatever lies inside a member of the
+range before is passed over with that member.
 
 Payloads equal to an earlier one are stored once: the record with the smallest
 page_id is the response, the others are revisit records that name it.
@@ -25,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import open_for_read, open_for_write, scratch, settle
+from tessera.llm.shared import open_for_read, open_for_write, scratch, settle, spread_join, whole_number
 
 #: Bytes of a range that one task of the reader is given, and of one read within it.
 SPLIT_BYTES, READ_BYTES = 8 << 20, 1 << 20
+#: Tasks that read ranges, at most; each takes its share of them.
+MOST_READERS = 100_000
 #: Payloads shorter than this are never revisits.
 REVISIT_LEAST = 100
 MAGIC = b"\x1f\x8b\x08"
@@ -43,18 +48,13 @@ def with_record_types(pages: DataFrame, *, least: int = REVISIT_LEAST) -> DataFr
     A null html is an empty payload.  Of rows that share page_id and payload all
     that have the smallest page_id are responses.  A null page_id sorts after
     every other, so it is a response only where its payload has no other page.
+    A page_id that isn't a whole number raises.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(whole_number(F.col("page_id")).alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    first = (
-        rows.where(F.length("payload") >= least)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("payload_digest", "first_id")
-    )
+    first = rows.groupBy("payload_digest").agg(F.min(F.when(F.length("payload") >= least, F.col("page_id"))).alias("first_id"), F.count("*").alias("n"))
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, "payload_digest", "left").select(
+    return spread_join(rows, settle(first, "payloads"), "payload_digest", "page_id").select(
         "page_id",
         "url",
         "payload",
@@ -101,41 +101,76 @@ def write_warc(records: DataFrame) -> DataFrame:
     def write(frames):
         context = TaskContext.get()
         path = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
-        out, n, size = None, 0, 0
+        out, n, size, longest = None, 0, 0, 0
         for batch in frames:
             columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")]
             for row in zip(*columns):
                 out = out or open_for_write(path)
                 data = record_bytes(*row)
                 out.write(data)
-                n, size = n + 1, size + len(data)
+                n, size, longest = n + 1, size + len(data), max(longest, len(data))
         if out:
             out.close()
-            yield pa.record_batch({"path": pa.array([path]), "n_records": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
-
-    return settle(records.mapInArrow(write, "path string, n_records long, n_bytes long"), "warc-manifest")
+            yield pa.record_batch({"path": pa.array([path]), "n_records": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "longest": pa.array([longest], pa.int64())})
 
+    return settle(records.mapInArrow(write, "path string, n_records long, n_bytes long, longest long"), "warc-manifest")
 
-def _starts_record(source, at: int, size: int) -> bool:
-    """Whether a gzip member at this offset begins with a WARC version line and a header."""
-    source.seek(at)
-    try:
-        head = zlib.decompressobj(31).decompress(source.read(min(4096, size - at)), 512)
-    except zlib.error:
-        return False
-    return head.startswith(_VERSION) and b"\r\n" in head and b":" in head.split(b"\r\n", 2)[1]
 
+class _Window:
+    """A stretch of a file in memory that moves forward; no byte is read twice."""
 
-def _inflate(source, at: int) -> bytes:
-    """The member at the offset; a member that is cut short or fails its checksum raises."""
-    source.seek(at)
-    engine, out = zlib.decompressobj(31), io.BytesIO()
-    while not engine.eof:
-        data = source.read(READ_BYTES // 16)
-        if not data:
-            raise ValueError(f"record at {at} is cut short")
-        out.write(engine.decompress(data))
-    return out.getvalue()
+    def __init__(self, source, at: int, size: int):
+        source.seek(at)
+        self.source, self.base, self.size, self.data = source, at, size, b""
+
+    def reach(self, end: int) -> None:
+        """Have the bytes up to ``end`` (or the file's end)."""
+        while self.base + len(self.data) < min(end, self.size):
+            more = self.source.read(READ_BYTES)
+            if not more:
+                self.size = self.base + len(self.data)
+            self.data += more
+
+    def drop(self, at: int) -> None:
+        """Forget what lies before ``at``."""
+        self.data, self.base = self.data[at - self.base :], at
+
+    def find(self, at: int, end: int) -> int:
+        """Offset of the next gzip magic in [at, end), else -1."""
+        while at < end:
+            self.drop(at)
+            self.reach(at + READ_BYTES)
+            hit = self.data.find(MAGIC)
+            if hit >= 0:
+                return at + hit if at + hit < end else -1
+            if self.base + len(self.data) >= self.size:
+                return -1
+            at = max(at, self.base + len(self.data) - len(MAGIC) + 1)
+        return -1
+
+    def starts_record(self, at: int) -> bool:
+        """Whether the gzip member at this offset begins with a WARC version line and a header."""
+        self.reach(at + 4096)
+        try:
+            head = zlib.decompressobj(31).decompress(self.data[at - self.base : at - self.base + 4096], 512)
+        except zlib.error:
+            return False
+        return head.startswith(_VERSION) and b"\r\n" in head and b":" in head.split(b"\r\n", 2)[1]
+
+    def inflate(self, at: int) -> tuple[bytes | None, int]:
+        """(content, end) of the member at the offset; no content where it is cut short or fails its checksum."""
+        engine, out, step = zlib.decompressobj(31), io.BytesIO(), 64 << 10
+        while not engine.eof:
+            self.reach(at + step)
+            data = self.data[at - self.base : at - self.base + step]
+            if not data:
+                return None, at
+            try:
+                out.write(engine.decompress(data))
+            except zlib.error:
+                return None, at
+            at += len(data) - len(engine.unused_data)
+        return out.getvalue(), at
 
 
 def parse_record(raw: bytes) -> dict:
@@ -148,34 +183,50 @@ def parse_record(raw: bytes) -> dict:
     return {"fields": fields, "http": http, "payload": payload, "declared": int(declared[1]) if declared else len(payload)}
 
 
-def records_in(source, start: int, end: int, size: int):
-    """(offset, record) of each record that starts in [start, end)."""
-    at = start
-    while at < end:
-        source.seek(at)
-        chunk = source.read(min(READ_BYTES, end - at + len(MAGIC) - 1))
-        hit = chunk.find(MAGIC)
-        if hit < 0 or at + hit >= end:
-            at += max(1, len(chunk) - len(MAGIC) + 1)
-            continue
-        at += hit
-        if _starts_record(source, at, size):
-            yield at, parse_record(_inflate(source, at))
+def records_in(source, start: int, end: int, size: int, longest: int | None = None):
+    """(offset, record) of each record that starts in [start, end).
+
+    ``longest``: bytes of the archive's longest member, as far as is known; else
+    the scan starts with the archive.  Records follow each other without gaps, so
+    the archive's start and the end of a record must start one; where it doesn't,
+    or where a record in the range can't be inflated, this raises.  Before the
+    range a candidate may be the rest of something else, and is passed over.
+    """
+    window = _Window(source, max(0, start - longest) if longest is not None else 0, size)
+    at = window.base
+    if start == 0 and size and not window.starts_record(0):
+        raise ValueError("the archive doesn't start with a record")
+    while (at := window.find(at, end)) >= 0:
+        if window.starts_record(at):
+            raw, after = window.inflate(at)
+            if raw is not None:
+                if at >= start:
+                    yield at, parse_record(raw)
+                    if after < min(end, size) and not window.starts_record(after):
+                        raise ValueError(f"no record starts at {after}, where one ends")
+                at = after
+                continue
+            if at >= start:
+                raise ValueError(f"the record at {at} is cut short or damaged")
         at += 1
 
 
 def read_warc(archives: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of the archives (path, n_bytes): path, offset, record_id, url,
-    record_type, refers_to, payload_digest, payload_length, payload.
+    """All records of the archives (path, n_bytes, longest): path, offset, record_id,
+    url, record_type, refers_to, payload_digest, payload_length, payload.
+
+    ``longest`` (bytes of an archive's longest member) may be null or missing;
+    then an archive is one range.  Ranges are at least four times as long as it,
+    so that what two of them read overlaps by a quarter at most.
 
     The payload of a revisit is null; its length and digest are those of the full
     payload.  Files without records give none.
     """
-    spark = archives.sparkSession
-    ranges = archives.select(
-        "path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start")
-    )
-    n = archives.agg(F.sum(F.ceil(F.col("n_bytes") / F.lit(split_bytes)))).first()[0] or 1
+    longest = F.col("longest") if "longest" in archives.columns else F.lit(None).cast("long")
+    known = archives.select("path", "n_bytes", longest.alias("longest"))
+    step = F.when(F.col("longest").isNull(), F.greatest("n_bytes", F.lit(1))).otherwise(F.greatest(F.lit(split_bytes), 4 * F.col("longest"))).cast("long")
+    ranges = known.withColumn("step", step).select("path", "n_bytes", "longest", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.col("step"))).alias("start"))
+    n = ranges.count()
     schema = "path string, offset long, record_id string, url string, record_type string, refers_to string, payload_digest string, payload_length long, payload binary"
 
     def name(value):
@@ -183,10 +234,10 @@ def read_warc(archives: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFra
 
     def read(frames):
         for pdf in frames:
-            for path, size, start in zip(pdf["path"], pdf["n_bytes"], pdf["start"]):
+            for path, size, longest, step, start in zip(*(pdf[c].tolist() for c in ("path", "n_bytes", "longest", "step", "start"))):
                 with open_for_read(path) as source:
                     rows, held = [], 0
-                    for at, record in records_in(source, start, min(start + split_bytes, size), size):
+                    for at, record in records_in(source, start, min(start + step, size), size, None if longest != longest else int(longest)):
                         f, revisit = record["fields"], record["fields"].get("warc-type") == "revisit"
                         payload = None if revisit else record["payload"]
                         digest = (f.get("warc-payload-digest") or "").rpartition(":")[2]
@@ -199,7 +250,7 @@ def read_warc(archives: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFra
                             rows, held = [], 0
                     yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return ranges.repartition(min(int(n), 10_000), "path", "start").mapInPandas(read, schema)
+    return ranges.repartition(max(1, min(n, MOST_READERS)), "path", "start").mapInPandas(read, schema)
 
 
 _COLUMNS = ["path", "offset", "record_id", "url", "record_type", "refers_to", "payload_digest", "payload_length", "payload"]
