@@ -29,8 +29,8 @@ from tessera.llm.shared import open_for_read, open_for_write, scratch, settle
 ROW_SAMPLES = 576
 #: Bytes of archive that one task reads, and of payload in one Arrow batch.
 SPLIT_BYTES, BATCH_BYTES = 8 << 20, 4 << 20
-#: Members and bytes after which a task starts another archive.
-MOST_MEMBERS, MOST_BYTES = 50_000, 1 << 30
+#: Members and bytes after which a task starts another archive; every range of an archive reads its whole directory.
+MOST_MEMBERS, MOST_BYTES = 20_000, 128 << 20
 #: Times that one member is tried.
 ATTEMPTS = 3
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"

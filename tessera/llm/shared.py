@@ -16,10 +16,13 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
     It is ``spark.checkpoint.dir`` where the cluster names one.  Only where that
-    is unset (local tests) a folder below the system's temporary one is used.
+    is unset and everything runs on one machine (local tests) a folder below the
+    system's temporary one is used.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     return root.rstrip("/")
 
@@ -45,6 +48,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_number(column):
+    """The column as a long; a value that isn't one raises whatever the session's ANSI setting, null stays null."""
+    number = column.try_cast("long")
+    return F.when(column.isNull() | number.isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit("not a whole number: "), column.cast("string"))).cast("long"))
+
+
+#: A key is hot from this many rows, and from this share of all rows on; the latter bounds the number of hot keys.
+HOT_ROWS, MOST_HOT = 200, 100_000
+
+
+def hot_keys(facts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """(key, parts) of the keys of ``facts`` (key, n) with many rows, at most MOST_HOT of them.
+
+    No part has more than the bound that makes a key hot, as far as its rows
+    spread evenly.
+    """
+    bound = max(HOT_ROWS, (facts.agg(F.sum(n)).first()[0] or 0) // MOST_HOT)
+    return facts.where(F.col(n) > bound).select(key, F.ceil(F.col(n) / F.lit(bound)).cast("int").alias("_parts"))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, *spread: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row for each key and ``n``, the key's number of rows.
+
+    The rows of a hot key are dealt to many tasks by the ``spread`` columns and by
+    the partition they are in (so equal rows spread too), and its fact goes to
+    each of them; all other keys are joined as usual.  ``facts``
+    is read several times, so it should be settled.
+    """
+    hot = F.broadcast(hot_keys(facts, key))  # MOST_HOT rows at most
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread, F.spark_partition_id()), F.col("_parts")).cast("int"))
+    dealt = rows.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    known = facts.drop("n").join(hot, key, "left").withColumn("_part", copies).drop("_parts")
+    return dealt.join(known, [key, "_part"]).drop("_part")
+
+
 def digest_of(column):
     """16 bytes that stand for a text; a null text counts as the empty one."""
     return F.unhex(F.md5(F.coalesce(column, F.lit("")).cast("binary")))

@@ -7,7 +7,9 @@ set of signature hashes; two fingerprints compare by Jaccard, and comparing ends
 early where the set lengths alone, or what is left of the two sorted sets, rule
 the wanted likeness out.
 
-``near_classes`` compares a whole corpus: documents are dealt to partitions of set
+``is_near`` tells whether two fingerprints are near: by their set-length partitions
+first, then by a Jaccard that stops once what is left can't decide for near any
+more.  ``near_classes`` compares a whole corpus: documents are dealt to partitions of set
 length, each wide enough that a partner is in the same or the next one, and meet
 through an inverted index over the rarest signatures of each (a prefix that no
 pair of the wanted likeness can avoid sharing).
@@ -33,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import neardup
-from tessera.llm.shared import settle
+from tessera.llm.shared import settle, spread_join
 
 #: Content words of a chain.
 CHAIN = 2
-#: Likeness that counts as near.
-NEAR = 0.8
+#: Likeness that counts as near, and hashes of each set that a comparison merges at once.
+NEAR, _STEP = 0.8, 64
 # Frequent function words of English, German, French and Spanish.
 ANCHORS = frozenset(
     """the of and to in a is that it for was on are as with be by at this from or an have not but had his they which you were
@@ -68,19 +70,42 @@ def signature_hashes(text: str) -> np.ndarray:
     return np.unique(np.array([digest(x) for x in chains], np.uint32))
 
 
-def likeness(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
-    """Jaccard of two sorted sets; 0 where it is known to be below ``at_least``.
+def length_band(n: int, near: float = NEAR) -> int:
+    """Partition of a set length: [1, 1/near), [1/near, 1/near^2), ...; sets at least ``near`` alike are at most one apart."""
+    return int(math.floor(math.log(n) / -math.log(near) + 1e-9)) if n else -1
 
-    Two empty sets are equal (1).  The lengths bound the result, so a pair whose
-    bound is too low isn't compared at all.
+
+def is_near(a: np.ndarray, b: np.ndarray, near: float = NEAR) -> bool:
+    """Whether the Jaccard of two sorted sets is at least ``near``, looked at no longer than needed.
+
+    Pairs whose set-length partitions are more than one apart, or whose lengths
+    bound the Jaccard below ``near``, aren't compared; others are merged block by
+    block until the rest can't make up what is missing.  Two empty sets are near.
     """
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    if abs(length_band(len(a), near) - length_band(len(b), near)) > 1 or min(len(a), len(b)) < near * max(len(a), len(b)) - 1e-9:
+        return False
+    needed = math.ceil(near / (1 + near) * (len(a) + len(b)) - 1e-9)
+    both = i = j = 0
+    while i < len(a) and j < len(b):
+        if both + min(len(a) - i, len(b) - j) < needed:
+            return False
+        last = min(a[min(i + _STEP, len(a)) - 1], b[min(j + _STEP, len(b)) - 1])
+        k, m = i + int(np.searchsorted(a[i : i + _STEP], last, side="right")), j + int(np.searchsorted(b[j : j + _STEP], last, side="right"))
+        both += len(np.intersect1d(a[i:k], b[j:m], assume_unique=True))
+        i, j = k, m
+    return both >= needed
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two sorted sets; two empty ones are equal (1)."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    if min(len(a), len(b)) < at_least * max(len(a), len(b)):
+    if a[-1] < b[0] or b[-1] < a[0]:
         return 0.0
     both = len(np.intersect1d(a, b, assume_unique=True))
-    found = both / (len(a) + len(b) - both)
-    return found if found >= at_least else 0.0
+    return both / (len(a) + len(b) - both)
 
 
 def to_string(hashes: np.ndarray) -> str:
@@ -130,13 +155,16 @@ def near_classes(docs: DataFrame, *, near: float = NEAR, id_column: str = "doc_i
     order = exploded.groupBy("h").agg(F.count("*").alias("df"))
     ranked = exploded.join(order, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ordered"))
     prefix = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.col("n") * near - 1e-9) + 1).cast("int"))
-    keys = ranked.select("node", length_partition(F.col("n"), near).alias("part"), F.explode(prefix).alias("s"))
-    keyed = keys.select("node", F.explode(F.array("part", F.col("part") - 1)).alias("part"), F.col("s.h").alias("h")).select(F.xxhash64("part", "h").alias("bucket"), "node").distinct()
+    keys = ranked.select("node", "n", length_partition(F.col("n"), near).alias("part"), F.explode(prefix).alias("s"))
+    keyed = keys.select("node", "n", F.explode(F.array("part", F.col("part") - 1)).alias("part"), F.col("s.h").alias("h"))
+    keyed = keyed.select(F.xxhash64("part", "h").alias("bucket"), "node", F.col("n").alias("items")).distinct()
     members = settle(neardup.candidate_buckets(keyed), "spotsigs-members")
     roots = neardup.linked_classes(members, nodes.select("node", "hashes").mapInArrow(_pack, "node binary, items binary"), similar=near)
-    named = rows.select("id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = settle(named, "spotsigs-named")
-    return named.join(named.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("id", "class_id")
+    counted = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = settle(counted, "spotsigs-counted")
+    heads = settle(counted.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "spotsigs-heads")
+    classes = settle(spread_join(counted.select("root", "node", F.col("n").alias("copies")), heads, "root", "node"), "spotsigs-classes")
+    return spread_join(rows.select("id", "node"), classes.select("node", "class_id", F.col("copies").alias("n")), "node", "id").select("id", "class_id")
 
 
 def _pack(batches):
@@ -146,9 +174,9 @@ def _pack(batches):
 
 
 _OUT = pa.schema(
-    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edited_is_near", pa.bool_()), ("next_is_near", pa.bool_())]
 )
-_OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_is_near boolean, next_is_near boolean"
 
 
 def edited_text(text: str, following: str) -> str:
@@ -168,15 +196,19 @@ def _compared(doc_id, text: str, own: np.ndarray, following: str, other: np.ndar
         to_string(changed),
         likeness(own, changed),
         likeness(own, other),
+        is_near(own, changed),
+        is_near(own, other),
     )
 
 
 def compare_with_next(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     """Each document against its edited text and the next document by descending doc_id.
 
-    After the last document comes the first; a single document follows itself.
-    Null texts count as empty and null doc_ids come last; rows of one doc_id are
-    ordered by their texts, descending.  An empty table gives an empty one.
+    near_edited and near_next are exact likenesses; edited_is_near and
+    next_is_near are what the pruned comparison at NEAR says.  After the last
+    document comes the first; a single document follows itself.  Null texts count
+    as empty and null doc_ids come last; rows of one doc_id are ordered by a hash
+    of their texts, descending.  An empty table gives an empty one.
 
     Documents are dealt once, to parts cut at quantiles of their order, so that
     neighbours stream by within a task.  The first document of each part goes to

@@ -3,7 +3,8 @@
 Every URL is expanded into the expressions that a rule could be written as (a
 suffix of the host at a label boundary, joined to a prefix of the path).  The
 expansion is limited to the (label count, path length) pairs that occur among
-the rules, which loses no rule and keeps the expansion of a URL small.  The
+the rules, which loses no rule and keeps the expansion of a URL small; pairs are
+bounded by the labels of a host (127) times the path lengths in use.  The
 expressions meet the rules in an equi-join on a short hash prefix; the full
 digest then confirms the match, and the longest rule wins.
 
@@ -17,6 +18,8 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import settle, spread_join
+
 #: Hex digits of the SHA-256 digest that the join compares first.
 PREFIX_HEX = 8
 #: A rule set of at most this many rows is broadcast; a larger one is joined by shuffle.
@@ -92,10 +95,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url_column: str = "url") -
             F.substr(F.col("url_path"), F.lit(1), p["m"]),
         ),
     )
+    counted = settle(urls.groupBy("url_host", "url_path").agg(F.count("*").alias("n")), "urls")
     keys = (
-        urls.select("url_host", "url_path")
-        .where(F.col("url_host") != "")
-        .distinct()
+        counted.where(F.col("url_host") != "")
         .select("url_host", "url_path", F.explode(F.array_distinct(expressions)).alias("expression"))
         .withColumn("digest", F.sha2("expression", 256))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
@@ -109,8 +111,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url_column: str = "url") -
         .agg(F.max(F.struct(F.length("rule").alias("n"), "rule_host_length", "rule", "rule_verdict")).alias("best"))
         .select("url_host", "url_path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
     )
-    return (
-        urls.join(best, ["url_host", "url_path"], "left")
-        .withColumn("verdict", F.coalesce("rule_verdict", F.lit(DEFAULT_VERDICT)))
-        .select(*kept, "url_host", "url_path", "rule", "verdict")
-    )
+    site = F.struct("url_host", "url_path")
+    facts = counted.join(best, ["url_host", "url_path"], "left").select(site.alias("site"), "n", "rule", "rule_verdict")
+    joined = spread_join(urls.withColumn("site", site), settle(facts, "judged-urls"), "site", *[c for c in kept if c != url_column][:1])
+    return joined.withColumn("verdict", F.coalesce("rule_verdict", F.lit(DEFAULT_VERDICT))).select(*kept, "url_host", "url_path", "rule", "verdict")
