@@ -25,8 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.shared import settle
+from tessera.llm.shared import hot_keys, settle
 
 #: Documents of a source that one flight group aims for, and groups that meet at the next level.
 GROUP_DOCS, FAN_IN = 1024, 256
@@ -40,10 +41,18 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def content_key():
-    """16 bytes that stand for a row's doc_id, source and text."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in ("doc_id", "source", "text")]
-    return F.unhex(F.md5(F.concat_ws("\u0000", *parts).cast("binary")))
+def content_key(docs: DataFrame, columns: list[str] | None = None):
+    """16 bytes that stand for a row's values in ``columns`` (doc_id, source and text by default).
+
+    The values' lengths come first, with a mark of its own for null, so that no
+    two different rows are written alike.
+    """
+    parts = []
+    for c in columns or ["doc_id", "source", "text"]:
+        kind = docs.schema[c].dataType
+        parts.append(F.to_json(F.struct(docs[c].alias("v"))) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else docs[c].cast("string"))
+    sizes = F.concat_ws(",", *[F.coalesce(F.length(c).cast("string"), F.lit("null")) for c in parts])
+    return F.unhex(F.md5(F.concat_ws("\u0000", sizes, *parts).cast("binary")))
 
 
 def targets(sizes: DataFrame, pattern: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -124,16 +133,17 @@ def _decider(seed: int, level: int, last: bool):
     return decide
 
 
-def mix(docs: DataFrame, *, seed: int = 0, pattern: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def mix(docs: DataFrame, *, seed: int = 0, pattern: tuple[int, ...] = (1, 2, 3), same: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: how often the mix takes it.
 
     Returns doc_id, content (a hash that tells rows of one doc_id apart), source,
-    size, source_size, target, copies, taken (words, repeats counted).  A null
+    size, source_size, target, copies, taken (words, repeats counted).  ``same``
+    names the columns that the hash covers (doc_id, source, text).  A null
     text has size 0, a null source is a source of its own.  Rows equal in all of
     these are interchangeable.  A source of size 0 has target 0 and takes none;
     an empty table gives an empty one.
     """
-    units = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), content_key().alias("content"))
+    units = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), content_key(docs, same).alias("content"))
     units = settle(units, "sizes")
     per_source = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     per_source = settle(per_source, "sources")
@@ -171,19 +181,36 @@ def mix(docs: DataFrame, *, seed: int = 0, pattern: tuple[int, ...] = (1, 2, 3))
     return every.select("doc_id", "content", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+#: Copies of one row that a task writes at once.
+COPIES_AT_ONCE = 4096
+
+
 def mixed_documents(docs: DataFrame, *, seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, columns unchanged."""
-    chosen = (
-        mix(docs, seed=seed)
-        .groupBy("content")
-        .agg(*[F.count(F.when(F.col("copies") >= k, 1)).alias(f"least_{k}") for k in range(1, MOST_TIMES + 1)])
-        .where(F.col("least_1") > 0)
-    )
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), content_key().alias("content"))
-    keyed = keyed.withColumn("turn", F.row_number().over(W.partitionBy("content").orderBy(F.lit(1))))
-    copies = sum((F.when(F.col("turn") <= F.col(f"least_{k}"), 1).otherwise(0) for k in range(1, MOST_TIMES + 1)), F.lit(0))
-    return (
-        keyed.join(chosen, "content")
-        .select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"))
-        .select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
-    )
+    """The rows of ``docs``, each as often as the mix takes it, columns unchanged.
+
+    Rows that are equal in all columns are interchangeable, so what counts is how
+    often the mix takes them together; reruns agree.  Null texts and sources are
+    as in ``mix``; a document without words is taken as often as its source's
+    factor says.  An empty table gives an empty one.
+
+    A row stands alone for most keys.  Where many rows are equal, one of them is
+    kept before the shuffle by the partial aggregation, and its copies are
+    written by many tasks, COPIES_AT_ONCE each.
+    """
+    same = list(docs.columns)
+    totals = mix(docs, seed=seed, same=same).groupBy("content").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    totals = settle(totals.where(F.col("copies") > 0), "copies")
+    hot = hot_keys(totals, "content").select("content")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), content_key(docs, same).alias("content"))
+    any_hot = not hot.isEmpty()
+    hot = F.broadcast(hot)  # bounded by the number of hot keys
+    others = keyed.join(hot, "content", "left_anti") if any_hot else keyed
+    turn = F.row_number().over(W.partitionBy("content").orderBy(F.lit(1)))  # of equal rows, at most as many as a key has that isn't hot
+    few = others.join(totals, "content").withColumn("turn", turn).where("turn = 1")
+    taken = few.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    if any_hot:
+        many = keyed.join(hot, "content", "left_semi").groupBy("content").agg(F.first("row").alias("row")).join(totals, "content")
+        many = many.select("content", "row", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_AT_ONCE))).alias("turn"))
+        left = F.least(F.lit(COPIES_AT_ONCE), F.col("copies") - COPIES_AT_ONCE * F.col("turn")).cast("int")
+        taken = taken.unionByName(many.repartition("content", "turn").select("row", F.explode(F.array_repeat(F.lit(1), left))))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -15,7 +15,8 @@ first compared in blocks, dealt differently in each band, so that a large group
 of near copies grows together at linear cost; then whatever isn't in the bucket's
 largest class is compared with all of the bucket, block by block.  So no
 candidate pair of different classes is left out, at whatever size of bucket, and
-no task holds more than two blocks.  Links leave a task as a spanning forest.
+no task holds more than two blocks, which are bounded by texts and by bytes.
+Links leave a task as a spanning forest.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import digest_of, settle, slices
+from tessera.llm.shared import digest_of, settle, slices, spread_join, whole_number
 
 #: Words of a shingle and the similarity that makes two texts near duplicates.
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and registers of each; 0.8 alike texts share one with probability 0.99995.
 BANDS, ROWS = 25, 5
-#: Texts of a bucket that are compared at once.
-BLOCK = 256
+#: Texts of a bucket that are compared at once, and about the bytes of their shingle sets at most.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 _COLUMNS_AT_ONCE = 8192
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,8 +90,8 @@ def prob_minhash(row: np.ndarray, items: np.ndarray, weights: np.ndarray, n_rows
     return sig.reshape(n_rows, registers)
 
 
-def band_hashes(texts: pa.Array, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Signed 64-bit band hashes (texts x bands)."""
+def band_hashes(texts: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Signed 64-bit band hashes (texts x bands), and the number of each text's distinct shingles."""
     row, items = shingles(texts)
     key = _mix(items + row.astype(np.uint64) * _G)  # tells equal shingles of different texts apart
     _, at = np.unique(key, return_index=True)
@@ -98,7 +99,7 @@ def band_hashes(texts: pa.Array, bands: int = BANDS, rows: int = ROWS) -> np.nda
     out = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _G, (len(texts), bands)).copy()
     for i in range(rows):
         out = _mix(out + sig[:, :, i])
-    return out.view(np.int64)
+    return out.view(np.int64), np.bincount(row[at], minlength=len(texts))
 
 
 def shingle_sets(texts: pa.Array) -> list[bytes]:
@@ -188,56 +189,67 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round maps every node to the least of itself and its neighbours and
     contracts the links by that map; every link loses an end in each, and the
-    rounds are written out, so lineage stays short.
+    rounds are written out, so lineage stays short.  A node with many links is
+    spread over tasks.
     """
     edges = settle(links.where("a != b").distinct(), "edges")
     found = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")), "up")
+        step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count("*").alias("n")).select("node", F.least("node", "least").alias("up"), "n")
+        step = settle(step, "up")
         if found is None:
             found = step.select("node", F.col("up").alias("root"))
         else:
-            moved = found.join(step.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-            found = settle(moved, "roots")
-        up_a, up_b = step.select(F.col("node").alias("a"), F.col("up").alias("up_a")), step.select(F.col("node").alias("b"), F.col("up").alias("up_b"))
-        edges = settle(edges.join(up_a, "a").join(up_b, "b").where("up_a != up_b").select(F.greatest("up_a", "up_b").alias("a"), F.least("up_a", "up_b").alias("b")).distinct(), "edges")
+            counts = found.groupBy("root").agg(F.count("*").alias("n"))
+            roots = settle(counts.join(step.select(F.col("node").alias("root"), "up"), "root", "left"), "moves")
+            found = settle(spread_join(found, roots, "root", "node").select("node", F.coalesce("up", "root").alias("root")), "roots")
+        up_a, up_b = step.select(F.col("node").alias("a"), F.col("up").alias("up_a"), "n"), step.select(F.col("node").alias("b"), F.col("up").alias("up_b"), "n")
+        moved = spread_join(spread_join(edges, up_a, "a", "b"), up_b, "b", "a").where("up_a != up_b")
+        edges = settle(moved.select(F.greatest("up_a", "up_b").alias("a"), F.least("up_a", "up_b").alias("b")).distinct(), "edges")
     return found if found is not None else links.sparkSession.createDataFrame([], "node binary, root binary")
 
 
 def candidate_buckets(keyed: DataFrame) -> DataFrame:
-    """(bucket, node, n) of the buckets that hold at least two nodes, from distinct (bucket, node).
+    """(bucket, node, n, n_bytes) of the buckets that hold at least two nodes, from distinct (bucket, node, items).
 
-    Of buckets with the same nodes one is kept.
+    n_bytes is that of the bucket's shingle sets, of ``items`` shingles each.  Of
+    buckets with the same nodes one is kept.
     """
     counted = (
         keyed.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        .agg(F.count("*").alias("n"), (4 * F.sum("items")).alias("n_bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
         .where("n > 1")
-        .groupBy("n", "x", "y")
+        .groupBy("n", "n_bytes", "x", "y")
         .agg(F.min("bucket").alias("bucket"))
     )
-    return keyed.join(counted.select("bucket", "n"), "bucket")
+    counted = settle(counted.select("bucket", "n", F.col("n").alias("size"), "n_bytes"), "buckets")
+    return spread_join(keyed.select("bucket", "node"), counted, "bucket", "node").select("bucket", "node", F.col("size").alias("n"), "n_bytes")
 
 
 def linked_classes(members: DataFrame, sets: DataFrame, *, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """(node, root) of the classes that candidate buckets hold.
 
-    ``members``: bucket, node, n (nodes of the bucket).  ``sets``: node, items
-    (sorted distinct 32-bit hashes as bytes).  Nodes without a partner are left out.
+    ``members``: bucket, node, n (nodes of the bucket), n_bytes (of their sets).
+    ``sets``: node, items (sorted distinct 32-bit hashes as bytes).  Nodes without
+    a partner are left out.
     """
-    blocks = F.ceil(F.col("n") / F.lit(block))
+
+    def parts(n, n_bytes):
+        return F.greatest(F.ceil(n / F.lit(block)), F.ceil(n_bytes / F.lit(BLOCK_BYTES)))
+
+    blocks = parts(F.col("n"), F.col("n_bytes"))
     dealt = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks))
     links = settle(_links_of(dealt.join(sets, "node"), ["bucket", "block"], similar), "links")
-    large = members.where(F.col("n") > block)
+    large = members.where(blocks > 1)
     if large.isEmpty():
         return components(links)
     roots = components(links)
     large = settle(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "large")
-    per_class = large.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    main = per_class.groupBy("bucket").agg(F.max_by("root", "k").alias("main"), F.sum("k").alias("n"), F.max("k").alias("k")).where("n > k")
-    main = main.select("bucket", "main", F.ceil((F.col("n") - F.col("k")) / F.lit(block)).alias("u"), F.ceil(F.col("n") / F.lit(block)).alias("v"))
-    split = large.select("bucket", "node", "root").join(main, "bucket")
+    per_class = large.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.first("n_bytes").alias("n_bytes"))
+    main = per_class.groupBy("bucket").agg(F.max_by("root", "k").alias("main"), F.sum("k").alias("n"), F.max("k").alias("k"), F.first("n_bytes").alias("n_bytes")).where("n > k")
+    main = settle(main.select("bucket", "main", "n", parts(F.col("n") - F.col("k"), F.col("n_bytes")).alias("u"), parts(F.col("n"), F.col("n_bytes")).alias("v")), "main")
+    split = spread_join(large.select("bucket", "node", "root"), main, "bucket", "node")
     mine_u, mine_v = F.pmod(F.xxhash64("node", F.lit(1)), "u"), F.pmod(F.xxhash64("node", F.lit(2)), "v")
 
     def turns(n: str):
@@ -250,29 +262,30 @@ def linked_classes(members: DataFrame, sets: DataFrame, *, similar: float = SIMI
     return components(links.unionByName(settle(more, "more-links")))
 
 
-def near_classes(docs: DataFrame, *, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows has doc_id and digest of every row of ``docs``;
-    classes has one row per distinct text: digest, root, class_id, class_size,
-    kept (the doc_id) and kept_digest of the one row that stands for the class.
+def near_classes(docs: DataFrame, *, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, texts, heads): rows has doc_id and digest of every row of ``docs``;
+    texts has node (the digest), root (its class) and copies of every distinct
+    text; heads has one row per class: root, class_id, class_size, n (distinct
+    texts) and kept_digest, the text of the row with class_id.
 
     A null text counts as the empty one; texts without words are one class only
     if they are equal.  class_id is the least doc_id of the class, null only
     where all of its rows have none.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("items", pa.int64())])
 
     def sign(batches):
         for batch in (part for whole in batches for part in slices(whole, 2)):
             texts = batch.column(2)
-            found = band_hashes(texts, bands, rows)
-            blank = pc.equal(pc.binary_length(pc.utf8_trim_whitespace(pc.fill_null(texts, ""))), 0).to_pylist()
-            lists = pa.array([None if no else x for no, x in zip(blank, found)], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), batch.column(1), lists], schema=schema)
+            found, n = band_hashes(texts, bands, rows)
+            lists = pa.array([x if k else None for k, x in zip(n, found)], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), lists, pa.array(n, pa.int64())], schema=schema)
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), "text")
-    signed = settle(keyed.mapInArrow(sign, "doc_id long, digest binary, bands array<long>"), "signatures")
-    nodes = settle(signed.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
-    members = settle(candidate_buckets(nodes.select(F.explode("bands").alias("bucket"), "node")), "members")
+    keyed = docs.select(whole_number(F.col("doc_id")).alias("doc_id"), digest_of(F.col("text")).alias("digest"), "text")
+    signed = settle(keyed.mapInArrow(sign, "doc_id long, digest binary, bands array<long>, items long"), "signatures")
+    nodes = signed.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("items").alias("items"))
+    nodes = settle(nodes, "nodes")
+    members = settle(candidate_buckets(nodes.select(F.explode("bands").alias("bucket"), "node", "items")), "members")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select(F.col("node").alias("digest"), F.col("doc_id").alias("wanted_id"))
     chosen = keyed.join(wanted, (keyed["digest"] == wanted["digest"]) & keyed["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
@@ -286,10 +299,9 @@ def near_classes(docs: DataFrame, *, similar: float = SIMILAR, bands: int = BAND
     named = nodes.select("node", "doc_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = settle(named, "named")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("kept"), F.col("node").alias("kept_digest"))).alias("first")
-    heads = named.groupBy("root").agg(first, F.sum("copies").alias("class_size"))
-    heads = heads.select("root", F.col("first.kept").alias("class_id"), "class_size", F.col("first.kept_digest").alias("kept_digest"))
-    classes = named.select(F.col("node").alias("digest"), "root").join(heads, "root")
-    return signed.select("doc_id", "digest"), settle(classes, "classes")
+    heads = named.groupBy("root").agg(first, F.sum("copies").alias("class_size"), F.count("*").alias("n"))
+    heads = heads.select("root", F.col("first.kept").alias("class_id"), "class_size", F.col("first.kept_digest").alias("kept_digest"), "n")
+    return signed.select("doc_id", "digest"), named.select("node", "root", "copies"), settle(heads, "heads")
 
 
 def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
@@ -299,15 +311,21 @@ def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     copies is a class of its own.  Repeated rows are copies of each other.  An
     empty table gives an empty one; other columns are ignored.
     """
-    rows, classes = near_classes(docs, similar=similar)
-    return rows.join(classes.select("digest", "class_id", "class_size"), "digest").select("doc_id", "class_id", "class_size")
+    rows, texts, heads = near_classes(docs, similar=similar)
+    facts = spread_join(texts, heads.drop("kept_digest"), "root", "node").select(F.col("node").alias("digest"), "class_id", "class_size", F.col("copies").alias("n"))
+    return spread_join(rows, settle(facts, "classes"), "digest", "doc_id").select("doc_id", "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that stand for their classes: one of each, columns unchanged."""
-    _, classes = near_classes(docs, similar=similar)
-    kept = classes.where("digest = kept_digest").select(F.col("digest").alias("key"), F.col("class_id").alias("kept_id"))
-    full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("row_id"), digest_of(F.col("text")).alias("key"))
+    """The rows of ``docs`` that stand for their classes: one of each, columns unchanged.
+
+    That is the row with the least doc_id; of several rows with this id and text
+    any one, where they differ in other columns.  Null and empty texts are copies
+    of each other.  An empty table gives an empty one.
+    """
+    _, _, heads = near_classes(docs, similar=similar)
+    kept = heads.select(F.col("kept_digest").alias("key"), F.col("class_id").alias("kept_id"))
+    full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), whole_number(F.col("doc_id")).alias("row_id"), digest_of(F.col("text")).alias("key"))
     # both columns are keys of the join, so a large group of copies isn't dealt to one task
     chosen = full.join(kept, (full["key"] == kept["key"]) & full["row_id"].eqNullSafe(kept["kept_id"])).select("row", full["key"]).dropDuplicates(["key"])
     return chosen.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -146,9 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABELLE
 
     ``labels`` has doc_id, quality (1 good, 0 low) and toxic (1, 0); a null label
     leaves its row out of that part.  Without labels the model has no opinion.
+    Of several texts under one doc_id that with the least hash is read, so the
+    bound holds for texts as well.
     """
     chosen = labels.where("doc_id is not null").select("doc_id", "quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id"), "labelled")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("draw"), "text")).alias("first")).select("doc_id", "first.text")
+    texts = settle(found.join(F.broadcast(chosen), "doc_id"), "labelled")
     model = Model()
     n = texts.agg(F.count("quality"), F.sum(1 - F.col("quality")), F.count("toxic"), F.sum("toxic")).first()
     if n[2] and n[3]:
