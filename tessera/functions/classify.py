@@ -1,8 +1,4 @@
-"""Rule ladders: ordered (pattern, label) lists compiled to column expressions.
-
-The same list also gives the equivalent SQL, so a query and its oracle can't
-drift apart.
-"""
+"""Rule ladders: ordered (pattern, label) lists compiled to column expressions."""
 
 from __future__ import annotations
 
@@ -63,7 +59,7 @@ STAGES = {
 SENIORITY: Rules = [
     (r"\b(co[-\s]?founder|cofounder)\b", "Co-Founder"),
     (r"\bfounding\b", "Founding"),
-    (r"\bfirst\s+(?!line|level|party|tier|class|shift|aid|response)(\w+\s+){0,2}(hire|engineer|designer|manager|marketer|seller)\b", "First Hire"),
+    (r"\bfirst\s+(?!line|level|party|tier|class|shift|aid|response)(\w+\s+){0,2}(hire|engineer|designer|manager|marketer|seller|rep)\b", "First Hire"),
     (r"\b(c[teoifprsm]o|chief\s+\w+\s+officer)\b", "C-Level"),
     (r"\b(vp|vice\s+president)\b", "VP"),
     (r"\bhead\s+of\b", "Head of"),
@@ -85,17 +81,29 @@ TECHNOLOGY: Rules = [
     (r"\bjava\b(?!\s?script)", "Java"),
     (r"\bkotlin\b", "Kotlin"),
     (r"\bswift\b", "Swift"),
+    (r"\bruby\b|\brails\b", "Ruby"),
+    (r"\bscala\b", "Scala"),
+    (r"\belixir\b", "Elixir"),
+    (r"c\+\+", "C++"),
     (r"\breact\b", "React"),
+    (r"\bnode(\.js)?\b", "Node.js"),
     (r"\bkubernetes\b|\bk8s\b", "Kubernetes"),
+    (r"\bterraform\b", "Terraform"),
     (r"\baws\b", "AWS"),
+    (r"\bsolidity\b", "Solidity"),
     (r"\bmachine\s+learning\b|\bml\b(?!\s*ops)", "Machine Learning"),
+    (r"\bml\s?ops\b", "MLOps"),
     (r"\bllms?\b|\bgen(erative)?\s?ai\b", "LLM"),
     (r"\bai\b", "AI"),
     (r"\bdata\s+(engineer|scientist|analyst|platform)\b", "Data"),
+    (r"\bios\b", "iOS"),
+    (r"\bandroid\b", "Android"),
     (r"\bback[-\s]?end\b", "Backend"),
     (r"\bfront[-\s]?end\b", "Frontend"),
     (r"\bfull[-\s]?stack\b", "Full Stack"),
     (r"\bdev\s?ops\b", "DevOps"),
+    (r"\bsre\b|\bsite\s+reliability\b", "SRE"),
+    (r"\binfra(structure)?\b", "Infrastructure"),
     (r"\bsecurity\b|\bappsec\b|\binfosec\b", "Security"),
 ]
 # Keywords of young companies, and of grown ones, whose presence silences the former.
@@ -111,7 +119,9 @@ GROWN_WORDS: Rules = [
     (r"\bcustomer\s+(success|support|experience)\b|\btechnical\s+support\b|\baccount\s+manager\b", "Customer Org"),
     (r"\baccounts?\s+(receivable|payable)\b|\bcontroller\b|\bpayroll\b|\bfinancial\s+analyst\b|\btreasury\s+analyst\b", "Finance Org"),
     (r"\brecruiter\b|\btalent\s+acquisition\b|\bpeople\s+(partner|consultant|operations)\b|\bhr\s+business\s+partner\b", "People Org"),
-    (r"\bcompliance\b|\bsanctions\b|\bfinancial\s+crimes?\b|\bfraud\s+(investigator|analyst)\b|\brisk\s+operations\b", "Compliance Org"),
+    (r"\bcompliance\b|\bsanctions\b|\bfinancial\s+crimes?\b|\bfraud\s+(investigator|analyst)\b|\brisk\s+operations\b|\b(aml|kyc)\b", "Compliance Org"),
+    (r"\benterprise\s+(account\s+executive|solutions?\s+(engineer|architect)|sales|architect)\b|\bsolutions?\s+engineer\b|\bsales\s+engineer\b", "Enterprise GTM"),
+    (r"\b(emea|apac|anz|latam|dach|benelux|nordics|iberia)\b|\b(east|west)\s+coast\b|[-–—,]\s*(central|east|west|north|south|northeast|southeast|midwest)(\s+coast)?\s*$", "Territory Org"),
     (r"\balliances?\b|\bpartnerships?\b|\bchannel\s+sales\b|\bpartner\s+(manager|development)\b", "Partnerships Org"),
 ]
 NEUTRAL_WORDS: Rules = [(r"\bremote\b", "Remote"), (r"\bcontract(or)?\b|\bfreelance\b", "Contract")]
@@ -127,12 +137,6 @@ def every_label(text: Column, rules: Rules) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(f"(?i){pattern}"), label) for pattern, label in rules]), lambda x: x.isNotNull())
 
 
-def ladder_sql(column: str, rules: Rules, default: str) -> str:
-    """The CASE expression of ``first_label`` for the oracle."""
-    whens = " ".join(f"WHEN regexp_matches({column}, '(?i){pattern}') THEN '{label}'" for pattern, label in rules)
-    return f"CASE {whens} ELSE '{default}' END"
-
-
 def sector(industry: Column) -> Column:
     blank = industry.isNull() | (F.trim(industry) == "")
     return F.when(blank, "Uncategorized").otherwise(first_label(industry, SECTOR_RULES, "Uncategorized"))
@@ -187,6 +191,7 @@ def reasons(*pairs: tuple[Column, str | Column]) -> Column:
     return F.filter(F.array(*[F.when(c, r if isinstance(r, Column) else F.lit(r)) for c, r in pairs]), lambda x: x.isNotNull())
 
 
+# Words of a vehicle's name.
 VEHICLE_WORDS = r"\b(spv|a series of|feeder|parallel|blocker|aiv|co-?invest\w*|sidecar|annex)\b"
 
 
@@ -206,3 +211,207 @@ def search_rank(text: Column, query: str) -> Column:
     """0 exact, 1 prefix, 2 start of a word, 3 anywhere, 4 not at all."""
     t, q = F.lower(F.coalesce(text, F.lit(""))), query.strip().lower()
     return F.when(t == q, 0).when(F.startswith(t, F.lit(q)), 1).when(F.contains(F.concat(F.lit(" "), t), F.lit(f" {q}")), 2).when(F.contains(t, F.lit(q)), 3).otherwise(4)
+
+
+# Whole words of a filing's name (or a patent's text) and the sector they mean, first hit wins.
+CANDIDATE_WORDS: Rules = [
+    ("ai|llms?|machine learning|deep learning|neural|genai", "AI & ML"),
+    ("health|healthcare|healthtech|biotech|bioscience|biosciences|biologics|therapeutics|pharma|pharmaceuticals?|genomics|medical|medtech|clinical|diagnostics", "Health & Life Sciences"),
+    ("payments?|fintech|lending|neobank|insurtech|crypto|blockchain|wealthtech|regtech", "Fintech"),
+    ("cyber|cybersecurity|infosec", "Cybersecurity"),
+    ("solar|climate|carbon|battery|batteries|hydrogen|renewables?|cleantech", "Climate & Energy"),
+    ("quantum|robotics?|semiconductors?|photonics|aerospace|drones?", "DeepTech"),
+    ("gaming|games|edtech", "Consumer & Media"),
+    ("saas|devops|devtools", "SaaS & Dev Tools"),
+    ("ecommerce|e-commerce|marketplace|logistics", "E-commerce & Retail"),
+]
+
+
+def candidate_sector(source: Column, name: Column, evidence: Column) -> Column:
+    """Sector that a filing reveals, else null: its own codes first, then whole words.
+
+    ``evidence`` has industry_group, codes (array), title and abstract; the last
+    two count for patents alone.
+    """
+    patent = source == "epo_ops"
+    text = F.concat_ws(" ", name, F.when(patent, evidence["title"]), F.when(patent, F.substring(evidence["abstract"], 1, 600)))
+    uk, codes = source == "uk_companies_house", F.coalesce(evidence["codes"], F.array().cast("array<string>"))
+    life = ((source == "sec_form_d") & (F.lower(evidence["industry_group"]) == "biotechnology")) | (uk & F.array_contains(codes, "72110"))
+    hardware = uk & F.exists(codes, lambda c: F.startswith(c, F.lit("26")))
+    words = first_label(text, [(rf"\b({w})\b", label) for w, label in CANDIDATE_WORDS])
+    return F.when(life, "Health & Life Sciences").when(hardware, "DeepTech").otherwise(words)
+
+
+def candidate_stages(source: Column, total_offering: Column, total_sold: Column) -> Column:
+    """Stages that a filing is consistent with (an array), or null where it says nothing; amounts are texts."""
+
+    def amount(text: Column) -> Column:
+        number = F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), text.try_cast("double"))
+        return F.when(number > 0, number)
+
+    def steps(*names: str) -> Column:
+        return F.array(*map(F.lit, names))
+
+    asked = F.coalesce(amount(total_offering), amount(total_sold))
+    return (
+        F.when(source == "uk_companies_house", steps("pre-seed", "seed"))
+        .when((source != "sec_form_d") | asked.isNull(), None)
+        .when(asked < 2_500_000, steps("pre-seed", "seed"))
+        .when(asked < 10_000_000, steps("seed", "series-a"))
+        .when(asked < 40_000_000, steps("series-a", "series-b"))
+        .otherwise(steps("series-b", "growth"))
+    )
+
+
+# Round labels that make a company venture-like.
+EARLY_ROUNDS = ("Pre-Seed", "Seed", "Series A")
+VENTURE_ROUNDS = (*EARLY_ROUNDS, "Series B", "Series C", "Series D", "Series E+", "Growth", "Bridge", "Convertible Note")
+
+
+def archetype(founded_year: Column, employees: Column, has_buyout: Column, recent_early: Column, recent_venture: Column, as_of: Column) -> Column:
+    """Struct of archetype and reasons: a buyout, 15 years without an early round, or 750 staff without venture rounds make it mature."""
+    age = F.when(founded_year > 1800, F.greatest(F.lit(0), F.year(as_of) - founded_year))
+
+    def found(kind: str, *why: str) -> Column:
+        return F.struct(F.lit(kind).alias("archetype"), F.array(*map(F.lit, why)).alias("reasons"))
+
+    return (
+        F.when(has_buyout, found("mature_private", "buyout_or_acquisition_on_record"))
+        .when((age >= 15) & ~recent_early, found("mature_private", "active_15_plus_years", "no_recent_early_stage_round"))
+        .when((F.coalesce(employees, F.lit(0)) >= 750) & ~recent_venture, found("mature_private", "large_headcount", "no_recent_vc_round"))
+        .otherwise(found("venture_backed", "venture_profile"))
+    )
+
+
+# Words of an industry and the sector whose momentum counts where a company names none.
+MOMENTUM_WORDS: Rules = [
+    (r"\b(ai|ml|llm|nlp)\b|machine learn|artificial intel|generative|deep learn", "ai-ml"),
+    ("fintech|payment|neobank|crypto|web3|insurtech|wealthtech|lending|defi", "fintech"),
+    ("cyber|zero trust|endpoint sec|cloud sec|identity|iam", "cybersecurity"),
+    ("saas|dev tool|devops|api platform|no-code|low-code|data infra", "saas-devtools"),
+    ("e-commerce|ecommerce|marketplace|logistics|retail tech", "ecommerce-retail"),
+    ("health|medical|biotech|genomic|mental health", "health-lifesci"),
+    ("clean tech|cleantech|energy|renewable|carbon|climate|sustain", "climate-energy"),
+    ("enterprise|crm|erp|hr tech|analytics|business intel", "enterprise-sw"),
+    ("gaming|social media|edtech|travel|media|consumer", "consumer-media"),
+    ("quantum|robotics|space tech|semiconductor|deeptech|deep tech", "deeptech"),
+]
+
+
+def momentum_sector(industry: Column) -> Column:
+    return first_label(industry, MOMENTUM_WORDS)
+
+
+def field_confidence(types: Column) -> Column:
+    """0 to 90 from the kinds of sources that back a field (an array)."""
+
+    def has(*kinds: str) -> Column:
+        return F.arrays_overlap(types, F.array(*map(F.lit, kinds)))
+
+    news = F.size(F.filter(types, lambda t: t == "news"))
+    return F.when(has("registry"), 90).when(has("company_site", "press_release") | (news >= 2), 75).when(news == 1, 55).when(has("aggregator_snippet"), 40).otherwise(0)
+
+
+def _given(text: Column) -> Column:
+    return F.trim(F.coalesce(text, F.lit(""))) != ""
+
+
+def data_group(description: Column, city: Column, country: Column, founded_year: Column, rounds: Column, founders: Column) -> Column:
+    """empty, partial or full: five kinds of facts, and a description of 200 characters for full."""
+    flags = (_given(description), _given(city) | _given(country), F.coalesce(founded_year, F.lit(0)) != 0, F.coalesce(rounds, F.lit(0)) > 0, F.coalesce(founders, F.lit(0)) > 0)
+    have = sum((f.cast("int") for f in flags), F.lit(0))
+    return F.when(have == 0, "empty").when((have == 5) & (F.length(F.trim(description)) >= 200), "full").otherwise("partial")
+
+
+def work_tier(description: Column, employees: Column, real_rounds: Column, competitors: Column) -> Column:
+    """1 without data, 3 with all of it, 2 between."""
+    described, staffed = F.coalesce(description, F.lit("")) != "", F.coalesce(employees, F.lit(0)) != 0
+    return F.when(~described & ~staffed & ~real_rounds, 1).when(described & staffed & real_rounds & (F.coalesce(competitors, F.lit(0)) > 0), 3).otherwise(2)
+
+
+# Country codes at the end of a host and their region.
+REGIONS = {
+    "israel": "il",
+    "uk_ireland": "uk|ie",
+    "europe": "de|fr|nl|es|it|se|no|dk|fi|ch|at|be|pt|pl|ee|lt|lv|cz|gr|ro|hu|lu|ua|bg|hr|rs|eu",
+    "north_america": "ca|us",
+    "asia_pacific": "in|jp|cn|sg|kr|au|nz|hk|tw|my|id|th|vn|ph",
+    "latin_america": "br|mx|ar|cl|co|pe|uy",
+    "middle_east_africa": "ae|sa|tr|eg|za|ng|ke|ma|qa|jo",
+}
+
+
+def region(host: Column) -> Column:
+    """Region of a host's country code; a bare ``.co`` and everything else is generic."""
+    own = F.coalesce(host, F.lit(""))
+    return F.when(own.rlike(r"\.co$"), "generic").otherwise(F.coalesce(*[F.when(own.rlike(rf"\.({codes})$"), name) for name, codes in REGIONS.items()], F.lit("generic")))
+
+
+# Industry groups of an offering in scope, and those in scope by name alone.
+TECH_GROUPS = ("technology", "computers", "telecommunications", "other technology", "biotechnology")
+ADJACENT_GROUPS = ("pharmaceuticals", "other health care", "energy conservation", "environmental services", "other energy", "manufacturing", "business services", "other")
+# Whole words of a technology company's name, and of an investment vehicle's.
+TECH_NAME = r"(?i)\b(ai|robotics?|robots?|autonomous|quantum|semiconductors?|photonics?|lidar|drones?|satellites?|aerospace|biotech\w*|bio|biosciences?|biologics|therapeutics|genomics?|diagnostics|medtech|neuro\w*|solar|batter(?:y|ies)|hydrogen|fusion|cleantech|climatetech|software|saas|cyber\w*|fintech|blockchain)\b"
+VEHICLE_NAME = r"(?i)\b(fund|funds|spv|a series of|series\s+[a-z0-9][\w-]*|l\.?p\.?|co-?invest\w*|opportunit(?:y|ies)|investors?|capital partners|holdings?|equit(?:y|ies))\b"
+# What tells a patent's applicant from a startup.
+INSTITUTION = r"(?i)\b(universit\w*|college|institut\w*|hospital|klinik\w*|research council|academy|academia|cnrs|inserm|fraunhofer|max[- ]planck|tno|csic|kaist|a\*star|commissariat|government|ministry|secretary of)\b"
+IP_VEHICLE = r"(?i)\b(licensing|global technolog(?:y|ies)|technology operations|ip holdings?|ipr management|innovations?,? (?:llc|l\.l\.c|inc)|international sales|bidco|opco|operating company|apollo, llc|enterprise management|limited partnership)\b"
+ORG_SUFFIX = r"(?i)\b(inc|incorporated|corp|corporation|co|company|ltd|limited|llc|l\.l\.c|gmbh|ag|s\.?a|s\.?a\.?s|b\.?v|n\.?v|plc|ab|oy|oyj|hf|ehf|k\.?k|pte|pty|s\.?r\.?l|s\.?p\.?a|sarl|se|ltda|lda|a/?s|asa|aps|kft|zrt|sp\.? z o\.?o|ou|oü|bhd|sdn|kg|flexco|kaisha|e\.?v)\.?$"
+ORG_WORD = r"(?i)\b(technolog\w*|systems?|labs?|robotics|solutions|software|energy|therapeutics|bio\w*|networks?|devices|industries|group|ai)\b"
+
+
+def industry_scope(group: Column, name: Column) -> Column:
+    """core, adjacent (only where the name says technology) or null."""
+    g = F.lower(F.coalesce(group, F.lit("")))
+    return F.when(g.isin(*TECH_GROUPS), "core").when(g.isin(*ADJACENT_GROUPS) & F.coalesce(name, F.lit("")).rlike(TECH_NAME), "adjacent")
+
+
+def _gated(reasons_of: Column, passed: Column) -> Column:
+    return F.struct(F.when(F.size(reasons_of) > 0, "reject").otherwise(passed).alias("tier"), reasons_of.alias("reasons"))
+
+
+def offering_gate(name: Column, group: Column, is_fund: Column, is_new: Column) -> Column:
+    """Struct of tier (alert, queue or reject) and reasons of an offering notice."""
+    scope = industry_scope(group, name)
+    word = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), VEHICLE_NAME, 1))
+    why = reasons(
+        (F.coalesce(is_fund, F.lit(False)), "investment_fund"),
+        (scope.isNull(), F.concat(F.lit("industry:"), F.coalesce(group, F.lit("none")))),
+        (word != "", F.concat(F.lit("vehicle_name:"), word)),
+    )
+    return _gated(why, F.when((scope == "core") & F.coalesce(is_new, F.lit(True)), "alert").otherwise("queue"))
+
+
+def person_like(name: Column) -> Column:
+    """Whether an applicant's name is a person's: two to four plain words without a mark of an organisation."""
+    n = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), "[.,]", " "), r"\s+", " "))
+    words = F.split(n, " ")
+    plain = F.forall(words, lambda w: w.rlike(r"^[\p{L}'-]+$"))
+    cased = (F.size(words) == 2) | F.exists(words, lambda w: w != F.upper(w))
+    marked = n.rlike(ORG_SUFFIX) | n.rlike(ORG_WORD) | n.rlike(INSTITUTION)
+    return (n != "") & ~marked & F.size(words).between(2, 4) & plain & cased
+
+
+def applicant_gate(name: Column, excluded: Column) -> Column:
+    """Struct of tier (queue or reject) and reasons of a patent's applicant."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    none = (n == "") | n.rlike(r"(?i)\(inventor-held\)$|^unassigned publication$")
+    why = reasons(
+        (none, "no_company_applicant"),
+        (~none & F.coalesce(excluded, F.lit(False)), "excluded_applicant"),
+        (~none & n.rlike(INSTITUTION), "institution"),
+        (~none & n.rlike(IP_VEHICLE), "corporate_ip_vehicle"),
+        (~none & person_like(n), "individual_applicant"),
+    )
+    return _gated(why, F.lit("queue"))
+
+
+def filing_class(name: Column, is_fund: Column, group: Column) -> Column:
+    """Why a filing isn't eligible: no_name, fund or not_tech; null where it is."""
+    return F.when(F.coalesce(name, F.lit("")) == "", "no_name").when(F.coalesce(is_fund, F.lit(False)), "fund").when(industry_scope(group, name).isNull(), "not_tech")
+
+
+def run_class(status: Column, error: Column, dry: Column, failures: Column, rows: Column) -> Column:
+    """error, dry_run, partial, empty or ok of a run."""
+    failed = F.coalesce(failures, F.lit(0)) > 0
+    return F.when((status >= 400) | error.isNotNull(), "error").when(F.coalesce(dry, F.lit(False)), "dry_run").when(failed & (rows == 0), "error").when(failed, "partial").when(rows == 0, "empty").otherwise("ok")

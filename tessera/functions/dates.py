@@ -54,3 +54,8 @@ def latest_of(**dates: Column) -> tuple[Column, Column]:
 def alert_window_hours(at: Column, hours: Column, tolerant: Column) -> Column:
     """A source's allowed silence; on Sunday and Monday a weekend-tolerant one has 72 hours at least."""
     return F.when(tolerant & F.dayofweek(at).isin(1, 2), F.greatest(hours, F.lit(72))).otherwise(hours)
+
+
+def missing_index(day: Column, today: Column, days: int = 3) -> Column:
+    """State of a day whose index isn't there: still to come, or none for this day after ``days``."""
+    return F.when(F.datediff(today, day) > days, "no_index").otherwise("waiting")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Words that scale a number.
 SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9}
+# A figure with its scale.
 NUMBER = r"(?i)\$?\s?(\d[\d,]*\.?\d*)\s*(thousand|million|billion|mn|bn|k|m|b)?\b"
 
 
@@ -65,3 +66,62 @@ def to_usd(df: DataFrame, rates: DataFrame, *, amount: str, currency: str, year:
     keyed = rates.select(F.upper("currency").alias("rate_of"), F.col("year").alias("rate_year"), "usd_per_unit")
     joined = spanned.withColumn("at_year", at).join(keyed, (F.col("rate_currency") == F.col("rate_of")) & (F.col("at_year") == F.col("rate_year")), "left")
     return joined.select(*df.columns, (F.col(amount) * F.col("usd_per_unit")).alias(out))
+
+
+# Marks right before and right after a figure, for each currency, in the order they are tried.
+_AFTER = r"^\s?(million|billion|mn|bn|m|b|k)?\s*"
+MARKS: list[tuple[str, str, str]] = [
+    ("EUR", r"(?i)(€|\bEUR|\beuros?)\s?$", r"(euros?\b|EUR\b)"),
+    ("GBP", r"(?i)(£|\bGBP)\s?$", r"(pounds?( sterling)?\b|GBP\b)"),
+    ("CHF", r"\bCHF\s?$", r"(Swiss francs?\b|CHF\b)"),
+    ("INR", r"(₹|\bINR|\bRs\.?)\s?$", r"(rupees?\b|INR\b)"),
+    ("ILS", r"(₪|\bNIS|\bILS)\s?$", r"(shekels?\b|NIS\b|ILS\b)"),
+    ("JPY", r"(¥|\bJPY)\s?$", r"(yen\b|JPY\b)"),
+    ("CAD", r"(C\$|\bCAD)\s?$", r"(Canadian dollars?\b|CAD\b)"),
+    ("AUD", r"(A\$|\bAUD)\s?$", r"(Australian dollars?\b|AUD\b)"),
+    ("SEK", r"\bSEK\s?$", r"(kronor\b|SEK\b)"),
+]
+
+
+def currency_of(amount: Column, quote: Column) -> Column:
+    """Currency in which a quote writes the amount: the mark beside the figure that equals it; USD without a mark, null without the figure.
+
+    The quote is cut at its figures; each keeps what stands before and after it.
+    """
+    figures = F.regexp_extract_all(quote, F.lit(r"\d[\d,]*\.?\d*"), F.lit(0))
+    between = F.split(quote, r"\d[\d,]*\.?\d*")
+
+    def read(figure: Column, i: Column) -> Column:
+        before, after = F.get(between, i), F.get(between, i + 1)
+        scale = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.lower(F.regexp_extract(after, r"(?i)^\s*(thousand|million|billion|mn|bn|k|m|b)\b", 1))), F.lit(1.0))
+        value = F.replace(figure, F.lit(","), F.lit("")).try_cast("double") * scale
+        marked = [F.when(F.right(before, F.lit(6)).rlike(pre) | after.rlike(f"(?i){_AFTER}{post}"), code) for code, pre, post in MARKS]
+        dollars = F.right(before, F.lit(6)).rlike(r"(?i)(US\$|\bUSD)\s?$")
+        return F.struct((F.abs(value - amount) / amount <= 0.005).alias("same"), F.when(dollars, "USD").otherwise(F.coalesce(*marked, F.lit("USD"))).alias("currency"))
+
+    hits = F.filter(F.transform(figures, read), lambda x: x["same"])
+    return F.when(amount > 0, F.get(hits, F.lit(0))["currency"])
+
+
+def readings(token: Column) -> Column:
+    """Array of the values that a written number can mean: ``,``, ``.`` and blanks between thousands, or a decimal mark."""
+    bare = F.regexp_replace(token, r"[\s\u00a0](?=\d{3}(\D|$))", "")
+    marks = F.regexp_replace(bare, "[^.,]", "")
+    last = F.regexp_extract(bare, r"[.,](\d*)$", 1)
+    digits = F.regexp_replace(bare, "[.,]", "").try_cast("double")
+    whole = F.regexp_replace(F.regexp_extract(bare, r"^(.*)[.,]\d*$", 1), "[.,]", "")
+    decimal = F.concat(whole, F.lit("."), last).try_cast("double")
+    both = F.contains(marks, F.lit(".")) & F.contains(marks, F.lit(","))
+    return (
+        F.when(marks == "", F.array(digits))
+        .when(both, F.array(decimal))
+        .when(F.length(marks) > 1, F.array(digits))
+        .when(F.length(last) == 3, F.array(digits, decimal))
+        .otherwise(F.array(decimal))
+    )
+
+
+def sold_share(sold: Column, target: Column) -> Column:
+    """Percent of an offering that is sold, 100 at most; null where either side is unknown."""
+    known = (target > 0) & (sold >= 0)
+    return F.when(known, F.least(F.lit(100.0), F.round(sold / target * 100))).cast("int")

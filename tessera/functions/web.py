@@ -167,3 +167,35 @@ def html_text(html: Column) -> Column:
 def script_json(html: Column, name: str) -> Column:
     """Text of the object that a page's script assigns to ``name``, else null."""
     return F.nullif(F.regexp_extract(html, rf"(?s)\b{name}\s*=\s*(\{{.*?\}})\s*;?\s*</script>", 1), F.lit(""))
+
+
+# Hosts of code, free pages and social networks, which no company owns.
+SHARED_HOSTS = (
+    "github.com github.io githubusercontent.com gitlab.com gitlab.io bitbucket.org huggingface.co hf.space hf.co readthedocs.io readthedocs.org vercel.app netlify.app pages.dev "
+    "herokuapp.com streamlit.app gradio.live replit.app colab.research.google.com sites.google.com notion.site substack.com medium.com arxiv.org twitter.com x.com linkedin.com "
+    "discord.gg discord.com youtube.com pypi.org npmjs.com kaggle.com paperswithcode.com"
+).split()
+
+
+def own_domain(host: Column) -> Column:
+    """Whether a host may be a company's own: it has a dot and isn't (below) a shared one."""
+    shared = "|".join(x.replace(".", r"\.") for x in SHARED_HOSTS)
+    h = F.coalesce(host, F.lit(""))
+    return F.contains(h, F.lit(".")) & ~h.rlike(rf"(^|\.)({shared})$")
+
+
+def under_domain(host: Column, domain: Column) -> Column:
+    """Whether a host is a domain or one of its subdomains."""
+    return F.coalesce((host == domain) | F.endswith(host, F.concat(F.lit("."), domain)), F.lit(False))
+
+
+def search_words(raw: str) -> str:
+    """A typed search without what would widen a filter, 80 characters at most."""
+    kept = "".join(" " if c in ",()*%_\\:\"'" else c for c in raw)
+    return " ".join(kept.split())[:80]
+
+
+def profile_url(url: Column) -> Column:
+    """Canonical address of a personal profile, else null."""
+    name = F.lower(F.try_url_decode(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^https?://(?:[a-z]{2,3}\.|www\.)?linkedin\.com/in/([^/?#\s]+)", 1)))
+    return F.when(name != "", F.concat(F.lit("https://www.linkedin.com/in/"), name))

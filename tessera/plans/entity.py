@@ -70,18 +70,22 @@ def tier2_pairs(spark, sf_dir):
 
 @query(
     """
-    WITH n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1),
+    WITH c AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey - 1 ELSE c_custkey END AS k, c_custkey AS id FROM customer),
+    n AS (SELECT name, min(id) AS id FROM (SELECT 'north star works number ' || CAST(k * 7919 AS VARCHAR) || CASE WHEN id % 3 = 0 THEN ' s' ELSE '' END AS name, id FROM c) GROUP BY 1),
     w AS (SELECT id, unnest(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM n),
     g AS (SELECT DISTINCT id, substr('  ' || word || ' ', i, 3) AS gram FROM w, range(1, 100) t(i) WHERE i <= length(word) + 1),
-    c AS (SELECT id, count(*) AS n FROM g GROUP BY id)
+    c2 AS (SELECT id, count(*) AS n FROM g GROUP BY id)
     SELECT a.id AS left_id, b.id AS right_id, round(count(*) * 1.0 / (max(ca.n) + max(cb.n) - count(*)), 3) AS likeness
-    FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id JOIN c ca ON ca.id = a.id JOIN c cb ON cb.id = b.id
+    FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id JOIN c2 ca ON ca.id = a.id JOIN c2 cb ON cb.id = b.id
     GROUP BY 1, 2 HAVING count(*) * 1.0 / (max(ca.n) + max(cb.n) - count(*)) >= 0.86
     """
 )
 def trigram_pairs(spark, sf_dir):
-    """Different names that are much alike by trigrams."""
-    return resolve.similar_names(table(spark, sf_dir, "part"), "p_name", "p_partkey")
+    """Different names that are much alike by trigrams; every third customer's is an edited copy of the one before."""
+    k = F.col("c_custkey")
+    own = F.when(k % 3 == 0, k - 1).otherwise(k) * 7919
+    name = F.concat(F.lit("north star works number "), own.cast("string"), F.when(k % 3 == 0, " s").otherwise(""))
+    return resolve.similar_names(table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")), "name", "c_custkey")
 
 
 @query(
@@ -130,18 +134,16 @@ def dup_pairs(spark, sf_dir):
 )
 def duplicate_groups(spark, sf_dir):
     """Connected groups of possible duplicates."""
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        spark.sparkContext.setCheckpointDir("/tmp/tessera-checkpoints")
     return resolve.connected(dup_pairs(spark, sf_dir))
 
 
 @query(
-    f"""
-    SELECT p_partkey, CASE WHEN p_type IS NULL OR trim(p_type) = '' THEN 'Uncategorized' ELSE {classify.ladder_sql("x", classify.SECTOR_RULES, 'Uncategorized')} END AS sector
-    FROM (SELECT p_partkey, p_type, p_type || CASE p_partkey % 7 WHEN 0 THEN ' AI platform' WHEN 1 THEN ' neobank' WHEN 2 THEN ' Zero Trust' WHEN 3 THEN ' robotics' WHEN 4 THEN ' games' ELSE '' END AS x FROM part)
+    """
+    SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'AI & ML' WHEN 1 THEN 'Fintech' WHEN 2 THEN 'Cybersecurity' WHEN 3 THEN 'DeepTech' WHEN 4 THEN 'Consumer & Media' ELSE 'Uncategorized' END AS sector FROM part
     """
 )
 def classify_sectors(spark, sf_dir):
+    """Sectors of parts' types, which name none, with words that do."""
     k = F.col("p_partkey") % 7
     added = F.when(k == 0, " AI platform").when(k == 1, " neobank").when(k == 2, " Zero Trust").when(k == 3, " robotics").when(k == 4, " games").otherwise("")
     return table(spark, sf_dir, "part").select("p_partkey", classify.sector(F.concat("p_type", added)).alias("sector"))
