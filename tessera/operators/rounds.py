@@ -1,14 +1,21 @@
-"""Greedy, order-dependent merging of funding rounds and news, one company at a time.
+"""Greedy, order-dependent merging of funding rounds, one company's stretch of dates at a time.
 
 The order within a company is fixed by explicit sort columns, so results don't
-depend on partitions.  A company has tens of rounds, not an unbounded number.
+depend on partitions.  A company's rounds are cut where more than DAYS lie
+between two of them, which no merge can span, so a company with very many rounds
+is many small groups; tasks stream through the sorted groups in Arrow batches.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from tessera.operators.relational import segments
 
 # How specific a round label is, least first.
 SPECIFICITY = ("Unknown", "Other", "Growth", "Seed", "Pre-Seed", "Series A", "Series B", "Series C", "Series D", "Series E", "Series F+")
@@ -23,13 +30,17 @@ def _agree(a: str, b: str) -> bool:
     return bool(a and b) and (a in b or b in a)
 
 
+def _known(x) -> bool:
+    return x is not None and x == x
+
+
 def _close(a, b, share: float) -> bool:
-    return pd.notna(a) and pd.notna(b) and a > 0 and b > 0 and abs(a - b) / max(a, b) <= share
+    return _known(a) and _known(b) and a > 0 and b > 0 and abs(a - b) / max(a, b) <= share
 
 
 def verdict(a: dict, b: dict) -> str | None:
     """duplicate, review, or None for two rounds."""
-    if pd.isna(a["date"]) or pd.isna(b["date"]) or abs((a["date"] - b["date"]).days) > DAYS:
+    if a["date"] is None or b["date"] is None or abs((a["date"] - b["date"]).days) > DAYS:
         return None
     x, y = _key(a["lead"]), _key(b["lead"])
     if _agree(x, y) and _close(a["amount"], b["amount"], SAME_LEAD):
@@ -41,7 +52,7 @@ def verdict(a: dict, b: dict) -> str | None:
 
 def _joined(a: dict, b: dict) -> dict:
     def known(field):
-        return a[field] if pd.notna(a[field]) else b[field]
+        return a[field] if _known(a[field]) else b[field]
 
     lead = a["lead"] or b["lead"]
     others = {n.strip() for n in [*a["others"], *b["others"]] if n and n.strip()}
@@ -55,7 +66,7 @@ def _joined(a: dict, b: dict) -> dict:
         "label": b["label"] if rank(b["label"]) > rank(a["label"]) else a["label"],
         "amount": known("amount"),
         "valuation": known("valuation"),
-        "date": min(x for x in (a["date"], b["date"]) if pd.notna(x)),
+        "date": min(a["date"], b["date"]),
         "lead": lead,
         "others": sorted(others),
         "merged": a["merged"] + [b["round_id"]],
@@ -63,23 +74,48 @@ def _joined(a: dict, b: dict) -> dict:
 
 
 SCHEMA = "company_id long, round_id long, label string, amount double, valuation double, date timestamp, lead string, others array<string>, merged array<long>"
+_FIELDS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def _merge_company(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pdf.sort_values(["date", "round_id"], na_position="last").to_dict("records")
+def merge_sorted(rows: list[dict]) -> list[dict]:
+    """Rounds of one company in order of date (unknown dates last) after greedy merging."""
     for r in rows:
-        r["others"], r["merged"] = list(r["others"] if r["others"] is not None else []), []
-        r["lead"] = r["lead"] if isinstance(r["lead"], str) else None
+        r["others"], r["merged"] = list(r["others"] or []), []
     kept, used = [], set()
     for i, row in enumerate(rows):
         if i in used:
             continue
         for j in range(i + 1, len(rows)):
+            if row["date"] is None or rows[j]["date"] is None or (rows[j]["date"] - row["date"]).days > DAYS:
+                break  # later ones are further away still
             if j not in used and verdict(row, rows[j]) == "duplicate":
-                row = _joined(row, rows[j])
+                row = _joined(row, rows[j]) | {"company_id": row["company_id"]}
                 used.add(j)
-        kept.append(row | {"company_id": pdf["company_id"].iloc[0]})
-    return pd.DataFrame(kept, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        kept.append(row)
+    return kept
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.timestamp("us", tz="UTC"), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
+    schema = pa.schema(list(zip(_FIELDS, kinds)))
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[f] for r in rows], k) for f, k in zip(_FIELDS, kinds)], schema=schema)
+
+    now, group, out = None, [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = (row["company_id"], row.pop("segment"))
+            if key != now:
+                out += merge_sorted(group)
+                now, group = key, []
+            group.append(row)
+        if out:
+            yield batch_of(out)
+            out = []
+    out += merge_sorted(group)
+    if out:
+        yield batch_of(out)
 
 
 def merge_rounds(rounds: DataFrame) -> DataFrame:
@@ -88,4 +124,9 @@ def merge_rounds(rounds: DataFrame) -> DataFrame:
     rounds: company_id, round_id, label, amount, valuation, date, lead, others.
     A round that was merged into another is listed in its ``merged``.
     """
-    return rounds.select("company_id", "round_id", "label", "amount", "valuation", "date", "lead", "others").groupBy("company_id").applyInPandas(_merge_company, SCHEMA)
+    base = rounds.select("company_id", "round_id", "label", "amount", "valuation", "date", "lead", "others")
+    order = [F.col("date").asc_nulls_last(), F.col("round_id")]
+    before = F.lag("date").over(W.partitionBy("company_id").orderBy(*order))
+    numbered = segments(base.withColumn("_before", before), "company_id", order, F.datediff("date", "_before") > DAYS)
+    dealt = numbered.drop("_before").repartition("company_id", "segment").sortWithinPartitions("company_id", "segment", *order)
+    return dealt.mapInArrow(_merge, SCHEMA)

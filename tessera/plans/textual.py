@@ -54,15 +54,28 @@ def best_sentences(spark, sf_dir):
     """
 )
 def benchmark_overlap(spark, sf_dir):
-    """Documents that hold passages of 13 words of a benchmark item."""
+    """Documents that hold passages of 13 words of a benchmark item.
 
-    def grams(name: str, unique: str):
+    Hashes of the passages find the documents that can hold any; only those are
+    compared word for word.
+    """
+
+    def split(df):
         words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
+        return df.withColumn("w", words).where(F.size("w") >= 13)
+
+    def grams(df, unique: str, of):
         at = F.sequence(F.lit(1), F.size("w") - 12)
-        cut = table(spark, sf_dir, name).select(unique, words.alias("w")).where(F.size("w") >= 13)
-        return cut.select(unique, F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, F.lit(13)), " ")))).alias("gram"))
+        return split(df).select(unique, F.explode(F.array_distinct(F.transform(at, lambda i: of(F.slice("w", i, F.lit(13)))))).alias("gram"))
+
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    hashed = grams(docs, "doc_id", F.xxhash64).join(grams(items, "item_id", F.xxhash64).select("gram").distinct(), "gram", "left_semi")
+    may = docs.join(hashed.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def joined(words):
+        return F.array_join(words, " ")
 
-    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    return grams(may, "doc_id", joined).join(grams(items, "item_id", joined), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query(
