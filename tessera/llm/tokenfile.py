@@ -39,11 +39,10 @@ LEARN_EVERY = 16
 READ_IDS, MOST_READERS = 4 << 20, 100_000
 MAGIC = b"TIDB"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, index bytes, payload bytes, crc of payload, crc of ids
-_MASK32, _LOW = np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
-_S16, _S32 = np.uint64(16), np.uint64(32)
+_MASK32, _LOW = 0xFFFFFFFF, 1 << 32  # the coder's numbers stay below 2^49: signed 64-bit integers hold them, and floats all of their bits
 _TOTAL = 1 << 16  # of the shares of the cases, and of the frequencies of order 0; the coder's total is its square
 _CONTEXTS, _HASH_SHIFT, _KNOWN_MOST, _NEW_LEAST = 1 << 18, 14, 49_152, 64
-_FREQ, _S17 = np.uint64((1 << 17) - 1), np.uint64(17)
+_FREQ, _WHOLE = (1 << 17) - 1, 1 << 16  # an entry of ``places`` or ``case_places``: frequency, and from bit 17 on the start; the one that is all of order 0
 
 
 class _Model:
@@ -51,7 +50,10 @@ class _Model:
 
     An entry of a prediction table is 4 * id + confidence.  ``places`` holds the
     frequency of each id under order 0 and, from bit 17 on, where its share
-    starts.  Whatever is used as an index is a 64-bit integer throughout.
+    starts; ``case_places`` the same of each case under its context.  An id's
+    share of the coder's range is the product of the two; for one that is
+    predicted, order 0 counts as a whole.  Whatever is used as an index is a
+    64-bit integer throughout.
     """
 
     def __init__(self, alphabet: int):
@@ -66,10 +68,9 @@ class _Model:
         share = self.cases * (_TOTAL - 3) // self.cases.sum(1, keepdims=True) + 1
         share[:, 2] += _TOTAL - share.sum(1)
         ends = np.cumsum(share, 1)
-        self.case_start = ((ends - share) << 16).reshape(-1).astype(np.uint64)
-        self.case_freq = (share << 16).reshape(-1).astype(np.uint64)
-        self.end0, self.end1 = (ends[:, 0] << 16).astype(np.uint64), (ends[:, 1] << 16).astype(np.uint64)
-        self.rest = share[:, 2].astype(np.uint64)  # what order 0's frequencies are multiplied by
+        self.case_places = (share | (ends - share) << 17).reshape(-1)
+        self.end0, self.end1 = ends[:, 0] << 16, ends[:, 1] << 16
+        self.rest = share[:, 2].astype(np.float64)  # what order 0's frequencies are multiplied by
         counts = self.counts
         while np.count_nonzero(counts) > _KNOWN_MOST:
             counts = counts >> 1
@@ -78,20 +79,28 @@ class _Model:
         if len(known):
             freq[known] = 1 + counts[known] * (_TOTAL - _NEW_LEAST - len(known)) // counts.sum()
         freq[-1] = _TOTAL - freq.sum()
-        self.places = (freq | (np.cumsum(freq) - freq) << 17).astype(np.uint64)
+        self.places = freq | (np.cumsum(freq) - freq) << 17
         symbols = np.append(known, self.alphabet)
         self.slots = np.repeat(symbols, freq[symbols])
 
     def look(self, p2: np.ndarray, p1: np.ndarray):
         """(order-2 slot, its id, order 1's id, context of the case) for each lane."""
         h = ((p1 * 0x9E3779B1 + p2 * 0x85EBCA6B) & 0xFFFFFFFF) >> _HASH_SHIFT
-        e2, e1 = self.order2[h], self.order1[p1]
+        e2, e1 = self.order2.take(h), self.order1.take(p1)
         a, b = e2 >> 2, e1 >> 2
-        return h, a, b, ((e2 & 3) << 2) + (e1 & 3) + ((a == b) << 4)
+        context = ((e2 & 3) << 2) + (e1 & 3)
+        context += np.where(a == b, np.int32(16), np.int32(0))
+        return h, a, b, context.astype(np.int64)
+
+    def share(self, k: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, frequency) of a case and, within it, of a place under order 0."""
+        case = self.case_places.take(k)
+        part = case & _FREQ
+        return (case >> 17 << 16) + (place >> 17) * part, (place & _FREQ) * part
 
     @staticmethod
     def _learn(entries: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
-        held = entries[at]
+        held = entries.take(at)
         sure = held & 3
         missed = np.where(sure > 0, held - 1, ids << 2)
         entries[at] = np.where(held >> 2 == ids, held + (sure < 3), missed)
@@ -126,22 +135,38 @@ def encode_block(ids: np.ndarray) -> bytes:
     grid[:base, extra:] = ids[cut:].reshape(lanes - extra, base).T
     alphabet = int(min(ids.max(initial=0), _TOTAL - 1)) + 1
     model = _Model(alphabet)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    out, pos = np.zeros((4 * steps + 2, lanes), np.uint32), np.zeros(lanes, np.int64)
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    out, spot = np.zeros((4 * steps + 2) * lanes, np.uint32), np.arange(lanes)  # a row of words for all lanes; each lane's next place
     p1, p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
-    def code(who, start, freq):
-        r = rng[who] >> _S32
-        lo, width = low[who] + r * start, r * freq
+    def shift(lane, lo, width):
+        """Put out words of those lanes whose ranges are short, until none is."""
         short = np.flatnonzero(width < _LOW)
         while len(short):
-            lane = short if isinstance(who, slice) else who[short]
-            part = lo[short]
-            out[pos[lane], lane] = part >> _S32
-            pos[lane] += 1
-            lo[short] = (part & _MASK32) << _S16
-            width[short] <<= _S16
+            at, part = short if lane is None else lane[short], lo[short]
+            out[spot[at]] = part >> 32
+            spot[at] += lanes
+            lo[short] = (part & _MASK32) << 16
+            width[short] <<= 16
             short = short[width[short] < _LOW]
+
+    def code_all(m, start, freq):
+        r = rng[:m] >> 32
+        start *= r
+        freq *= r
+        lo = low[:m] + start
+        short = freq < _LOW
+        out[spot[:m]] = lo >> 32  # where no word is due the place stays, and is written again
+        spot[:m] += np.where(short, lanes, 0)
+        lo = np.where(short, (lo & _MASK32) << 16, lo)
+        freq <<= np.where(short, 16, 0)
+        shift(None, lo, freq)
+        low[:m], rng[:m] = lo, freq
+
+    def code_some(who, start, freq):
+        r = rng[who] >> 32
+        lo, width = low[who] + r * start, r * freq
+        shift(who, lo, width)
         low[who], rng[who] = lo, width
 
     batch = []
@@ -149,31 +174,28 @@ def encode_block(ids: np.ndarray) -> bytes:
         m = lanes if step < base else extra
         x, q1 = grid[step, :m], p1[:m]
         h, a, b, context = model.look(p2[:m], q1)
-        case = np.where(x == a, 0, np.where(x == b, 1, 2))
-        k = context * 3 + case
+        k = context * 3 + np.where(x == a, 0, np.where(x == b, 1, 2))
+        other = (x != a) & (x != b)
         symbol = np.minimum(x, alphabet)
-        place = model.places[symbol]
+        place = model.places.take(symbol)
         unknown = np.flatnonzero((place & _FREQ) == 0)
         if len(unknown):
             symbol[unknown] = alphabet
             place[unknown] = model.places[alphabet]
-        other, rest, start = case == 2, model.rest[context], model.case_start[k]
-        start = np.where(other, start + (place >> _S17) * rest, start)
-        code(slice(0, m), start, np.where(other, (place & _FREQ) * rest, model.case_freq[k]))
+        code_all(m, *model.share(k, np.where(other, place, _WHOLE)))
         new = np.flatnonzero(other & (symbol == alphabet))
         if len(new):
-            one = np.full(len(new), _TOTAL, np.uint64)
-            code(new, (x[new] >> 16).astype(np.uint64) << _S16, one)
-            code(new, (x[new] & 0xFFFF).astype(np.uint64) << _S16, one)
+            code_some(new, (x[new] >> 16) << 16, _TOTAL)
+            code_some(new, (x[new] & 0xFFFF) << 16, _TOTAL)
         kept = np.minimum(x, alphabet - 1)
         batch.append((h, q1, k, kept))
         p2, p1 = q1, kept
         if _learns(step + 1):
             model.learn(batch)
             batch = []
-    last = (low + _MASK32) >> _S32
-    out[pos, np.arange(lanes)] = last
-    pos += 1
+    out[spot] = (low + _MASK32) >> 32
+    pos = spot // lanes + 1
+    out = out.reshape(-1, lanes)
     for row in range(int(pos.max()) - 1, 0, -1):  # carries
         out[row - 1] += out[row] >> 16
     out &= 0xFFFF
@@ -185,33 +207,44 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
     lanes, base, extra = _lanes(n)
     (alphabet,) = struct.unpack_from("<I", data)
     sizes = np.frombuffer(data, "<u4", lanes, 4).astype(np.int64)
-    words = np.append(np.frombuffer(data, "<u2", -1, 4 + 4 * lanes).astype(np.uint64), np.zeros(3, np.uint64))
-    end = np.cumsum(sizes)
-    ptr = end - sizes
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    ptr = starts + 3 * np.arange(lanes)  # three words of 0 follow each lane's
+    words = np.zeros(int(ends[-1]) + 3 * lanes, np.int64)
+    words[np.repeat(ptr - starts, sizes) + np.arange(ends[-1])] = np.frombuffer(data, "<u2", -1, 4 + 4 * lanes)
     model = _Model(alphabet)
-    rng, code = np.full(lanes, 1 << 48, np.uint64), np.zeros(lanes, np.uint64)
-
-    def word(lane):
-        p = ptr[lane]
-        got = np.where(p < end[lane], words[np.minimum(p, len(words) - 1)], np.uint64(0))
-        ptr[lane] = p + 1
-        return got
-
-    every = np.arange(lanes)
+    rng, code = np.full(lanes, 1 << 48, np.int64), np.zeros(lanes, np.int64)
     for _ in range(3):
-        code = (code << _S16) | word(every)
+        code = (code << 16) | words[ptr]
+        ptr += 1
 
-    def value(who):
-        r = rng[who] >> _S32
-        return r, np.minimum(code[who] // r, _MASK32)
+    def value(code, rng):
+        r = rng >> 32
+        return r, np.minimum((code / r).astype(np.int64), _MASK32)  # exact: quotients below 2^32 of divisors up to 2^16
 
-    def take(who, r, start, freq):
-        left, width = code[who] - r * start, r * freq
+    def fill(lane, left, width):
+        """Take in words for those lanes whose ranges are short, until none is."""
         short = np.flatnonzero(width < _LOW)
         while len(short):
-            left[short] = (left[short] << _S16) | word(short if isinstance(who, slice) else who[short])
-            width[short] <<= _S16
+            at = short if lane is None else lane[short]
+            left[short] = (left[short] << 16) | words[ptr[at]]
+            ptr[at] += 1
+            width[short] <<= 16
             short = short[width[short] < _LOW]
+
+    def take_all(m, r, start, freq):
+        start *= r
+        freq *= r
+        left, short = code[:m] - start, freq < _LOW
+        left = np.where(short, (left << 16) | words.take(ptr[:m]), left)
+        ptr[:m] += short
+        freq <<= np.where(short, 16, 0)
+        fill(None, left, freq)
+        code[:m], rng[:m] = left, freq
+
+    def take_some(who, r, start, freq):
+        left, width = code[who] - r * start, r * freq
+        fill(who, left, width)
         code[who], rng[who] = left, width
 
     steps = base + (extra > 0)
@@ -219,29 +252,27 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
     p1, p2, batch = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), []
     for step in range(steps):
         m = lanes if step < base else extra
-        live, q1 = slice(0, m), p1[:m]
+        q1 = p1[:m]
         h, a, b, context = model.look(p2[:m], q1)
-        r, v = value(live)
-        end1, rest = model.end1[context], model.rest[context]
-        other = v >= end1
-        case = (v >= model.end0[context]).astype(np.int64) + other
-        k = context * 3 + case
-        slot = np.where(other, v - end1, np.uint64(0)) // rest
-        symbol = model.slots[np.minimum(slot, np.uint64(_TOTAL - 1)).astype(np.int64)]
-        place = model.places[symbol]
-        start = np.where(other, end1 + (place >> _S17) * rest, model.case_start[k])
-        take(live, r, start, np.where(other, (place & _FREQ) * rest, model.case_freq[k]))
-        x = np.where(other, symbol, np.where(case == 0, a, b))
+        r, v = value(code[:m], rng[:m])
+        end1 = model.end1.take(context)
+        left = v - end1
+        other, first = left >= 0, v < model.end0.take(context)
+        k = context * 3 + np.where(other, 2, np.where(first, 0, 1))
+        slot = (np.maximum(left, 0) / model.rest.take(context)).astype(np.int64)
+        symbol = model.slots.take(np.minimum(slot, _TOTAL - 1))
+        place = model.places.take(symbol)
+        take_all(m, r, *model.share(k, np.where(other, place, _WHOLE)))
+        x = np.where(other, symbol, np.where(first, a, b))
         new = np.flatnonzero(other & (symbol == alphabet))
         if len(new):
-            one = np.full(len(new), _TOTAL, np.uint64)
             halves = []
             for _ in range(2):
-                r, half = value(new)
-                half >>= _S16
-                take(new, r, half << _S16, one)
+                r, half = value(code[new], rng[new])
+                half >>= 16
+                take_some(new, r, half << 16, _TOTAL)
                 halves.append(half)
-            x[new] = (halves[0] << _S16) | halves[1]
+            x[new] = (halves[0] << 16) | halves[1]
         grid[step, :m] = x
         kept = np.minimum(x, alphabet - 1)
         batch.append((h, q1, k, kept))
