@@ -157,9 +157,12 @@ def encode_block(ids: np.ndarray) -> bytes:
         lo = low[:m] + start
         short = freq < _LOW
         out[spot[:m]] = lo >> 32  # where no word is due the place stays, and is written again
-        spot[:m] += np.where(short, lanes, 0)
-        lo = np.where(short, (lo & _MASK32) << 16, lo)
-        freq <<= np.where(short, 16, 0)
+        due = short.astype(np.int64)
+        spot[:m] += due * lanes
+        lo &= (due - 1) | _MASK32
+        due <<= 4
+        lo <<= due
+        freq <<= due
         shift(None, lo, freq)
         low[:m], rng[:m] = lo, freq
 
@@ -174,8 +177,9 @@ def encode_block(ids: np.ndarray) -> bytes:
         m = lanes if step < base else extra
         x, q1 = grid[step, :m], p1[:m]
         h, a, b, context = model.look(p2[:m], q1)
-        k = context * 3 + np.where(x == a, 0, np.where(x == b, 1, 2))
-        other = (x != a) & (x != b)
+        missed = x != a
+        other = missed & (x != b)
+        k = context * 3 + missed + other
         symbol = np.minimum(x, alphabet)
         place = model.places.take(symbol)
         unknown = np.flatnonzero((place & _FREQ) == 0)
@@ -198,8 +202,8 @@ def encode_block(ids: np.ndarray) -> bytes:
     out = out.reshape(-1, lanes)
     for row in range(int(pos.max()) - 1, 0, -1):  # carries
         out[row - 1] += out[row] >> 16
-    out &= 0xFFFF
-    words = out.T[np.arange(len(out))[None, :] < pos[:, None]].astype("<u2")
+    out = np.ascontiguousarray((out[: pos.max()] & 0xFFFF).astype("<u2").T)
+    words = out[np.arange(out.shape[1]) < pos[:, None]]
     return struct.pack("<I", alphabet) + pos.astype("<u4").tobytes() + words.tobytes()
 
 
@@ -236,9 +240,13 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
         start *= r
         freq *= r
         left, short = code[:m] - start, freq < _LOW
-        left = np.where(short, (left << 16) | words.take(ptr[:m]), left)
-        ptr[:m] += short
-        freq <<= np.where(short, 16, 0)
+        due = short.astype(np.int64)
+        more = words.take(ptr[:m]) & -due
+        ptr[:m] += due
+        due <<= 4
+        left <<= due
+        left |= more
+        freq <<= due
         fill(None, left, freq)
         code[:m], rng[:m] = left, freq
 
@@ -258,7 +266,7 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
         end1 = model.end1.take(context)
         left = v - end1
         other, first = left >= 0, v < model.end0.take(context)
-        k = context * 3 + np.where(other, 2, np.where(first, 0, 1))
+        k = context * 3 + ~first + other
         slot = (np.maximum(left, 0) / model.rest.take(context)).astype(np.int64)
         symbol = model.slots.take(np.minimum(slot, _TOTAL - 1))
         place = model.places.take(symbol)
