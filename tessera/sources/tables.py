@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.reports import first_given, useful_tags
+
 from tessera.functions import web
 
 
@@ -130,6 +132,53 @@ def repository_record(body: Column, as_of: Column) -> Column:
     )
 
 
+def model_record(body: Column) -> Column:
+    """Struct of a model hub's item: its name cut at the first slash, useful tags, and whether it is closed; null without a name."""
+    v = F.try_parse_json(body)
+    name = first_given(v, "id", "modelId")
+    slash = F.instr(name, "/")
+    yes = [F.coalesce(F.try_variant_get(v, f"$.{k}", "boolean"), F.lit(False)) for k in ("private", "gated", "disabled")]
+    return F.when(
+        name.isNotNull(),
+        F.struct(
+            name.alias("external_id"),
+            F.when(slash > 1, F.substring_index(name, "/", 1)).otherwise(F.coalesce(first_given(v, "author"), F.lit(""))).alias("owner"),
+            F.when(slash > 1, F.substr(name, slash + 1)).otherwise(name).alias("name"),
+            F.try_variant_get(v, "$.likes", "double").alias("likes"),
+            F.try_variant_get(v, "$.downloads", "double").alias("downloads"),
+            useful_tags(F.try_variant_get(v, "$.tags", "array<string>")).alias("tags"),
+            first_given(v, "pipeline_tag").alias("task"),
+            (yes[0] | yes[1] | yes[2]).alias("closed"),
+        ),
+    )
+
+
+def publication_record(body: Column) -> Column:
+    """Struct of a patent publication; each field is the first given of its spellings.  Null without a number."""
+    v = F.try_parse_json(body)
+    number = first_given(v, "publication_number", "document_number", "pgpub_id", "publication_id")
+
+    def listed(*names: str) -> Column:
+        return F.coalesce(*[F.try_variant_get(v, f"$.{n}", "array<variant>") for n in names], F.array().cast("array<variant>"))
+
+    def person(x: Column) -> Column:
+        parts = [first_given(x, "inventor_name_first", "first_name", "given_name"), first_given(x, "inventor_name_last", "last_name", "family_name")]
+        return F.coalesce(first_given(x, "inventor_name", "name"), F.nullif(F.concat_ws(" ", *parts), F.lit("")))
+
+    owners = F.transform(listed("assignees", "assignee"), lambda x: first_given(x, "assignee_organization", "assignee_org_name", "organization", "name"))
+    return F.when(
+        number.isNotNull(),
+        F.struct(
+            number.alias("publication_number"),
+            first_given(v, "application_number", "appl_id", "application_id").alias("application_number"),
+            first_given(v, "patent_title", "title", "invention_title").alias("title"),
+            F.try_to_date(first_given(v, "publication_date", "date_published", "pub_date"), "yyyy-MM-dd").alias("published"),
+            F.coalesce(first_given(v, "assignee_organization", "assignee_org_name"), F.get(F.filter(owners, F.isnotnull), F.lit(0))).alias("assignee"),
+            F.filter(F.transform(listed("inventors", "inventor"), person), F.isnotnull).alias("inventors"),
+        ),
+    )
+
+
 def classification_symbol(section: Column, cls: Column, subclass: Column, group: Column, subgroup: Column) -> Column:
     """Patent class written as in ``G06F16/245``."""
     return F.concat(section, cls, subclass, group, F.lit("/"), subgroup)
