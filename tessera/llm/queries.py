@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import media, mixing, neardup, packing, quality, spotsigs, tokenfile, tokens, url_filter, warc
+from tessera.llm import filter_audit, media, mixing, neardup, packing, quality, spotsigs, tokenfile, tokens, url_filter, warc
 from tessera.llm.shared import table
 
 #: (host, path, verdict) of the URL rules.
@@ -66,6 +66,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES = {
         op8_token_file,
         op9_quality,
         op10_near_duplicates,
+        op11_filter_audit,
     )
 }
 
@@ -115,4 +120,45 @@ ORACLES = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f
     """,
+    "op11_filter_audit": r"""
+        WITH letters(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+        f AS (
+            SELECT part,
+                   CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+                   + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+                   + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 4 ELSE 0 END
+                   + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+                   + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS failed,
+                   CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS good,
+                   CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END AS toxic
+            FROM w
+        ),
+        h AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+        orders AS (
+            SELECT a.l || b.l || c.l || x.l || e.l AS filter_order
+            FROM letters a, letters b, letters c, letters x, letters e
+            WHERE a.bit + b.bit + c.bit + x.bit + e.bit = 31 AND len(list_distinct([a.l, b.l, c.l, x.l, e.l])) = 5
+        ),
+        steps AS (
+            SELECT filter_order, s.step, l.l, l.bit AS own,
+                   (SELECT coalesce(sum(p.bit), 0) FROM letters p WHERE instr(filter_order, p.l) < s.step)::INT AS before
+            FROM orders, range(1, 6) s(step), letters l
+            WHERE substr(filter_order, s.step, 1) = l.l
+        ),
+        counted AS (
+            SELECT part, filter_order, step, l,
+                   sum(CASE WHEN failed & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN failed & own > 0 AND failed & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN failed & own > 0 AND failed & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN failed = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN failed & own > 0 AND failed & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN failed & own > 0 AND failed & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM h, steps GROUP BY part, filter_order, step, l
+        )
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley
+        FROM counted
+    """,
 }
