@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import filter_audit, media, mixing, neardup, packing, quality, spotsigs, tokenfile, tokens, url_filter, warc
+from tessera.llm import filter_audit, media, mixing, neardup, packing, quality, spelling, spotsigs, tokenfile, tokens, url_filter, warc
 from tessera.llm.shared import table
 
 #: (host, path, verdict) of the URL rules.
@@ -70,6 +70,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +88,7 @@ QUERIES = {
         op9_quality,
         op10_near_duplicates,
         op11_filter_audit,
+        op12_spelling_variants,
     )
 }
 
