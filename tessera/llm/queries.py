@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import filter_audit, media, mixing, neardup, packing, quality, spelling, spotsigs, tokenfile, tokens, url_filter, warc
+from tessera.llm import filter_audit, media, mixing, neardup, packing, pii, quality, spelling, spotsigs, tokenfile, tokens, url_filter, warc
 from tessera.llm.shared import table
 
 #: (host, path, verdict) of the URL rules.
@@ -74,6 +74,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +93,7 @@ QUERIES = {
         op10_near_duplicates,
         op11_filter_audit,
         op12_spelling_variants,
+        op13_personal_data,
     )
 }
 
