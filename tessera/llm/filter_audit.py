@@ -51,7 +51,8 @@ def failure_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null text counts as empty, a null source as the part ''.  E holds for a
     row whose text some row with a smaller doc_id has; rows equal in both don't
     make each other fail, and a null doc_id neither fails nor makes others fail.
-    A document is good (toxic) where any of its labels says quality (toxic) 1.
+    A document is good (toxic) where any of its labels says quality (toxic) 1; a
+    null doc_id has no labels.
     Texts are compared by SHA-256.  Other columns of both tables are ignored.
     """
     text = F.coalesce(docs["text"], F.lit(""))
