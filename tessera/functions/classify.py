@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -203,14 +204,17 @@ def fund_gate(name: Column, fund_type: Column) -> Column:
 
 
 def headcount_band(n: Column) -> Column:
-    bands = [(10, "1-10"), (50, "11-50"), (200, "51-200"), (500, "201-500"), (1000, "501-1000"), (5000, "1001-5000")]
-    return F.when(n.isNull() | (n < 1), None).otherwise(F.coalesce(*[F.when(n <= top, label) for top, label in bands], F.lit("5001+")))
+    bands = [(10, "1-10"), (50, "11-50"), (200, "51-200"), (500, "201-500"), (1000, "501-1000"), (5000, "1001-5000"), (10000, "5001-10000")]
+    return F.when(n.isNull() | (n < 1), None).otherwise(F.coalesce(*[F.when(n <= top, label) for top, label in bands], F.lit("10001+")))
 
 
 def search_rank(text: Column, query: str) -> Column:
-    """0 exact, 1 prefix, 2 start of a word, 3 anywhere, 4 not at all."""
-    t, q = F.lower(F.coalesce(text, F.lit(""))), query.strip().lower()
-    return F.when(t == q, 0).when(F.startswith(t, F.lit(q)), 1).when(F.contains(F.concat(F.lit(" "), t), F.lit(f" {q}")), 2).when(F.contains(t, F.lit(q)), 3).otherwise(4)
+    """0 exact (or nothing searched for), 1 prefix, 2 at a word's boundary, 3 anywhere, 4 not at all."""
+    t, q = F.lower(F.trim(F.coalesce(text, F.lit("")))), query.strip().lower()
+    if not q:
+        return F.lit(0)
+    boundary = "(?<![A-Za-z0-9_])" if re.match("[A-Za-z0-9_]", q) else "(?<=[A-Za-z0-9_])"
+    return F.when(t == q, 0).when(F.startswith(t, F.lit(q)), 1).when(t.rlike(boundary + re.sub(r"([^\w\s])", r"\\\1", q)), 2).when(F.contains(t, F.lit(q)), 3).otherwise(4)
 
 
 # Whole words of a filing's name (or a patent's text) and the sector they mean, first hit wins.

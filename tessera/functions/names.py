@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
+from string import ascii_lowercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,13 +71,16 @@ def investors_match(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
 
 
-# Latin letters with marks and what they fold to.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Latin letters that decompose into a plain one and marks, and that plain one; by Unicode's own tables.
+ACCENTED = "".join(c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if unicodedata.normalize("NFD", c)[0] in ascii_lowercase)
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 
 
 def person_words(name: Column) -> Column:
-    folded = F.translate(F.lower(F.coalesce(name, F.lit(""))), ACCENTED, PLAIN)
-    return F.filter(F.split(F.regexp_replace(folded, "[^a-z]+", " "), " "), lambda w: w != "")
+    """Words of a name, marks off letters, without titles and single letters."""
+    bare = F.translate(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[\u0300-\u036f]", ""), ACCENTED, PLAIN)
+    named = F.regexp_replace(bare, r"\b(dr|mr|mrs|ms|prof)\.?\s", " ")  # fixed values
+    return F.filter(F.split(named, "[^a-z]+"), lambda w: F.length(w) > 1)
 
 
 def same_person(a: Column, b: Column) -> Column:

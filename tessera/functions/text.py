@@ -9,7 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that carry no content.
-STOP_WORDS = "that this with from have were their which will been they about into than also more other some such only over after most".split()
+STOP_WORDS = "that this with from their which have been into also more than such about company platform provides helps uses using".split()
+# What a page says that is an error or a challenge instead of content.
+ERRORS = (
+    r"(?i)Target URL returned error \d{3}|^\s*(?:403|404|429|503)\b[^\n]{0,40}(?:forbidden|not found|too many requests|unavailable)|Access Denied|nothing was found at this location|page not found|404 not found|error 404"
+    r"|this page (?:could not|cannot|can['’]t) be found|the page you (?:are looking for|requested|were looking for)[^.]{0,40}(?:not|no longer)|Please be advised that this page is unavailable|Just a moment\.\.\.|Attention Required! \| Cloudflare"
+)
+# Words that a headline doesn't end in, and those after which a word in -ing isn't its end.
+DANGLING = "and or of to for the with".split()
+FUNCTION_ENDS = "and or but of to for the an in on at by with from into as is are was were be been has have had will can that which its their this these than about after over under".split()
+AUXILIARIES = "is are was were be been being has have had will can could would should may might must now also still just already finally".split()
+# Words of a site's or a section's name.
+SITE_WORDS = "blog news newsroom press wire times post journal magazine insights updates media".split()
 
 
 def match_form(text: Column) -> Column:
@@ -18,12 +29,16 @@ def match_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.replace(bare, F.lit("-"), F.lit(" ")), r"[^\p{L}\p{N}\s.$%]", " "), r"\s+", " "))
 
 
+#: Where a sentence ends: a stop, blanks, then a capital, a digit or a quotation mark.
+SENTENCE_END = r'(?<=[.!?])\s+(?=[A-Z0-9"“])'
+
+
 def sentences(text: Column, least: int = 25, most: int = 400) -> Column:
-    """Distinct sentences of 25 to 400 characters: of the running text, then line by line."""
-    running = F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?])\s+")
-    lines = F.flatten(F.transform(F.split(text, r"\n+"), lambda x: F.split(x, r"(?<=[.!?])\s+")))
-    every = F.transform(F.concat(running, lines), lambda x: F.trim(x))
-    return F.array_distinct(F.filter(every, lambda x: F.length(x).between(least, most)))
+    """Distinct sentences of 25 to 400 characters: of the running text, then line by line; ``#`` before a heading goes."""
+    cut = lambda x: F.split(F.regexp_replace(x, r"\s+", " "), SENTENCE_END)
+    every = F.concat(cut(text), F.flatten(F.transform(F.split(text, r"\n+"), cut)))
+    bare = F.transform(every, lambda x: F.regexp_replace(F.trim(x), r"^#+\s*", ""))
+    return F.array_distinct(F.filter(bare, lambda x: F.length(x).between(least, most)))
 
 
 def content_words(text: Column) -> Column:
@@ -124,10 +139,42 @@ def citations(text: Column) -> Column:
 
 
 def cut_headline(title: Column) -> Column:
-    """Whether a headline ends mid-sentence: an ellipsis, a dash or a joining word."""
-    return title.rlike(r"(?i)(\.\.\.|…|[-–—,:]|\b(and|or|the|a|an|of|to|for|with|in|on))\s*$")
+    """Whether a headline looks cut off: it ends in a sign that something follows, or in a joining word."""
+    return title.rlike(rf"(?i)(?:[:;,–—-]|\.\.\.|…)\s*$|\b(?:{'|'.join(DANGLING)})\s*$")
+
+
+def incomplete_headline(title: Column, short: bool = True) -> Column:
+    """Whether a headline stops in the middle: under five words (if ``short``), a function word at its end, or a verb in -ing after an auxiliary."""
+    words = F.filter(F.split(F.regexp_replace(F.trim(title), "[“”\"']", ""), r"\s+"), lambda w: w != "")
+    low = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+$", ""))
+    last, before = F.get(low, F.size(low) - 1), F.coalesce(F.get(low, F.size(low) - 2), F.lit(""))
+    stops = last.isin(FUNCTION_ENDS) | (last.rlike(r"^\p{L}{3,}ing$") & before.isin(AUXILIARIES))
+    return F.coalesce(((F.size(words) < 5) if short else F.lit(False)) | stops, F.lit(False))
+
+
+def clean_headline(title: Column, url: Column) -> Column:
+    """A headline without the site's name before or after it.
+
+    A part is the site's if it and the host are within each other (letters and digits
+    alone), or if it has a site's word in four words or fewer; after a hyphen only
+    the first counts.
+    """
+    spaced = F.trim(F.regexp_replace(title, r"\s+", " "))
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", ""), "[^a-z0-9]", "")
+
+    def of_site(part: Column, hyphen: Column) -> Column:
+        flat = F.regexp_replace(F.lower(part), "[^a-z0-9]", "")
+        named = (F.length(flat) >= 3) & (host != "") & (F.contains(host, flat) | F.contains(flat, host))
+        return named | (~hyphen & (F.size(F.split(part, r"\s+")) <= 4) & part.rlike(rf"(?i)\b(?:{'|'.join(SITE_WORDS)})\b"))
+
+    lead = r"^([^|–—]{2,40}?)\s+[|–—]\s+(.{15,})$"
+    first, rest = F.regexp_extract(spaced, lead, 1), F.regexp_extract(spaced, lead, 2)
+    headed = F.when((first != "") & of_site(first, F.lit(False)), rest).otherwise(spaced)
+    tail = r"^(.{15,}?)\s+([|–—]|-)\s+([^|–—]{2,40})$"
+    body, sign, end = (F.regexp_extract(headed, tail, i) for i in (1, 2, 3))
+    return F.trim(F.when((end != "") & of_site(end, sign == "-"), body).otherwise(headed))
 
 
 def error_page(text: Column) -> Column:
-    """Whether a page is an error or a challenge instead of content."""
-    return F.coalesce(text.rlike(r"(?i)\b(404 not found|page not found|access denied|enable javascript|are you a robot|403 forbidden|service unavailable)\b"), F.lit(False))
+    """Whether a page is an error or a challenge instead of content, by its first 1500 characters."""
+    return F.coalesce(F.substr(text, F.lit(1), F.lit(1500)).rlike(ERRORS), F.lit(False))

@@ -113,11 +113,21 @@ def hosted_owner(url: Column, host: str) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), rf"(?i)^https?://(?:www\.)?{host}/([^/?#\s]+)", 1)), F.lit(""))
 
 
+# Parameters that only track.
+TRACKING = r"(?i)^(?:srsltid|utm_[a-z]+|gclid|fbclid|mc_cid|mc_eid|msclkid|igshid|ref_src)$"
+
+
 def without_tracking(url: Column) -> Column:
-    """A URL without utm_*, ref and click-id parameters, and without the ``?`` or ``&`` they leave."""
-    cut = F.regexp_replace(url, r"(?i)([?&])(?:utm_[a-z]+|gclid|fbclid|mc_[a-z]+|ref)=[^&#]*", "$1")
-    cut = F.regexp_replace(F.regexp_replace(cut, r"&{2,}", "&"), r"\?&+", "?")
-    return F.regexp_replace(cut, r"[?&]+(?=#|$)", "")
+    """An address without tracking parameters, host in lower case, and ``/`` where it has no path; what isn't an address stays."""
+    site = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]+)", 1)
+    rest = F.substr(url, F.length(site) + 1)
+    path, query, mark = (F.regexp_extract(rest, r"(?s)^([^?#]*)(\?[^#]*)?(#.*)?$", i) for i in (1, 2, 3))
+    params = F.split(F.substr(query, F.lit(2)), "&")
+    tracks = lambda p: F.split_part(p, F.lit("="), F.lit(1)).rlike(TRACKING)
+    kept = F.array_join(F.filter(params, lambda p: ~tracks(p) & (p != "")), "&")
+    asked = F.when(F.exists(params, tracks), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")).when((query == "?") & (mark == ""), "").otherwise(query)
+    clean = F.concat(F.lower(site), F.when(path == "", "/").otherwise(path), asked, mark)
+    return F.when(url.isNull() | (site == "") | url.rlike(r"\s"), url).otherwise(clean)
 
 
 def is_web_link(url: Column) -> Column:
@@ -136,11 +146,17 @@ def filing_url(base: str, entity: Column, accession: Column) -> Column:
     return F.when(good, F.concat(F.lit(base), F.ltrim(entity, F.lit("0")), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/")))
 
 
-def url_date(url: Column) -> Column:
-    """Date written as /yyyy/mm/dd/ or yyyy-mm-dd in a URL, else null."""
-    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?:^|[/-])(20\d\d)[/-](0[1-9]|1[0-2])[/-](0[1-9]|[12]\d|3[01])(?:[/-]|$)", 0)
-    digits = F.regexp_replace(found, r"\D", "")
-    return F.when(F.length(digits) == 8, F.try_to_date(digits, "yyyyMMdd"))
+def url_date(url: Column, today: Column | None = None) -> Column:
+    """Day in an address: ``/yyyy/mm/dd/`` (or with dashes), a press wire's ``/home/yyyymmddNNNN``, or ``/yyyymmdd``; else null.
+
+    The first form that is there decides.  A day before 1990, after ``today`` or
+    that the calendar hasn't is null.
+    """
+    address = F.coalesce(url, F.lit(""))
+    forms = (r"/((?:19|20)\d{2})[/-](\d{2})[/-](\d{2})(?=[/\-_?#]|$)", r"/home/((?:19|20)\d{2})(\d{2})(\d{2})\d{4,}", r"/((?:19|20)\d{2})(\d{2})(\d{2})(?=[/\-_?#]|$)")
+    found = [F.nullif(F.concat(*[F.regexp_extract(address, form, i) for i in (1, 2, 3)]), F.lit("")) for form in forms]
+    day = F.try_to_date(F.coalesce(*found), "yyyyMMdd")
+    return F.when((F.year(day) >= 1990) & (day <= (F.current_date() if today is None else today)), day)
 
 
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}

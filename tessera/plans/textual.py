@@ -127,7 +127,7 @@ def number_scan(spark, sf_dir):
 @query()
 def page_texts(spark, sf_dir):
     """Visible text of pages with an error flag and any date in the address."""
-    return table(spark, sf_dir, "pages").select("page_id", F.length(web.html_text(F.col("html"))).alias("n_chars"), text.error_page(F.col("html")).alias("is_error"), web.url_date(F.col("url")).alias("url_date"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(web.html_text(F.col("html"))).alias("n_chars"), text.error_page(F.col("html")).alias("is_error"), web.url_date(F.col("url"), F.lit("2026-11-28").cast("date")).alias("url_date"))
 
 
 @query()

@@ -86,9 +86,8 @@ def _content(text):
 
 def test_best_sentences(spark, duck):
     def sentences(text):
-        running = [x.strip() for x in re.split(r"(?<=[.!?])\s+", re.sub(r"\s+", " ", text))]
-        lines = [x.strip() for line in re.split(r"\n+", text) for x in re.split(r"(?<=[.!?])\s+", line)]
-        return {x for x in running + lines if 25 <= len(x) <= 400}
+        every = [x for part in (text, *re.split(r"\n+", text)) for x in re.split(r'(?<=[.!?])\s+(?=[A-Z0-9"“])', re.sub(r"\s+", " ", part))]
+        return {x for x in (re.sub(r"^#+\s*", "", x.strip()) for x in every) if 25 <= len(x) <= 400}
 
     every = [(doc, s, _content(s)) for doc, text in duck.execute("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall() for s in sentences(text)]
     got = {r.item_id: (r.shared, r.doc_id) for r in QUERIES["best_sentences"](spark, FOLDER).collect()}
@@ -101,21 +100,23 @@ def test_best_sentences(spark, duck):
 def test_page_texts(spark, duck):
     import html as entities
 
+    from tessera.functions.text import ERRORS
+
     want = {}
     for page, url, html in duck.execute("SELECT page_id, url, html FROM pages").fetchall():
         bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html)
         bare = re.sub(r"(?s)<[^>]*>", " ", bare)
         for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
             bare = bare.replace(name, sign)
-        day = re.search(r"(?:^|[/-])(20\d\d)[/-](0[1-9]|1[0-2])[/-](0[1-9]|[12]\d|3[01])(?:[/-]|$)", url or "")
-        want[page] = (len(re.sub(r"[ \t\n\x0b\f\r]+", " ", bare).strip(" ")), bool(re.search(r"(?i)\b(404 not found|page not found|access denied|enable javascript|are you a robot|403 forbidden|service unavailable)\b", html)), "-".join(day.groups()) if day else None)
+        day = next((m for p in (r"/((?:19|20)\d\d)[/-](\d\d)[/-](\d\d)(?=[/\-_?#]|$)", r"/home/((?:19|20)\d\d)(\d\d)(\d\d)\d{4,}", r"/((?:19|20)\d\d)(\d\d)(\d\d)(?=[/\-_?#]|$)") if (m := re.search(p, url or ""))), None)
+        want[page] = (len(re.sub(r"[ \t\n\x0b\f\r]+", " ", bare).strip(" ")), bool(re.search(ERRORS, html[:1500])), "-".join(day.groups()) if day else None)
     assert entities.unescape("&amp;") == "&"
     assert {r.page_id: (r.n_chars, r.is_error, str(r.url_date) if r.url_date else None) for r in QUERIES["page_texts"](spark, FOLDER).collect()} == want
 
 
 def test_text_facts(spark, duck):
     number = re.compile(r"(?i)\$?\s?(\d[\d,]*\.?\d*)\s*(thousand|million|billion|mn|bn|k|m|b)?\b", re.ASCII)
-    cut = re.compile(r"(?i)(\.\.\.|…|[-–—,:]|\b(and|or|the|a|an|of|to|for|with|in|on))\s*$", re.ASCII)
+    cut = re.compile(r"(?i)(?:[:;,–—-]|\.\.\.|…)\s*$|\b(?:and|or|of|to|for|the|with)\s*$", re.ASCII)
     got = {r.doc_id: r for r in QUERIES["text_facts"](spark, FOLDER).collect()}
     for doc, text in duck.execute("SELECT doc_id, text FROM documents").fetchall():
         assert got[doc].n_numbers == len(number.findall(text)) and got[doc].is_cut == bool(cut.search(text))
