@@ -70,6 +70,14 @@ def undecided(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     return pairs.join(d, ["left_id", "right_id"], "left_anti")
 
 
+def shared_checkpoints(context) -> None:
+    """See to it that checkpoints go to a folder that all share: the cluster's, or on one machine a temporary one."""
+    if not context.getConf().get("spark.checkpoint.dir"):
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file:///tmp/tessera-checkpoints")
+
+
 def connected(pairs: DataFrame, left: str = "left_id", right: str = "right_id") -> DataFrame:
     """(id, group_id): the least id that each is connected to, over all pairs.
 
@@ -78,11 +86,7 @@ def connected(pairs: DataFrame, left: str = "left_id", right: str = "right_id")
     hashes that differ by round, so a chain halves each round, whatever the order
     of its ids; rounds are checkpointed to the shared folder.
     """
-    context = pairs.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir"):
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir("file:///tmp/tessera-checkpoints")
+    shared_checkpoints(pairs.sparkSession.sparkContext)
     edges = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a != b").distinct().checkpoint()
     found = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().withColumn("root", F.col("id"))
     turn = 0

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.classify import round_label
 from tessera.functions.reports import NAMED_STAGES
-from tessera.operators.resolve import connected
+from tessera.operators.resolve import shared_checkpoints
 
 # Days that two reports of one round may lie apart, and shares that amounts may differ by.
 SOON, FAR, CONTRADICTION = 60, 270, 120
@@ -227,6 +227,33 @@ def _stretches(rows: DataFrame, keys: list[str], value: str, apart: int, name: s
     return few.withColumn("_starts", starts).withColumn(name, F.sum("_starts").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_starts")
 
 
+def _joined_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, least block that it is connected to) of pairs of blocks that a row is in, sorted by company.
+
+    A company has no more blocks than stretches of days and of amounts, so its union-find is small.
+    """
+    names, up, now = ["_block", "_group"], {}, None
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        done: list[tuple[int, int]] = []
+        for firm, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if firm != now:
+                done += [(x, top(x)) for x in up]
+                up.clear()
+                now = firm
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in (0, 1)], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (list(up), list(map(top, up)))], names=names)
+
+
 def _components(rows: DataFrame) -> DataFrame:
     """Rows with ``component``, so that no two rounds of different components can match, whatever they are filled with.
 
@@ -238,6 +265,7 @@ def _components(rows: DataFrame) -> DataFrame:
     named = F.col("round_type").isin(*[s for s in NAMED_STAGES if s != LETTERS])
     band = F.when(F.col("amount") > 0, F.floor(F.log("amount") / F.lit(BAND)))
     day = F.datediff("announced", F.lit("1970-01-01").cast("date"))
+    shared_checkpoints(rows.sparkSession.sparkContext)
     rows = rows.withColumn("_firm", F.xxhash64("company")).withColumn("_band", band).withColumn("_day", day)
     whole = rows.groupBy("_firm", "round_type").agg(F.max(named & F.col("_day").isNull()).alias("_whole"))
     days, bands = _stretches(rows, ["_firm", "round_type"], "_day", FAR + SOON, "_t"), _stretches(rows, ["_firm"], "_band", 1, "_a")
@@ -245,8 +273,9 @@ def _components(rows: DataFrame) -> DataFrame:
     by_stage = F.when(F.col("_whole"), F.xxhash64("_firm", "round_type", F.lit("whole"))).when(F.col("_t").isNotNull(), F.xxhash64("_firm", "round_type", "_t"))
     by_amount = F.when(F.col("_a").isNotNull(), F.xxhash64("_firm", F.lit("amount"), "_a"))
     placed = placed.withColumn("_by_stage", by_stage).withColumn("_by_amount", by_amount)
-    joined = connected(placed.where("_by_stage IS NOT NULL AND _by_amount IS NOT NULL").select("_by_stage", "_by_amount").distinct(), "_by_stage", "_by_amount")
-    joined = joined.select(F.col("id").alias("_block"), F.col("group_id").alias("_group"))
+    placed = placed.checkpoint()
+    pairs = placed.where("_by_stage IS NOT NULL AND _by_amount IS NOT NULL").select("_firm", "_by_stage", "_by_amount").distinct()
+    joined = pairs.repartition("_firm").sortWithinPartitions("_firm").mapInArrow(_joined_blocks, "_block long, _group long")
     alone = F.xxhash64("_firm", "id", "seq", F.lit("alone"))
     placed = placed.withColumn("_block", F.coalesce("_by_stage", "_by_amount", alone)).join(joined, "_block", "left")
     return placed.withColumn("component", F.coalesce("_group", "_block"))
