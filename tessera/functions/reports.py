@@ -127,8 +127,10 @@ def event_keys(title: Column) -> Column:
     return F.when(title.isNull(), F.array().cast("array<string>")).when(title.rlike(PURCHASE), F.array_append(sums, F.lit("acquisition"))).otherwise(sums)
 
 
-def _headline_words(title: Column, url: Column) -> Column:
-    slug = F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^/?#]+(?:/[^?#]*)?/([^/?#]+)/*(?:[?#]|$)", 1), r"(?i)\.(html?|php)$", "")
+def headline_words(title: Column, url: Column) -> Column:
+    """Distinct words of four letters or digits or more in a headline and in its address's last part."""
+    last = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(?:/[^?#]*)?/([^/?#]+)/*(?:[?#].*)?$", 1)
+    slug = F.regexp_replace(F.coalesce(F.try_url_decode(last), F.lit("")), r"(?i)\.(html?|php)$", "")
     text = F.lower(F.concat_ws(" ", title, F.regexp_replace(slug, "[-_+]", " ")))
     return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, r"[^\p{L}\p{N} ]", " "), F.lit(r"\S{4,}"), F.lit(0)))
 
@@ -139,7 +141,7 @@ def same_news_event(a: Column, b: Column, days: int = 7, share: float = 0.6) ->
     Either they are of one day and share most words of the headline that has
     fewer, or they share a sum or a purchase within ``days``, or one is undated.
     """
-    x, y = (_headline_words(r["title"], r["url"]) for r in (a, b))
+    x, y = (headline_words(r["title"], r["url"]) for r in (a, b))
     fewer = F.least(F.size(x), F.size(y))
     same_story = (a["published"] == b["published"]) & (fewer >= 4) & (F.size(F.array_intersect(x, y)) >= share * fewer)
     near = F.coalesce(F.abs(F.datediff(a["published"], b["published"])) <= days, F.lit(True))

@@ -45,21 +45,50 @@ def same_key_pairs(df: DataFrame, key: str, unique: str, agree: Sequence[str] =
     )
 
 
+#: Trigrams that make a key together, by the most trigrams that a name has: few names share three rare ones.
+TOGETHER = ((40, 3), (100, 2))
+
+
+def _keys(grams: Column, k: int) -> Column:
+    """Hashes of all combinations of ``k`` elements of an array."""
+    after = lambda i: F.slice(grams, i + 2, F.size(grams))  # noqa: E731  what follows element i, counted from 0
+    if k == 1:
+        return F.transform(grams, lambda x: F.xxhash64(x))
+    if k == 2:
+        return F.flatten(F.transform(grams, lambda x, i: F.transform(after(i), lambda y: F.xxhash64(x, y))))
+    return F.flatten(F.flatten(F.transform(grams, lambda x, i: F.transform(after(i), lambda y, j: F.transform(after(i + j + 1), lambda z: F.xxhash64(x, y, z))))))
+
+
 def similar_names(df: DataFrame, name: str, unique: str, *, least: float = NAME_LIKENESS) -> DataFrame:
     """left_id < right_id and likeness (3 decimals) of different names at least ``least`` alike by trigrams.
 
-    Two trigram sets that alike share one among the rarest n - ceil(least * n) + 1
-    of each, so only those are joined: nothing is missed, and common trigrams
-    make no pairs.  Equal names stand as one.
+    Of two trigram sets that alike, at least t = ceil(least * n) of each one's n
+    trigrams are shared, so k of them are among the rarest n - t + k of each (for
+    k up to t): names are joined on combinations of k rare trigrams.  The alphabet
+    of trigrams doesn't grow with the names, but three of them together stay rare.
+    How many go together depends on n; a name has the keys of every number
+    that a name alike may have, so nothing is missed.  Equal names stand as one.
     """
     names = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(unique).alias("id")).withColumn("grams", words.word_trigrams(F.col("name"))).where(F.size("grams") > 0)
-    each = names.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    counts = each.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "g").withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("df", "g")))
-    keys = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("id", "n", "g")
-    a, b = keys.select(F.col("id").alias("left_id"), F.col("n").alias("ln"), "g"), keys.select(F.col("id").alias("right_id"), F.col("n").alias("rn"), "g")
-    pairs = a.join(b, "g").where((F.col("left_id") < F.col("right_id")) & (F.least("ln", "rn") >= least * F.greatest("ln", "rn"))).select("left_id", "right_id").distinct()
-    left, right = names.select(F.col("id").alias("left_id"), F.col("grams").alias("lg")), names.select(F.col("id").alias("right_id"), F.col("grams").alias("rg"))
+    each = names.select("id", F.explode("grams").alias("g"))
+    counts = F.broadcast(each.groupBy("g").agg(F.count("*").alias("df")))  # of letters, digits and a blank: 37 ** 3 at most
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda x: x["g"])
+    shared_checkpoints(df.sparkSession.sparkContext)
+    ranked = each.join(counts, "g").groupBy("id").agg(rarest.alias("grams")).withColumn("n", F.size("grams")).checkpoint()
+    n, t = F.col("n"), F.ceil(F.col("n") * least - 1e-9).cast("int")
+    lows = [0, *[most for most, _ in TOGETHER]]
+    found = []
+    for low, k in zip(lows, [*[k for _, k in TOGETHER], 1], strict=True):
+        high = next((most for most in lows if most > low), None)
+        may = (F.floor(n / least + 1e-9) > low) & (F.lit(True) if high is None else (F.ceil(n * least - 1e-9) <= high))
+        fits = F.least(F.lit(k), n)  # a name of fewer trigrams is only like one with the same
+        prefix = F.slice("grams", F.lit(1), F.least(n, n - t + fits))
+        hashes = F.when(n >= k, _keys(prefix, k)).otherwise(_keys(prefix, 1))
+        found.append(ranked.where(may).select("id", "n", F.lit(k).alias("k"), F.explode(hashes).alias("key")))
+    keys = found[0].unionByName(found[1]).unionByName(found[2])
+    a, b = keys.select(F.col("id").alias("left_id"), F.col("n").alias("ln"), "k", "key"), keys.select(F.col("id").alias("right_id"), F.col("n").alias("rn"), "k", "key")
+    pairs = a.join(b, ["k", "key"]).where((F.col("left_id") < F.col("right_id")) & (F.least("ln", "rn") >= least * F.greatest("ln", "rn") - 1e-9)).select("left_id", "right_id").distinct()
+    left, right = ranked.select(F.col("id").alias("left_id"), F.col("grams").alias("lg")), ranked.select(F.col("id").alias("right_id"), F.col("grams").alias("rg"))
     scored = pairs.join(left, "left_id").join(right, "right_id").withColumn("likeness", words.set_similarity(F.col("lg"), F.col("rg")))
     return scored.where(F.col("likeness") >= least).select("left_id", "right_id", F.round("likeness", 3).alias("likeness"))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import writeplan
+from tessera.functions import web
+from tessera.operators import newsevents, writeplan
 from tessera.plans.catalog import query
 from tessera.sources.tables import table
 
@@ -31,3 +32,20 @@ def round_writes(spark, sf_dir):
     on_file, found = rounds.where(finished).withColumnRenamed("o_orderkey", "id"), rounds.where(~finished).withColumnRenamed("o_orderkey", "seq")
     plan = writeplan.plan_round_writes(on_file, found)
     return plan.withColumn("investors", F.array_join("investors", ", "))
+
+
+def page_news(pages):
+    """Pages as news: hosts' domains as companies, titles as headlines; the number in an address gives the day and, in English ones, a sum."""
+    number = F.nullif(F.regexp_extract("url", r"/(\d+)/?(?:[?#]|$)", 1), F.lit("")).cast("int")
+    raised = F.when(F.col("url").contains("/en/"), F.concat(F.lit(" raises $"), (number % 40).cast("string"), F.lit("M"))).otherwise("")
+    return pages.select(
+        web.registrable_domain(F.col("url")).alias("company"), F.col("page_id").alias("seq"), F.concat(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), F.coalesce(raised, F.lit(""))).alias("title"), "url",
+        F.when(number % 10 > 0, F.date_add(F.lit("2024-01-01").cast("date"), F.floor(number % 900 / 3).cast("int"))).alias("published"), F.substr(web.html_text(F.col("html")), F.lit(1), F.lit(300)).alias("lead"),
+    )
+
+
+@query()
+def news_events(spark, sf_dir):
+    """One page for each event that pages of a domain report; mobile hosts stand as a company's own site, secure addresses as headlines of the event."""
+    url = F.col("url")
+    return newsevents.dedupe_news(page_news(table(spark, sf_dir, "pages")), own_site=url.contains("://m."), preferred=url.startswith("https"))

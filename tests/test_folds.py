@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import writeplan
+from tessera.operators import newsevents, writeplan
 
 FOLDER = "/root/testdata/sf0.001"
 ROUND = "round_type string, amount double, valuation double, announced date, lead string, source_url string, investors array<string>"
@@ -97,3 +97,76 @@ def test_round_writes(spark):
         for x in plain_plan(on_file, found):
             want[(*x[:10], ", ".join(x[10]) if x[10] is not None else None, x[11])] += 1
     assert got == want
+
+
+# news ---------------------------------------------------------------------------------------------------------------
+NEWS = "company string, seq long, title string, url string, published date, lead string"
+
+
+def plain_events(rows):
+    """Items (with keys, words, own_site, preferred) in order, each held against every kept one."""
+
+    def same(a, b):
+        x, y = a["words"], b["words"]
+        if a["day"] and a["day"] == b["day"] and min(len(x), len(y)) >= 4 and len(set(x) & set(y)) / min(len(x), len(y)) >= 0.6:
+            return True
+        return bool(set(a["keys"]) & set(b["keys"])) and (not a["day"] or not b["day"] or abs((a["day"] - b["day"]).days) <= 7)
+
+    kept = []
+    for r in rows:
+        hit = next((k for k in kept if k[0]["company"] == r["company"] and same(r, k[0])), None)
+        if hit is None:
+            kept.append([r, r["seq"], 1])
+            continue
+        hit[2] += 1
+        if newsevents.better(r, hit[0]):
+            hit[0] = r
+    return Counter((r["company"], place, r["seq"], r["title"], r["url"], r["day"], n) for r, place, n in kept)
+
+
+def with_marks(df, own, preferred):
+    text = F.concat_ws(" ", "title", "lead")
+    rows = df.select("company", "seq", "title", "url", F.col("published").alias("day"), own.alias("own_site"), preferred.alias("preferred"), newsevents.event_keys(text).alias("keys"), newsevents.headline_words(F.col("title"), F.col("url")).alias("words"))
+    return sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["seq"], r["url"] or "", r["title"] or ""))
+
+
+@pytest.mark.parametrize("companies", [3, 30])
+def test_news_against_a_plain_pass(spark, companies):
+    rng = random.Random(companies)
+    pool = "northwind acquires contoso cloud platform raises series round funding europe growth market partner appoints chief officer launches product".split()
+    rows = []
+    for i in range(400):
+        title = " ".join(rng.sample(pool, rng.randint(2, 7))) + rng.choice(["", " $5M", " 5 million", " $60m", " 1.5bn", ""])
+        day = rng.choice([None, *[dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(120)) for _ in range(4)]])
+        rows.append((rng.choice([None, *map(str, range(companies))]), i // 2, rng.choice([title, title, None]), rng.choice(["https://m.a.com/x", "https://b.com/contoso-cloud-platform.html", None, "not a url"]), day, rng.choice([None, "It raised $7M", ""])))
+    df = spark.createDataFrame(rows, NEWS).repartition(4)
+    own, preferred = F.coalesce(F.col("url").contains("://m."), F.lit(False)), F.coalesce(F.col("title").contains("acquires"), F.lit(False))
+    got = Counter(map(tuple, newsevents.dedupe_news(df, own_site=own, preferred=preferred).collect()))
+    assert got == plain_events(with_marks(df, own, preferred))
+    assert newsevents.dedupe_news(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("items", "kept"),
+    [
+        ([("CrowdStrike acquires cloud security provider Adaptive Shield", "https://siliconangle.com/a", "2024-11-06"), ("CrowdStrike acquires Adaptive Shield in $300M deal to boost identity protection", "https://calcalistech.com/b", None)], ["https://siliconangle.com/a"]),
+        ([("Appcharge Raises $58 Million in Series B Round Led by IVP", "https://businesswire.com/a", "2025-08-13"), ("Appcharge raises $58M Series B as mobile games break from app stores", "https://glilotcapital.com/b", "2025-08-13")], ["https://businesswire.com/a"]),
+        ([("HeyGen Surpasses $200M ARR as AI Video Adoption Accelerates", "https://www.heygen.com/blog/x", "2026-06-25"), ("HeyGen Doubles to $200M ARR in Eight Months", "https://www.businesswire.com/y", "2026-06-25")], ["https://www.businesswire.com/y"]),
+        ([("Appcharge raises $26M", "https://a.com/1", "2024-11-25"), ("Appcharge raises $58M", "https://a.com/2", "2025-08-13")], ["https://a.com/1", "https://a.com/2"]),
+    ],
+)
+def test_reports_of_one_event(spark, items, kept):
+    rows = [("c", i, t, u, d and dt.date.fromisoformat(d), None) for i, (t, u, d) in enumerate(items)]
+    got = newsevents.dedupe_news(spark.createDataFrame(rows, NEWS), own_site=F.col("url").contains("heygen.com")).orderBy("place").collect()
+    assert [r.url for r in got] == kept
+
+
+def test_news_events(spark):
+    from tessera.plans.catalog import load
+    from tessera.plans.folds import page_news
+
+    url = F.col("url")
+    df = page_news(spark.read.parquet(f"{FOLDER}/pages.parquet"))
+    want = plain_events(with_marks(df, url.contains("://m."), url.startswith("https")))
+    got = Counter(map(tuple, load()[0]["news_events"](spark, FOLDER).collect()))
+    assert got == want and any(r[-1] > 1 for r in want)
