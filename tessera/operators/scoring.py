@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, vectors
-from tessera.operators.relational import clamp_limit, first_per, in_window, latest_values, names_of
+from tessera.operators.relational import clamp_limit, every_pair, first_per, in_window, latest_values, names_of
 
 # Weights of the five pillars.
 WEIGHTS = {"investors": 0.25, "team": 0.25, "growth": 0.20, "recency": 0.15, "media": 0.15}
@@ -145,10 +145,10 @@ def filing_facts(filings: DataFrame) -> DataFrame:
 
 
 def match_scores(vectors_of: DataFrame, centroid: DataFrame, *, least_signals: int = 3) -> DataFrame:
-    """id, user_id, match_pct of every vector for users with enough signals."""
+    """id, user_id, match_pct of every vector for users with enough signals, joined in blocks."""
     users = centroid.where(F.col("signal_count") >= least_signals).select("user_id", "centroid")
-    pairs = vectors_of.join(F.broadcast(users)) if users.count() <= 1000 else vectors_of.crossJoin(users)
-    return pairs.select("id", "user_id", vectors.percent(vectors.cosine(F.col("embedding"), F.col("centroid"))).alias("match_pct"))
+    pairs = every_pair(vectors_of, users, "id", "user_id")
+    return pairs.select("id", "user_id", vectors.percent(F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 9)).alias("match_pct"))
 
 
 def nearest(candidates: DataFrame, query: Sequence[float], k: int, *, vector: str = "embedding", unique: str = "id") -> DataFrame:

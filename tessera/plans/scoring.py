@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors
 from tessera.operators import relational as ops
-from tessera.operators import scoring
+from tessera.operators import scoring, vectorindex
 from tessera.plans.catalog import query
 from tessera.sources.tables import table
 
@@ -58,20 +58,25 @@ def hybrid_lookalikes(spark, sf_dir):
     """
     SELECT a.vec_id AS id, c.label AS user_id, CASE WHEN c.n >= 3 THEN greatest(0, least(100, round(100 * round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), c.m), 9)))) END AS match_pct
     FROM embeddings a, (SELECT label, list(x ORDER BY pos) AS m, max(n) AS n FROM (
-        SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x, count(*) AS n FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id % 3 = 0) GROUP BY 1, 2) GROUP BY 1) c
+        SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x, count(*) AS n FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1) c
     WHERE c.n >= 3
     """
 )
 def preference_match(spark, sf_dir):
-    """Match of every vector with each user's centroid, for users with three signals or more.
+    """Match of every vector with each user's centroid, for users with three signals or more: labels as users, their vectors as signals."""
+    e = table(spark, sf_dir, "embeddings")
+    users = vectors.centroids(e, ["label"], "embedding").withColumnRenamed("label", "user_id")
+    return scoring.match_scores(e.select(F.col("vec_id").alias("id"), "embedding"), users)
 
-    As the SQL has it, a user's signals are the vectors of the label whose ids are
-    divisible by 3; the tables have no others.
-    """
+
+@query()
+def indexed_neighbours(spark, sf_dir):
+    """For the query rows (ids divisible by 100) the ten nearest of all rows, through an index of all rows; its recall is measured in the tests."""
     e = table(spark, sf_dir, "embeddings")
-    users = vectors.centroids(e.where("vec_id % 3 = 0"), ["label"], "embedding").where("signal_count >= 3").withColumnRenamed("label", "user_id")
-    pairs = ops.every_pair(e.select(F.col("vec_id").alias("id"), "embedding"), users, "id", "user_id")
-    return pairs.select("id", "user_id", vectors.percent(F.round(vectors.cosine(F.col("embedding"), F.col("centroid")), 9)).alias("match_pct"))
+    index = vectorindex.build(e, unique="vec_id")
+    probes = vectorindex.calibrate(index, e, 10, unique="vec_id")
+    found = vectorindex.search(index, e.where("vec_id % 100 = 0"), 10, probes=probes, unique="vec_id")
+    return found.select("id", "peer", F.round("similarity", 6).alias("similarity"), "place")
 
 
 _AS_OF = "DATE '2001-01-01'"
