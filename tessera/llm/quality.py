@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import settle, slices
 
-#: Labelled rows that a model is fitted on, at most, and entries of its lexicon.
-MOST_LABELLED, MOST_ENTRIES = 20_000, 20_000
+#: Labelled rows that a model is fitted on, at most; that bounds its lexicon as well, which has every entry that is surprising enough.
+MOST_LABELLED = 20_000
 #: A document is rejected at this posterior of either fault.
 REJECT = 0.5
 #: Letters of the word beginnings that the lexicon may hold.
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABELLE
         # how unlikely so many toxic documents would be if the entry meant nothing (decimal digits)
         share = F.col("bad") / F.col("n")
         surprise = (F.col("bad") * F.log10(share / pi) + F.when(F.col("bad") < F.col("n"), (F.col("n") - F.col("bad")) * F.log10((1 - share) / (1 - pi))).otherwise(0.0)).alias("surprise")
-        found = counted.where(share > PRECISION).select("w", "bad", "n", surprise).where(F.col("surprise") > math.log10(max(kinds, 1)) + 2).orderBy(F.desc("surprise"), "w").limit(MOST_ENTRIES)
+        found = counted.where(share > PRECISION).select("w", "bad", "n", surprise).where(F.col("surprise") > math.log10(max(kinds, 1)) + 2)
         good = n[2] - n[3]
         for w, bad, k, _ in found.collect():
             model.lexicon[w] = math.log((bad + pi) / (n[3] + 1)) - math.log((k - bad + 1 - pi) / (good + 1))

@@ -81,10 +81,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url_column: str = "url") -
     known = _prepared_rules(rules)
     shapes = known.select("labels", "path_length").distinct().collect()
     kept = [c for c in pages.columns if c not in ("url_host", "url_path", "rule", "verdict")]
-    host, path = split_url(F.col(url_column))
-    urls = pages.select(*kept, host.alias("url_host"), path.alias("url_path"))
+    host, path = split_url(pages[url_column])
+    urls = pages.select(F.struct(*[pages[c] for c in kept]).alias("row"), host.alias("url_host"), path.alias("url_path"))  # no column of theirs stands beside ours
+    whole = [F.col("row").getField(c).alias(c) for c in kept]
     if not shapes:
-        return urls.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(DEFAULT_VERDICT))
+        return urls.select(*whole, "url_host", "url_path", F.lit(None).cast("string").alias("rule"), F.lit(DEFAULT_VERDICT).alias("verdict"))
 
     labels = F.size(F.split("url_host", r"\."))
     pairs = F.array(*[F.struct(F.lit(int(a)).alias("k"), F.lit(int(b)).alias("m")) for a, b in sorted(map(tuple, shapes))])
@@ -113,5 +114,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url_column: str = "url") -
     )
     site = F.struct("url_host", "url_path")
     facts = counted.join(best, ["url_host", "url_path"], "left").select(site.alias("site"), "n", "rule", "rule_verdict")
-    joined = spread_join(urls.withColumn("site", site), settle(facts, "judged-urls"), "site", *[c for c in kept if c != url_column][:1])
-    return joined.withColumn("verdict", F.coalesce("rule_verdict", F.lit(DEFAULT_VERDICT))).select(*kept, "url_host", "url_path", "rule", "verdict")
+    joined = spread_join(urls.withColumn("site", site), settle(facts, "judged-urls"), "site", *[F.col("row").getField(c) for c in kept if c != url_column][:1])
+    return joined.select(*whole, "url_host", "url_path", "rule", F.coalesce("rule_verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"))
