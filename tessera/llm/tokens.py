@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's cache; a full cache is emptied.
-CACHE_ENTRIES = 1_200_000
+#: Entries of a worker's cache, and their bytes (about); a full cache is emptied.
+CACHE_ENTRIES, CACHE_BYTES = 1_200_000, 320 << 20
+#: Pieces of more characters aren't kept: in texts without blanks every stretch between two signs would be one.
+LONGEST_KEPT = 64
 #: Rows that the table of frequent pre-tokens is taken from, their characters at most, and its entries.
 SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT = 2_000, 8_000, 20_000
 #: A row is in the sample where the hash of its text is a multiple of this, so that it spreads over more of the table.
@@ -83,13 +85,13 @@ class _Tier(dict):
 
     def __init__(self, split, encode):
         super().__init__()
-        self._split, self._encode, self.cache = split, encode, self
+        self._split, self._encode, self.cache, self.held = split, encode, self, 0
 
     def fix(self, entries: dict) -> None:
         """Give the first tier its entries; from now on the cache stands apart."""
         self.clear()
         self.update(entries)
-        self.cache = {}
+        self.cache, self.held = {}, 0
 
     def __missing__(self, piece):
         if self.cache is not self and (value := self.cache.get(piece)) is not None:
@@ -97,9 +99,15 @@ class _Tier(dict):
         value = self._split(piece)
         if value is None:
             value = self._encode(piece)
-        self.cache[piece] = value
+        if len(piece) <= LONGEST_KEPT:
+            self.cache[piece] = value
+            self.held += 160 + (len(piece) if piece.isascii() else 4 * len(piece)) + (len(value) if isinstance(value, bytes) else 0)
         return value
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.held = 0
+
 
 def _model_of(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
@@ -243,10 +251,10 @@ class PieceEncoder:
             return self._sum([])
         if self.kind == "whole" or any(x in text for x in self.special):
             return self.encode_whole(text)
-        if len(self.head.cache) + (len(self.tail.cache) if self.tail is not None else 0) > self.entries:
-            self.head.cache.clear()
-            if self.tail is not None:
-                self.tail.cache.clear()
+        tiers = [self.head] if self.tail is None else [self.head, self.tail]
+        if sum(len(x.cache) for x in tiers) > self.entries or sum(x.held for x in tiers) > CACHE_BYTES:
+            for tier in tiers:
+                tier.forget()
         words = text.split()
         gaps = text.count(" ") + text.count("\n")
         simple = len(words) == gaps + 1 and sum(map(len, words)) + gaps == len(text)  # single blanks and line ends, nothing else

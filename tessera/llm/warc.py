@@ -132,17 +132,18 @@ class _Window:
             self.data += more
 
     def drop(self, at: int) -> None:
-        """Forget what lies before ``at``."""
-        self.data, self.base = self.data[at - self.base :], at
+        """Forget what lies before ``at``; what is in memory is cut once a whole read's worth may go."""
+        if at - self.base >= READ_BYTES:
+            self.data, self.base = self.data[at - self.base :], at
 
     def find(self, at: int, end: int) -> int:
         """Offset of the next gzip magic in [at, end), else -1."""
         while at < end:
             self.drop(at)
             self.reach(at + READ_BYTES)
-            hit = self.data.find(MAGIC)
+            hit = self.data.find(MAGIC, at - self.base)
             if hit >= 0:
-                return at + hit if at + hit < end else -1
+                return self.base + hit if self.base + hit < end else -1
             if self.base + len(self.data) >= self.size:
                 return -1
             at = max(at, self.base + len(self.data) - len(MAGIC) + 1)
