@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import hot_keys, settle
+from tessera.llm.shared import hot_keys, numbered_copies, settle
 
 #: Documents of a source that one flight group aims for, and groups that meet at the next level.
 GROUP_DOCS, FAN_IN = 1024, 256
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, *, seed: int = 0, pattern: tuple[int, ...] = (1, 2, 3),
     an empty table gives an empty one.
     """
     units = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), content_key(docs, same).alias("content"))
-    units = settle(units, "sizes")
+    units = settle(numbered_copies(units, "copy"), "sizes")
     per_source = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     per_source = settle(per_source, "sources")
     aims = targets(per_source.select("source", "source_size"))
@@ -160,7 +160,7 @@ def mix(docs: DataFrame, *, seed: int = 0, pattern: tuple[int, ...] = (1, 2, 3),
         units.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
         .withColumn("whole", F.floor(F.col("times") + F.lit(_EPS)).cast("long"))
         .withColumn("pi", F.greatest(F.col("times") - F.col("whole"), F.lit(0.0)))
-        .withColumn("slot", F.pmod(F.xxhash64("content", F.lit(seed)), F.col("groups").cast("long")))
+        .withColumn("slot", F.pmod(F.xxhash64("content", "copy", F.lit(seed)), F.col("groups").cast("long")))
         .select("doc_id", "content", "source", "size", "source_size", "target", "whole", "pi", "slot")
     )
     level, done = 0, []

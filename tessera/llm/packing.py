@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import settle
+from tessera.llm.shared import numbered_copies, settle
 from tessera.llm.tokens import encoder, merges_by_rank
 
 #: Ranking slots over all rows; each length has one at least.
@@ -181,7 +181,9 @@ def place(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     slots = {length: -(-n * SLOTS // total) for length, n in counts.items()}
     keys = [c for c in pieces.columns if c != "length"]
     sized = spark.createDataFrame(list(slots.items()) or [(0, 1)], "length long, slots long")
-    slotted = pieces.join(F.broadcast(sized), "length").withColumn("slot", F.pmod(F.xxhash64(*keys), F.col("slots"))).drop("slots")
+    dealt = numbered_copies(pieces, "_copy")  # equal rows are dealt over slots like any others
+    slotted = dealt.join(F.broadcast(sized), "length").withColumn("slot", F.pmod(F.xxhash64(*keys, "_copy"), F.col("slots"))).drop("slots")
+    slotted = settle(slotted, "slotted")
     filled = sorted(tuple(r) for r in slotted.groupBy("length", "slot").count().collect())  # SLOTS + ``capacity`` rows at most
 
     base, rank0, at = {}, {}, 0  # places of a length follow those of the lengths below it
@@ -200,7 +202,7 @@ def place(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     plan = spark.sparkContext.broadcast(np.array(sorted(ranges), dtype=np.int64).reshape(-1, 5))
 
     starts = spark.createDataFrame([(a, b, n) for (a, b), n in rank0.items()] or [(0, 0, 0)], "length long, slot long, rank0 long")
-    ranked = slotted.withColumn("rank", F.row_number().over(W.partitionBy("length", "slot").orderBy(*keys)) - 1)
+    ranked = slotted.withColumn("rank", F.row_number().over(W.partitionBy("length", "slot").orderBy(*keys, "_copy")) - 1)
     ranked = ranked.join(F.broadcast(starts), ["length", "slot"]).withColumn("rank", (F.col("rank") + F.col("rank0")).cast("long"))
     ranked = ranked.select(*pieces.columns, "rank")
 

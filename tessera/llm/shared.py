@@ -84,6 +84,24 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, *spread: str) -> Da
     return dealt.join(known, [key, "_part"]).drop("_part")
 
 
+#: Copies of one row that one task writes out.
+COPIES_IN_TASK = 4096
+
+
+def numbered_copies(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` with ``name``: 0, 1, 2 and so on among rows that are equal in all columns.
+
+    Equal rows are folded into a count before the shuffle and written out again,
+    those of a row that very many equal by many tasks.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    few = counted.where(F.col("_n") <= COPIES_IN_TASK).select(*df.columns, upto(F.col("_n")).alias(name))
+    many = counted.where(F.col("_n") > COPIES_IN_TASK).select("*", upto(F.ceil(F.col("_n") / COPIES_IN_TASK)).alias("_block")).repartition(*df.columns, "_block")
+    rest = F.least(F.lit(COPIES_IN_TASK).cast("long"), F.col("_n") - F.col("_block") * COPIES_IN_TASK)
+    return few.unionByName(many.select(*df.columns, "_block", upto(rest).alias("_at")).select(*df.columns, (F.col("_block") * COPIES_IN_TASK + F.col("_at")).alias(name)))
+
+
 def digest_of(column):
     """16 bytes that stand for a text; a null text counts as the empty one."""
     return F.unhex(F.md5(F.coalesce(column, F.lit("")).cast("binary")))

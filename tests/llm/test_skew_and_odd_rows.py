@@ -301,3 +301,53 @@ def test_packing_uses_no_more_than_first_fit(spark):
         else:
             rooms[at] -= length
     assert bins <= len(rooms)
+
+
+# rows that are equal, names that clash, long pieces --------------------------------------------------------------------
+def test_numbered_copies(spark, monkeypatch):
+    monkeypatch.setattr(shared, "COPIES_IN_TASK", 7)
+    rows = [(1, "a")] * 40 + [(2, None)] * 7 + [(None, "b")] + [(3, "c")] * 8
+    got = Counter(map(tuple, shared.numbered_copies(spark.createDataFrame(rows, "x int, y string").repartition(3), "k").collect()))
+    assert got == Counter((*row, i) for row, n in Counter(rows).items() for i in range(n))
+
+
+def test_no_group_holds_the_equal_rows(spark):
+    """Half of 20,000 rows are equal; they are dealt over the groups of mixing and the slots of packing like any others."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.lit(7).alias("size"))
+    for n in (len(docs.columns),):
+        dealt = shared.numbered_copies(docs, "copy").withColumn("slot", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(100)))
+        assert dealt.groupBy("slot").count().agg(F.max("count")).first()[0] < 20_000 * 0.02 and n == 3
+    same = spark.range(4_000).select(F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id") + 10_000).alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(700).cast("long").alias("length"))
+    placed = packing.place(same, capacity=2048).collect()
+    assert Counter(r.doc_id for r in placed)[1] == 2_000 and len({(r.sequence_id, r.offset) for r in placed}) == 4_000
+    fill = Counter(r.sequence_id for r in placed)
+    assert len(fill) == 2_000 and set(fill.values()) == {2}
+
+
+def test_url_filter_keeps_columns_of_any_name(spark):
+    rows = [(1, "https://a.example.com/en/1", "s", "p", "ps", "rv", 5, "r"), (2, None, None, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, site string, _part string, _parts string, rule_verdict string, n int, row string")
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    for given in (rules, rules.limit(0)):
+        got = url_filter.judge_urls(pages, given).orderBy("page_id")
+        assert [tuple(r)[:8] for r in got.collect()] == rows and got.columns[8:] == ["url_host", "url_path", "rule", "verdict"]
+    assert [r.verdict for r in url_filter.judge_urls(pages, rules).orderBy("page_id").collect()] == ["block", "allow"]
+
+
+def test_cache_of_texts_without_blanks(monkeypatch):
+    """Long stretches aren't kept, the cache stays below its bytes, and ids stay the library's."""
+    import public_tokenizers
+
+    from tessera.llm import tokens
+
+    rng = random.Random(6)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 60_000)
+    enc, most = tokens.PieceEncoder(path, by_rank=tokens.merges_by_rank(path)), 0
+    for _ in range(60):
+        text = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3_000)) + " short words too " + "".join(rng.choice("abcdef0123456789") for _ in range(rng.choice([50, 5_000])))
+        before = sum(x.held for x in (enc.head, enc.tail))
+        ids = np.frombuffer(enc.ids(text), np.uint32)
+        most = max(most, before, sum(x.held for x in (enc.head, enc.tail)))
+        assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert most < 120_000 and all(len(k) <= tokens.LONGEST_KEPT for x in (enc.head, enc.tail) for k in x.cache)
