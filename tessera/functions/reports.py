@@ -64,7 +64,7 @@ def acquirer_in(text: Column, company: Column) -> Column:
     A name that a word of another firm follows is another firm's.
     """
     spaced = F.regexp_replace(text, r"\s+", " ")
-    name = F.concat(F.lit(r"(?iU)\b\Q"), F.regexp_replace(F.trim(company), r"\s+", " "), F.lit(r"\E\b"))
+    name = F.concat(F.lit(r"(?iU)\b\Q"), F.replace(F.regexp_replace(F.trim(company), r"\s+", " "), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
     marked = F.regexp_replace(spaced, name, F.lit(_MARK))
     other = F.regexp_extract(marked, rf"^[^{_MARK}]*{_MARK}[ ,]+({OTHER_FIRM})\b", 1)
     own = (other == "") | F.contains(F.concat(F.lit(" "), F.lower(company), F.lit(" ")), F.concat(F.lit(" "), F.lower(other), F.lit(" ")))
