@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import web
-from tessera.operators import newsevents, writeplan
+from tessera.operators import newsevents, purchases, writeplan
 from tessera.plans.catalog import query
 from tessera.sources.tables import table
 
@@ -49,3 +49,33 @@ def news_events(spark, sf_dir):
     """One page for each event that pages of a domain report; mobile hosts stand as a company's own site, secure addresses as headlines of the event."""
     url = F.col("url")
     return newsevents.dedupe_news(page_news(table(spark, sf_dir, "pages")), own_site=url.contains("://m."), preferred=url.startswith("https"))
+
+
+def order_purchases(orders):
+    """Orders as headlines of purchases: customers as companies, days as the orders', buyers in several spellings by priority and sum."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long") % 100
+    company = F.concat(F.lit("Works"), F.col("o_custkey").cast("string"))
+    buyer = F.element_at(F.array(*map(F.lit, ["Inworld", "Inworld AI", "Research Lab Inworld", "Żabka Group", "Żabka", "Tyro", "Ox", "Ox Bank"])), (cents % 8 + 1).cast("int"))
+    title = (
+        F.when(cents < 40, F.concat(buyer, F.lit(" acquires "), company, F.lit(" to grow in Europe")))
+        .when(cents < 55, F.concat(buyer, F.lit(" Acquires Controlling Stake In "), company))
+        .when(cents < 70, F.concat(company, F.lit(" was acquired by "), buyer))
+        .when(cents < 90, F.concat(company, F.lit(" and "), buyer, F.lit(" plan what comes next")))
+        .otherwise(F.concat(company, F.lit(" opens an office")))
+    )
+    return orders.select(
+        company.alias("company"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("https://news.example/"), F.col("o_orderkey").cast("string")).alias("url"), title.alias("title"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate").cast("date")).alias("day"),
+        (F.col("o_orderpriority") != "5-LOW").alias("eligible"), (F.col("o_orderpriority") == "1-URGENT").alias("party"), (F.col("o_orderpriority") == "2-HIGH").alias("by_code"), F.lit("Nothing else. ").alias("content"),
+    )
+
+
+@query()
+def purchases_reported(spark, sf_dir):
+    """Purchases of customers that their orders, taken as headlines, report."""
+    return purchases.purchase_events(order_purchases(table(spark, sf_dir, "orders")).drop("content"))
+
+
+@query()
+def purchase_claims(spark, sf_dir):
+    """The purchase that stands for each customer by the claims of its articles."""
+    return purchases.acquisitions(order_purchases(table(spark, sf_dir, "orders")))
