@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import mentions
+from tessera.functions import text
+from tessera.operators import mentions, tags
 from tessera.plans.catalog import query
 from tessera.sources.tables import table
 
@@ -53,3 +54,13 @@ def declared_rivals(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     claims = mentions.rival_claims(c.select(F.col("c_custkey").alias("source_id"), text.alias("text")), c.select(F.col("c_custkey").alias("company_id"), own.alias("company")))
     return claims.where("company_id = source_id").select("company_id", "source_id", "rival")
+
+
+@query()
+def tags_carried(spark, sf_dir):
+    """Tags (the first two content words of each benchmark item, and one alternative) that sentences of a source's documents carry; held against a plain pass in the tests."""
+    words = text.content_words(F.col("text"))
+    tag = F.concat_ws(" / ", F.array_join(F.slice(words, 1, 2), " "), F.element_at(words, 3))
+    asked = table(spark, sf_dir, "benchmark").select(tag.alias("tag")).join(F.broadcast(table(spark, sf_dir, "documents").select(F.col("source").alias("company")).distinct()))  # a tag for each source
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.col("doc_id").alias("page"), F.lit(None).cast("string").alias("url"), "text")
+    return tags.supported_tags(pages, asked)
