@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,27 +56,101 @@ def contains_quote(quote: Column, source: Column) -> Column:
     return (form != "") & F.contains(match_form(source), form)
 
 
-def _dice(a: set, b: set) -> float:
-    return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
-
-
-def _pairs(words: list[str]) -> set:
-    return set(zip(words, words[1:])) if len(words) > 1 else set(words)
-
-
 def best_window(quote: str, source: str) -> float:
-    """Highest Dice of word pairs between a quote and any stretch of the source as long."""
+    """Highest Dice of word pairs between a quote and any stretch of the source as long; counts slide along."""
     q, s = quote.split(), source.split()
     if not q or not s:
         return 0.0
-    n, own, best = min(len(q), len(s)), _pairs(q), 0.0
-    for i in range(len(s) - n + 1):
-        best = max(best, _dice(own, _pairs(s[i : i + n])))
-        if best == 1.0:
-            break
+    n = min(len(q), len(s))
+    pairs = (lambda words: list(zip(words, words[1:]))) if n > 1 else list
+    own, every = set(pairs(q) if len(q) > 1 else q), pairs(s)
+    width = max(1, n - 1)
+    held: dict = {}
+    shared, best = 0, 0.0
+    for i, new in enumerate(every):
+        held[new] = held.get(new, 0) + 1
+        shared += held[new] == 1 and new in own
+        if i >= width:
+            old = every[i - width]
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+                shared -= old in own
+        if i >= width - 1:
+            best = max(best, 2 * shared / (len(own) + len(held)))
+            if best == 1.0:
+                break
     return best
 
 
+def passage_hashes(n: int, wanted=None):
+    """For mapInArrow over (id, hashes of a text's words): (id, hash) of each distinct passage of ``n`` words, or of those in ``wanted``.
+
+    A passage's hash is the sum of its words' hashes times the powers of an odd number, modulo 2 ** 64.
+    """
+    powers = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(n)], np.uint64)
+    schema = pa.schema([("id", pa.int64()), ("hash", pa.int64())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if wanted is None else np.array(wanted.value, np.int64)
+        for batch in batches:
+            lists = batch.column(1)
+            words, ends, ids = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets), batch.column(0).to_pylist()
+            if len(words) < n:
+                continue
+            hashes = sum(words[k : len(words) - n + 1 + k] * powers[k] for k in range(n)).view(np.int64)
+            inside = np.zeros(len(hashes), bool) if known is not None else np.ones(len(hashes), bool)
+            if known is not None and len(known):
+                at = np.searchsorted(known, hashes)
+                inside = known[np.minimum(at, len(known) - 1)] == hashes
+            out_ids, out = [], []
+            for i, unique in enumerate(ids):
+                low, high = int(ends[i]), int(ends[i + 1]) - n + 1
+                found = np.unique(hashes[low:high][inside[low:high]]) if high > low else ()
+                out_ids += [unique] * len(found)
+                out.append(found)
+            yield pa.record_batch([pa.array(out_ids, pa.int64()), pa.array(np.concatenate(out).astype(np.int64) if out else [], pa.int64())], schema=schema)
+
+    return read
+
+
+#: Pairs of all quotes that are sent to every task, in bytes at most.
+PAIR_BYTES = 64 << 20
+
+
+def _near_pairs(own: DataFrame, sizes: DataFrame, held: DataFrame, unique: str, enough: float) -> DataFrame:
+    """(item_id, unique) of texts that share enough pairs with a quote, counted within each text, the quotes' pairs known to every task."""
+    quotes = own.collect()
+    least = {r["item_id"]: min(math.ceil(r["n"] * (enough / (2 - enough)) - 1e-9), r["n"] - 2) for r in sizes.collect()}
+    by_pair: dict[int, list[int]] = {}
+    for item, pair in quotes:
+        by_pair.setdefault(pair, []).append(item)
+    sent = own.sparkSession.sparkContext.broadcast((by_pair, least))
+    schema = pa.schema([("item_id", pa.int64()), (unique, pa.int64())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_pair, least = sent.value
+        known = np.array(sorted(by_pair), np.int64)
+        always = [item for item, n in least.items() if n <= 0]
+        for batch in batches:
+            lists, found, texts = batch.column(1), [], []
+            ends, values = np.asarray(lists.offsets), np.asarray(lists.values)
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                mine = values[ends[i] : ends[i + 1]]
+                at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
+                hits = np.unique(mine[known[at] == mine]) if len(known) and len(mine) else ()
+                shared: dict[int, int] = {}
+                for pair in map(int, hits):
+                    for item in by_pair[pair]:
+                        shared[item] = shared.get(item, 0) + 1
+                items = {item for item, n in shared.items() if n >= least[item]} | (set(always) & set(shared))
+                found += items
+                texts += [doc] * len(items)
+            yield pa.record_batch([pa.array(found, pa.int64()), pa.array(texts, pa.int64())], schema=schema)
+
+    return held.mapInArrow(read, f"item_id long, {unique} long")
+
+
 def quote_candidates(quotes: DataFrame, sources: DataFrame, *, quote: str = "quote", source: str = "content", enough: float = 0.9) -> DataFrame:
     """Distinct (item_id, doc_id) of ``quotes`` and ``sources`` that verify_quotes can match; none is missed.
 
@@ -84,16 +161,19 @@ def quote_candidates(quotes: DataFrame, sources: DataFrame, *, quote: str = "quo
     """
 
     def pairs(df: DataFrame, unique: str, text: str) -> DataFrame:
-        words = df.select(unique, F.split(match_form(F.col(text)), " ").alias("w")).where(F.size("w") > 1)
-        at = F.sequence(F.lit(1), F.size("w") - 1)
-        each = F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1))))
-        return words.select(unique, F.explode(each).alias("pair"))
+        words = df.select(F.col(unique).cast("long").alias(unique), F.transform(F.split(match_form(F.col(text)), " "), lambda x: F.xxhash64(x)).alias("w")).where(F.size("w") > 1)
+        each = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.xxhash64(a, b))
+        return words.select(unique, each.alias("pairs"))
 
-    own = pairs(quotes, "item_id", quote)
+    own = pairs(quotes, "item_id", quote).select("item_id", F.explode(F.array_distinct("pairs")).alias("pair"))
     sizes = own.groupBy("item_id").agg(F.count("*").alias("n"))
-    shared = own.join(pairs(sources, "doc_id", source), "pair").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    least = F.least(F.ceil(F.col("n") * (enough / (2 - enough)) - 1e-9), F.col("n") - 2)
-    near = shared.join(sizes, "item_id").where(F.col("shared") >= least).select("item_id", "doc_id")
+    held = pairs(sources, "doc_id", source)
+    if own.count() * 16 <= PAIR_BYTES:
+        near = _near_pairs(own, sizes, held, "doc_id", enough)
+    else:
+        shared = own.join(held.select("doc_id", F.explode(F.array_distinct("pairs")).alias("pair")), "pair").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+        least = F.least(F.ceil(F.col("n") * (enough / (2 - enough)) - 1e-9), F.col("n") - 2)
+        near = shared.join(sizes, "item_id").where(F.col("shared") >= least).select("item_id", "doc_id")
     short = quotes.select("item_id", match_form(F.col(quote)).alias("_q")).where((F.col("_q") != "") & (F.size(F.split("_q", " ")) <= 3))
     held = sources.select("doc_id", match_form(F.col(source)).alias("_s")).join(short, F.contains("_s", "_q")).select("item_id", "doc_id")
     return near.unionByName(held).distinct()

@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tessera.plans import analytic, cases, entity, evidence, folds, market, named, observed, records, relational, scoring, textual  # noqa: F401  (they register their queries)
+    from tessera.plans import analytic, cases, entity, evidence, folds, market, named, observed, records, relational, scoring, stored, textual  # noqa: F401  (they register their queries)
 
     return QUERIES, ORACLES

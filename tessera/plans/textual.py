@@ -10,6 +10,10 @@ from tessera.plans.catalog import query
 from tessera.sources.tables import table
 
 
+#: Hashes of passages that are sent to every task, in bytes at most.
+PASSAGE_BYTES = 64 << 20
+
+
 @query("SELECT md5(lower(trim(text))) AS text_hash, count(*) AS n, min(doc_id) AS first_id, count(DISTINCT source) AS sources FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_dups(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.md5(F.lower(F.trim("text"))))
@@ -56,8 +60,10 @@ def best_sentences(spark, sf_dir):
 def benchmark_overlap(spark, sf_dir):
     """Documents that hold passages of 13 words of a benchmark item.
 
-    Hashes of the passages find the documents that can hold any; only those are
-    compared word for word.
+    Every word is hashed once, and the hashes of 13 are combined by products; the
+    documents that may hold a passage of an item, found by these in Arrow
+    batches, are compared word for word.  The items' hashes go to all tasks up to
+    PASSAGE_BYTES; beyond that they are joined.
     """
 
     def split(df):
@@ -69,8 +75,14 @@ def benchmark_overlap(spark, sf_dir):
         return split(df).select(unique, F.explode(F.array_distinct(F.transform(at, lambda i: of(F.slice("w", i, F.lit(13)))))).alias("gram"))
 
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
-    hashed = grams(docs, "doc_id", F.xxhash64).join(grams(items, "item_id", F.xxhash64).select("gram").distinct(), "gram", "left_semi")
-    may = docs.join(hashed.select("doc_id").distinct(), "doc_id", "left_semi")
+    words = lambda df, unique: split(df).select(F.col(unique).cast("long").alias(unique), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    passages = words(items, "item_id").mapInArrow(text.passage_hashes(13), "id long, hash long").select("hash").distinct()
+    if passages.count() * 8 <= PASSAGE_BYTES:
+        held = sorted(r[0] for r in passages.collect())
+        hit = words(docs, "doc_id").mapInArrow(text.passage_hashes(13, spark.sparkContext.broadcast(held)), "id long, hash long")
+    else:
+        hit = words(docs, "doc_id").mapInArrow(text.passage_hashes(13), "id long, hash long").join(passages, "hash", "left_semi")
+    may = docs.join(hit.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def joined(words):
         return F.array_join(words, " ")
