@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import reports
+from tessera.functions import relevance, reports
 from tessera.plans.cases import rule_query
 from tessera.plans.catalog import query
 from tessera.sources import tables
@@ -196,3 +196,39 @@ def patent_publications(spark, sf_dir):
     body = F.when(k % 2 == 0, F.to_json(one)).otherwise(F.to_json(two))
     read = table(spark, sf_dir, "part").select("p_partkey", tables.publication_record(body).alias("p"))
     return read.select("p_partkey", "p.publication_number", "p.title", "p.published", "p.assignee", F.array_join("p.inventors", ",").alias("inventors"))
+
+
+_ABOUT = "Superblocks is a governed enterprise platform that lets business teams generate AI apps and agents on company data, while IT controls integrations, permissions and code security."
+_PAD = "A long article about early-stage startups, hiring, technical debt and how founders raise money in a bull market. " * 8
+
+rule_query("news_problems", "Why an article isn't news about a company.", "t string, body string, c string, about string", [
+    ("Banzai Acquires AI Web Development and Hosting Platform Superblocks", None, "Superblocks", _ABOUT, "different_product"),
+    ("Acme acquires enterprise app platform Superblocks", None, "Superblocks", _ABOUT, None),
+    ("Superblocks raises $23M Series A", "Superblocks, a platform for internal apps and agents, raised $23 million.", "Superblocks", _ABOUT, None),
+    ("Superblocks raises $23M Series A", None, "Superblocks", _ABOUT, None),
+    ("Nova raises $5M", "Nova, a hosting provider for small websites, raised $5 million.", "Nova", "Nova predicts vulnerabilities in cloud infrastructure using machine learning.", "different_product"),
+    ("What to know before investing in Ethereum competitor Solana (SOL)", None, "Solana", "Solana is a high-performance network.", "explainer"),
+    ("TechCrunch+ roundup: Slashing technical debt, IPO analysis, your first comms hire", _PAD + " Lightup was mentioned once.", "Lightup", "Lightup is a data quality platform", "explainer"),
+    ("Lessons from founders raising their first round in a bull market", _PAD + " Lightup was mentioned once.", "Lightup", "Lightup is a data quality platform", "explainer"),
+    ("Why founders raise early", _PAD + " Lightup said so.", "Lightup", "a data quality platform", "not_about_the_company"),
+    ("Data quality startup Lightup nabs $9M in fresh funding", _PAD, "Lightup", "x y z", None),
+    ("Swan secures €42M to lead Embedded Banking in Europe", _PAD, "Swan", "x y z", None),
+    ("Thriveni Expands Partnership with Empxtrack", _PAD, "Empxtrack", "x y z", None),
+    ("IT Park Ventures: The First Venture Investments", "", "Datatruck", "trucking software", "not_about_the_company"),
+    ("The 8 Best ProtonMail Alternatives", None, "Posteo", "mail", "explainer"),
+], lambda t, body, c, about: relevance.news_problem(t, body, c, about))
+
+rule_query("named_up_front", "Whether an article names a company up front.", "t string, body string, c string", [
+    ("IT Park Ventures: The First Venture Investments in Uzbekistan's Startups", "", "Datatruck", "no"),
+    ("IT Park Ventures: The First Venture Investments in Uzbekistan's Startups", "IT Park Ventures made its first investments. " * 20 + " Datatruck", "Datatruck", "no"),
+    ("Owen Selects Assurant to Enable Embedded Protection for Swan's Next-Generation Business Cards", "Owen, an insurtech, has selected Assurant to underwrite cards. " * 10, "Swan", "no"),
+    ("Swan secures €42M", "", "Swan", "yes"), ("Speechify's new voice typing", "", "Speechify", "yes"), ("Funding roundup", "Datatruck, a trucking platform, raised $12M.", "Datatruck", "yes"),
+    ("Cancer Treatment Company HIL raises money", None, "HIL Applied Medical", "yes"), ("SW-Mototech grows", None, "Mototech", "no"), ("Some other news", None, "", "yes"), (None, None, "Acme", "no"),
+], lambda t, body, c: _yes(relevance.names_up_front(t, body, c)))
+
+rule_query("own_site_items", "Whether a page of a company's own site is news.", "u string, t string, c string", [
+    ("https://empxtrack.com/news/thriveni-expands-partnership-empxtrack/", "Thriveni Expands Partnership with Empxtrack", "Empxtrack", "yes"),
+    ("https://www.appcharge.com/blog/epic-v-google-the-settlement-is-off-the-table", "Epic v. Google: The Settlement Is Off the Table, and That Is Good for Developers", "Appcharge", "no"),
+    ("https://www.heygen.com/blog/heygen-surpasses-200m-arr", "HeyGen Surpasses $200M ARR as AI Video Adoption Accelerates", "HeyGen", "yes"),
+    ("https://www.swan.io/blog-posts/swan-secures-eu42m", "Swan secures €42M", "Swan", "yes"), ("https://www.upside.com/newsroom/press-releases/x", "Forbes recognizes Upside", "Upside", "yes"), ("not a url", "Swan secures €42M", "Swan", "no"), (None, None, "Swan", "no"),
+], lambda u, t, c: _yes(relevance.own_site_news(u, t, c)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import classify, text, web
+from tessera.functions import classify, relevance, text, web
 from tessera.plans.catalog import query
 from tessera.sources.tables import table
 
@@ -12,6 +12,7 @@ _DAY = "DATE '2026-11-28'"
 _WORDS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _FUNCTION_ENDS = ", ".join(f"'{w}'" for w in text.FUNCTION_ENDS)
 _AUXILIARIES = ", ".join(f"'{w}'" for w in text.AUXILIARIES)
+_EXPLAINER, _LISTICLE = relevance.EXPLAINER.replace("'", "''"), relevance.LISTICLE.replace("'", "''")
 _ERRORS = text.ERRORS.replace("'", "''")
 
 
@@ -98,3 +99,18 @@ def customer_ranks(spark, sf_dir):
     name = F.col("c_name")
     band = classify.headcount_band(F.floor("c_acctbal").cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", classify.search_rank(name, "Customer#000000001").alias("by_name"), classify.search_rank(name, "0000").alias("by_digits"), band.alias("band"))
+
+
+@query(
+    rf"""
+    WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, split_part(regexp_extract(url, '://([^/?#]+)', 1), '.', 1) AS company FROM pages),
+    f AS (SELECT *, ' ' || regexp_replace(regexp_replace(regexp_replace(lower(title), '[’'']s\b', '_poss', 'g'), '[^\p{{L}}\p{{N}} _]', ' ', 'g'), '\s+', ' ', 'g') || ' ' AS flat, trim(regexp_replace(regexp_replace(lower(company), '[^\p{{L}}\p{{N}} ]', ' ', 'g'), '\s+', ' ', 'g')) AS core FROM t)
+    SELECT page_id, CASE WHEN regexp_matches(title, '{_EXPLAINER}') OR regexp_matches(title, '{_LISTICLE}') THEN 'explainer' WHEN NOT contains(flat, ' ' || core || ' ') THEN 'not_about_the_company' END AS problem
+    FROM f
+    """
+)
+def page_news_problems(spark, sf_dir):
+    """Why each page's headline isn't news about the name its host begins with."""
+    title, company = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.split_part(F.regexp_extract("url", "://([^/?#]+)", 1), F.lit("."), F.lit(1))
+    nothing = F.lit(None).cast("string")
+    return table(spark, sf_dir, "pages").select("page_id", relevance.news_problem(title, nothing, company, nothing).alias("problem"))
