@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import people, text
 from tessera.operators import mentions, tags
 from tessera.plans.catalog import query
 from tessera.sources.tables import table
@@ -64,3 +64,30 @@ def tags_carried(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(tag.alias("tag")).join(F.broadcast(table(spark, sf_dir, "documents").select(F.col("source").alias("company")).distinct()))  # a tag for each source
     pages = table(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.col("doc_id").alias("page"), F.lit(None).cast("string").alias("url"), "text")
     return tags.supported_tags(pages, asked)
+
+
+@query(
+    """
+    WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer),
+    s AS (SELECT k, n, k % 5 AS form FROM c)
+    SELECT k AS page_id, name, role FROM (
+        SELECT k, unnest(['Jason J. Wang', 'Michael Gugel', 'Nir Leibovich']) AS name, 'Founder' AS role FROM s WHERE form = 0
+        UNION ALL SELECT k, unnest(['Itai Gafni', 'Roy Weisfeld']), 'Founder' FROM s WHERE form = 1
+        UNION ALL SELECT k, unnest(['Zoë Simon', 'Ana Souza']), 'Co-founder' FROM s WHERE form = 2
+        UNION ALL SELECT k, 'Drew Houston', 'Founder' FROM s WHERE form = 3
+    )
+    """
+)
+def page_founders(spark, sf_dir):
+    """Founders that a page on each customer names; one in five names another company's."""
+    own = F.concat(F.lit("Works"), F.col("c_custkey").cast("string"))
+    say = [
+        F.concat(own, F.lit(".io, Inc. was founded in 2015 by Jason J. Wang, Michael Gugel, and Nir Leibovich. It grows.")),
+        F.concat(own, F.lit(", founded in 2025 by Itai Gafni and Roy Weisfeld, raised an $8 million seed round led by 10D. The round included Ofer Ben-Noon, co-founder of Talon.")),
+        F.concat(F.lit("Last year "), own, F.lit(" was co-founded by Dr. Zoë Simon and Ana Souza in 2019, Boston.")),
+        F.concat(own, F.lit(" is a file hosting service. It was founded by Drew Houston.")),
+        F.concat(F.lit("Rival Mill, founded by John Doe, competes with "), own, F.lit(". Mill is large. It was founded by Jane Roe.")),
+    ]
+    text = F.element_at(F.array(*say), (F.col("c_custkey") % 5 + 1).cast("int"))
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), own.alias("company"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("About "), own).alias("title"), text.alias("text"))
+    return people.founders(pages).select("page_id", "name", "role")
