@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import fulltext
 from tessera.plans.catalog import query
 from tessera.sources import snapshots
 from tessera.sources.tables import read_csv, read_index, table, write_csv, write_json
@@ -80,3 +81,22 @@ def order_index(spark, sf_dir):
     head = spark.createDataFrame([("Form Type   Company Name   CIK   Date Filed  File Name",), ("-" * 60,), ("",)], "value string")
     lines.unionByName(head).write.text(folder)
     return read_index(spark, folder)
+
+
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, source, text FROM documents),
+    w AS (
+        SELECT doc_id, 1.0 AS weight, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS word FROM d
+        UNION ALL SELECT doc_id, 0.4, unnest(regexp_extract_all(lower(source), '[\p{L}\p{N}]+')) FROM d
+        UNION ALL SELECT doc_id, 0.2, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) FROM d
+    )
+    SELECT doc_id AS id, round(sum(weight), 6) AS score FROM w WHERE word IN ('the', 'or', 'src3', 'la') GROUP BY 1 ORDER BY score DESC, id LIMIT 25
+    """
+)
+def best_documents(spark, sf_dir):
+    """The 25 best documents (a top-k report) for four words, in an index of their first lines, sources and texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"), "source", "text")
+    folder = shared_folder(spark, "full-text")
+    fulltext.build(docs, folder, "doc_id", {"title": 1.0, "source": 0.4, "text": 0.2})
+    return fulltext.search(spark, folder, "the or src3 La", 25)[0]
