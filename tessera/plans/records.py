@@ -128,6 +128,19 @@ def session_bursts(spark, sf_dir):
     return events.sessions(e, "user_id", "ts").select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")], "n_events")
 
 
+@query(
+    """
+    WITH m AS (SELECT user_id, event_type, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTES AS fresh FROM events), s AS (SELECT *, sum(CASE WHEN coalesce(fresh, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM m)
+    SELECT user_id, min(ts) AS started, count(*) AS n_events, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS active_seconds, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM s GROUP BY user_id, n
+    """
+)
+def session_activity(spark, sf_dir):
+    """Active seconds and kinds of events of each burst of activity."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = events.session_activity(e, "user_id", "ts", "event_type")
+    return found.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "n_events", F.round("active_seconds", 3).alias("active_seconds"), F.array_join("kinds", ",").alias("kinds"))
+
+
 @query(
     """
     WITH r AS (SELECT o_custkey AS company_id, o_orderdate AS announcement_date, 'Fund ' || (o_orderkey % 30) AS lead, ['fund ' || (o_custkey % 30)] AS others FROM orders),

@@ -31,6 +31,16 @@ def sessions(events: DataFrame, user: str, at: str, *, gap: str = "30 minutes",
     return s.select(user, F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n_events")
 
 
+def session_activity(events: DataFrame, user: str, at: str, kind: str, *, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """user, started, n_events, active_seconds and kinds (distinct ones) of bursts of activity.
+
+    A user is active from a burst's first event to its last; the gap that ends it isn't activity.
+    """
+    seconds = F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))
+    s = events.withWatermark(at, late).groupBy(user, F.session_window(at, gap).alias("s")).agg(F.count("*").alias("n_events"), (seconds / 1e6).alias("active_seconds"), F.sort_array(F.collect_set(kind)).alias("kinds"))
+    return s.select(user, F.col("s.start").alias("started"), "n_events", "active_seconds", "kinds")
+
+
 STATE = "first_seen timestamp, closed timestamp"
 OUT = "board string, job string, event string, at timestamp, first_seen timestamp"
 
