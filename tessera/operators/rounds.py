@@ -130,3 +130,29 @@ def merge_rounds(rounds: DataFrame) -> DataFrame:
     numbered = segments(base.withColumn("_before", before), "company_id", order, F.datediff("date", "_before") > DAYS)
     dealt = numbered.drop("_before").repartition("company_id", "segment").sortWithinPartitions("company_id", "segment", *order)
     return dealt.mapInArrow(_merge, SCHEMA)
+
+
+#: Days between a round without an amount and the one with an amount that it is.
+ABSORB_DAYS = 31
+GENERIC = ("Other", "Unknown")
+
+
+def absorb_amountless(rounds: DataFrame) -> DataFrame:
+    """``rounds`` without those that only repeat another: no amount, and ABSORB_DAYS or fewer from one of the company that has one.
+
+    rounds: company, seq (their order), round_type, amount, day, lead and whatever else.
+    The first such round in order takes what it lacks from those it absorbs, the first
+    of them that has it: a named type for a generic one, a lead.  Undated rounds and
+    rounds of no company stay as they are.  Rounds meet in cells of ABSORB_DAYS days.
+    """
+    cell = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / ABSORB_DAYS)
+    bare = rounds.where("amount IS NULL AND day IS NOT NULL").select("company", F.col("seq").alias("_gone"), F.col("day").alias("_day"), F.col("round_type").alias("_type"), F.col("lead").alias("_lead"), F.explode(F.array(*[cell + i for i in (-1, 0, 1)])).alias("_cell"))
+    full = rounds.where("amount IS NOT NULL AND day IS NOT NULL").select("company", F.col("seq").alias("_target"), F.col("day").alias("_their"), cell.alias("_cell"))
+    near = bare.join(full, ["company", "_cell"]).where(F.abs(F.datediff("_day", "_their")) <= ABSORB_DAYS)
+    met = near.groupBy("company", "_gone").agg(F.min("_target").alias("_target"), F.first("_type").alias("_type"), F.first("_lead").alias("_lead"))
+    earliest = lambda c, has: F.min(F.when(has, F.struct("_gone", c)))[c]
+    given = met.groupBy("company", "_target").agg(earliest("_type", ~F.col("_type").isin(*GENERIC)).alias("_type"), earliest("_lead", F.col("_lead") != "").alias("_lead"))
+    kept = rounds.join(met.select("company", F.col("_gone").alias("seq")), ["company", "seq"], "left_anti")
+    filled = kept.join(given.withColumnRenamed("_target", "seq"), ["company", "seq"], "left")
+    kind = F.when(F.col("round_type").isin(*GENERIC), F.coalesce("_type", "round_type")).otherwise(F.col("round_type"))
+    return filled.withColumns({"round_type": kind, "lead": F.coalesce(F.nullif(F.col("lead"), F.lit("")), F.col("_lead"))}).select(*rounds.columns)

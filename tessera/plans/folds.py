@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import web
-from tessera.operators import newsevents, purchases, writeplan
+from tessera.operators import newsevents, purchases, rounds, writeplan
 from tessera.plans.catalog import query
 from tessera.sources.tables import table
 
@@ -27,9 +27,9 @@ def order_rounds(orders):
 @query()
 def round_writes(spark, sf_dir):
     """Plan of writes when finished orders are the rounds on file and all others arrive in order of their keys."""
-    rounds = order_rounds(table(spark, sf_dir, "orders"))
+    given = order_rounds(table(spark, sf_dir, "orders"))
     finished = F.col("o_orderstatus") == "F"
-    on_file, found = rounds.where(finished).withColumnRenamed("o_orderkey", "id"), rounds.where(~finished).withColumnRenamed("o_orderkey", "seq")
+    on_file, found = given.where(finished).withColumnRenamed("o_orderkey", "id"), given.where(~finished).withColumnRenamed("o_orderkey", "seq")
     plan = writeplan.plan_round_writes(on_file, found)
     return plan.withColumn("investors", F.array_join("investors", ", "))
 
@@ -79,3 +79,30 @@ def purchases_reported(spark, sf_dir):
 def purchase_claims(spark, sf_dir):
     """The purchase that stands for each customer by the claims of its articles."""
     return purchases.acquisitions(order_purchases(table(spark, sf_dir, "orders")))
+
+
+@query(
+    """
+    WITH r AS (
+        SELECT o_custkey AS company, o_orderkey AS seq, CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS cents, CAST(o_orderdate AS DATE) AS d, o_totalprice,
+               CASE o_orderpriority WHEN '1-URGENT' THEN 'Seed' WHEN '2-HIGH' THEN 'Series A' WHEN '3-MEDIUM' THEN 'Series G' WHEN '5-LOW' THEN 'Growth' ELSE 'Unknown' END AS round_type
+        FROM orders
+    ),
+    x AS (SELECT company, seq, round_type, CASE WHEN cents >= 15 THEN o_totalprice END AS amount, CASE WHEN cents < 5 OR cents >= 25 THEN d END AS day, CASE WHEN cents >= 40 OR cents < 3 THEN dayname(d) END AS lead FROM r),
+    met AS (
+        SELECT a.company, a.seq AS gone, min(b.seq) AS target, first(a.round_type) AS round_type, first(a.lead) AS lead
+        FROM x a JOIN x b ON a.company = b.company AND a.amount IS NULL AND b.amount IS NOT NULL AND abs(date_diff('day', a.day, b.day)) <= 31 GROUP BY 1, 2
+    ),
+    g AS (SELECT company, target, arg_min(round_type, gone) FILTER (round_type NOT IN ('Other', 'Unknown')) AS round_type, arg_min(lead, gone) FILTER (lead <> '') AS lead FROM met GROUP BY 1, 2)
+    SELECT x.company, x.seq, CASE WHEN x.round_type IN ('Other', 'Unknown') THEN coalesce(g.round_type, x.round_type) ELSE x.round_type END AS round_type, x.amount, x.day, coalesce(x.lead, g.lead) AS lead
+    FROM x LEFT JOIN g ON g.company = x.company AND g.target = x.seq WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.company = x.company AND met.gone = x.seq)
+    """
+)
+def rounds_with_amounts(spark, sf_dir):
+    """Orders as rounds, those without an amount put into the one of their month that has it."""
+    o = table(spark, sf_dir, "orders")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long") % 100
+    r = order_rounds(o).select(
+        "company", F.col("o_orderkey").alias("seq"), F.coalesce("round_type", F.lit("Unknown")).alias("round_type"), "amount", F.col("announced").alias("day"),
+    ).join(o.select(F.col("o_orderkey").alias("seq"), F.when((cents >= 40) | (cents < 3), F.date_format("o_orderdate", "EEEE")).alias("lead")), "seq")
+    return rounds.absorb_amountless(r).select("company", "seq", "round_type", "amount", "day", "lead")

@@ -170,3 +170,12 @@ def test_news_events(spark):
     want = plain_events(with_marks(df, url.contains("://m."), url.startswith("https")))
     got = Counter(map(tuple, load()[0]["news_events"](spark, FOLDER).collect()))
     assert got == want and any(r[-1] > 1 for r in want)
+
+
+def test_rounds_without_an_amount(spark):
+    from tessera.operators import rounds
+
+    rows = [(1, 1, "Other", 41e6, dt.date(2023, 12, 7), None), (1, 2, "Series A", None, dt.date(2023, 12, 7), "Lightspeed"), (1, 3, "Series B", None, dt.date(2025, 3, 1), "Nvidia"), (1, 4, "Seed", None, None, "X"), (2, 5, "Seed", None, dt.date(2023, 12, 7), "Y"), (None, 6, "Seed", None, dt.date(2023, 12, 7), "Z")]
+    df = spark.createDataFrame(rows, "company long, seq long, round_type string, amount double, day date, lead string")
+    got = {r.seq: (r.round_type, r.lead) for r in rounds.absorb_amountless(df).collect()}
+    assert got == {1: ("Series A", "Lightspeed"), 3: ("Series B", "Nvidia"), 4: ("Seed", "X"), 5: ("Seed", "Y"), 6: ("Seed", "Z")}
