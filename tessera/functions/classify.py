@@ -419,3 +419,37 @@ def run_class(status: Column, error: Column, dry: Column, failures: Column, rows
     """error, dry_run, partial, empty or ok of a run."""
     failed = F.coalesce(failures, F.lit(0)) > 0
     return F.when((status >= 400) | error.isNotNull(), "error").when(F.coalesce(dry, F.lit(False)), "dry_run").when(failed & (rows == 0), "error").when(failed, "partial").when(rows == 0, "empty").otherwise("ok")
+
+
+# Kinds of sources, most trusted first.
+SOURCE_KINDS = ("manual", "registry", "company_site", "press_release", "news", "aggregator_snippet", "model_inferred")
+
+
+def source_rank(kind: Column) -> Column:
+    """6 for the most trusted kind of source, 0 for the least; null for another."""
+    last = len(SOURCE_KINDS) - 1
+    return F.coalesce(*[F.when(kind == k, last - i) for i, k in enumerate(SOURCE_KINDS)])
+
+
+def rank_conflict(on_file: Column, found: Column) -> Column:
+    """Which of two sources' values stands by their kinds: keep_existing, keep_new, or unresolved where neither is trusted more."""
+    a, b = F.nullif(on_file, F.lit("")), F.nullif(found, F.lit(""))
+    x, y = source_rank(a), source_rank(b)
+    return F.when(a.isNull() & b.isNull(), "unresolved").when(a.isNull(), "keep_new").when(b.isNull(), "keep_existing").when(y > x, "keep_new").when(x > y, "keep_existing").otherwise("unresolved")
+
+
+def domain_standing(kind: Column) -> Column:
+    """Struct of kind (allowed, denied), tier and why that a domain's class means; null for an investor's, which another rule judges."""
+    news = kind.isin("news_outlet", "wire")
+    tier = F.when(news, 4)
+    return F.when(kind.isNotNull() & (kind != "investor"), F.struct(F.when(news, "allowed").otherwise("denied").alias("kind"), tier.alias("tier"), news.alias("low_confidence"), F.concat(F.lit("auto_"), kind).alias("why")))
+
+
+def backoff_seconds(attempt: Column) -> Column:
+    """Seconds to wait after a failed attempt (the first is 1): a minute, four times as long each time, an hour at most."""
+    return F.least(F.lit(3600.0), 60 * F.pow(F.lit(4.0), F.greatest(F.lit(0), attempt - 1))).cast("long")
+
+
+def shown_round_type(kind: Column) -> Column:
+    """A round's type in plain words: one that no source states is undisclosed."""
+    return F.when(kind.isNull() | kind.isin("", "Unknown"), "Undisclosed").otherwise(kind)

@@ -114,3 +114,30 @@ def page_news_problems(spark, sf_dir):
     title, company = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.split_part(F.regexp_extract("url", "://([^/?#]+)", 1), F.lit("."), F.lit(1))
     nothing = F.lit(None).cast("string")
     return table(spark, sf_dir, "pages").select("page_id", relevance.news_problem(title, nothing, company, nothing).alias("problem"))
+
+
+@query(
+    """
+    WITH k AS (
+        SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'manual' WHEN '2-HIGH' THEN 'company_site' WHEN '3-MEDIUM' THEN 'news' WHEN '5-LOW' THEN 'model_inferred' END AS a,
+               CASE o_orderstatus WHEN 'F' THEN 'registry' WHEN 'O' THEN 'news' END AS b, CAST(month(CAST(o_orderdate AS DATE)) AS INT) AS attempt
+        FROM orders
+    ),
+    r AS (
+        SELECT *, CASE a WHEN 'manual' THEN 6 WHEN 'company_site' THEN 4 WHEN 'news' THEN 2 WHEN 'model_inferred' THEN 0 END AS x, CASE b WHEN 'registry' THEN 5 WHEN 'news' THEN 2 END AS y FROM k
+    )
+    SELECT o_orderkey,
+           CASE WHEN a IS NULL AND b IS NULL THEN 'unresolved' WHEN a IS NULL THEN 'keep_new' WHEN b IS NULL THEN 'keep_existing' WHEN y > x THEN 'keep_new' WHEN x > y THEN 'keep_existing' ELSE 'unresolved' END AS verdict,
+           CAST(least(3600, 60 * pow(4, greatest(0, attempt - 1))) AS BIGINT) AS wait, CASE WHEN a IS NULL THEN 'Undisclosed' ELSE a END AS shown,
+           CASE WHEN b = 'news' THEN 'allowed/4/auto_wire' WHEN b = 'registry' THEN 'denied/-/auto_blog_vendor_other' END AS standing
+    FROM r
+    """
+)
+def source_conflicts(spark, sf_dir):
+    """Which of two kinds of sources stands for each order, how long a retry waits, and what a domain's class means."""
+    priority = F.create_map(*[F.lit(x) for pair in {"1-URGENT": "manual", "2-HIGH": "company_site", "3-MEDIUM": "news", "5-LOW": "model_inferred"}.items() for x in pair])
+    a = F.try_element_at(priority, F.col("o_orderpriority"))
+    b = F.when(F.col("o_orderstatus") == "F", "registry").when(F.col("o_orderstatus") == "O", "news")
+    standing = classify.domain_standing(F.when(b == "news", "wire").when(b == "registry", "blog_vendor_other").otherwise("investor"))
+    shown = F.concat_ws("/", standing["kind"], F.coalesce(standing["tier"].cast("string"), F.lit("-")), standing["why"])
+    return table(spark, sf_dir, "orders").select("o_orderkey", classify.rank_conflict(a, b).alias("verdict"), classify.backoff_seconds(F.month("o_orderdate")).alias("wait"), classify.shown_round_type(a).alias("shown"), F.when(standing.isNotNull(), shown).alias("standing"))
