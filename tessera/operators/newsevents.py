@@ -102,7 +102,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_events(items: DataFrame) -> DataFrame:
-    """(company, seq-independent row, node) of every event that an item names: a stretch of days, or all where one is undated."""
+    """(row, node) of every event that an item names: a stretch of days, or all where one is undated."""
     each = items.select("row", "firm", "at", F.explode("keys").alias("key"))
     whole = each.groupBy("firm", "key").agg(F.max(F.col("at").isNull()).alias("whole"))
     few = each.where("at IS NOT NULL").select("firm", "key", "at").distinct()
