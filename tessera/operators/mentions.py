@@ -4,6 +4,8 @@ Names and texts are compared as sequences of words in lower case, so a name is f
 whole or not at all.  Up to MOST_BYTES of names go to every task as one automaton that
 reads each text once, whatever the number of names.  A larger set of names is joined
 instead: stretches of words of each length that a name has, by hash, then compared.
+Joins with names or companies are hinted to merge: a packed file of few megabytes can
+hold millions of names, and Spark would take it for small and send it through the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import dealt
+
 #: Bytes of names up to which they are sent to every task.
 MOST_BYTES = 16 << 20
 
@@ -58,8 +62,8 @@ def _by_words(forms: DataFrame, names: DataFrame) -> DataFrame:
     found = []
     for n in lengths:
         held = forms.where(F.size(words) >= n).select("text_id", F.explode(stretches(n)).alias("form"))
-        known = names.where(F.size(words) == n)
-        found.append(held.withColumn("key", F.xxhash64("form")).join(known.withColumn("key", F.xxhash64("form")), ["key", "form"]).select("text_id", "name_id"))
+        known = names.where(F.size(words) == n).withColumn("key", F.xxhash64("form"))
+        found.append(held.withColumn("key", F.xxhash64("form")).join(known.hint("merge"), ["key", "form"]).select("text_id", "name_id"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -143,9 +147,10 @@ def rival_claims(sources: DataFrame, companies: DataFrame, *, most_bytes: int =
     a company (found for all companies at once) meet the patterns.  A sentence
     of more than 400 characters is none; the quote is the least sentence.
     """
-    sentences = sources.select("source_id", F.explode(F.split(F.regexp_replace("text", r"\s+", " "), "(?<=[.!?])\\s+(?=[A-Z“\"'])")).alias("sentence"))
+    sentences = dealt(sources.select("source_id", "text")).select("source_id", F.explode(F.split(F.regexp_replace("text", r"\s+", " "), "(?<=[.!?])\\s+(?=[A-Z“\"'])")).alias("sentence"))
     short = sentences.where(F.length("sentence") <= 400).select("source_id", F.trim("sentence").alias("sentence")).withColumn("text_id", F.xxhash64("source_id", "sentence"))
     held = mentions(short.where(F.col("sentence").rlike("(?i)compet|rival")), companies, text="sentence", name="company", name_id="company_id", most_bytes=most_bytes).select("text_id", F.col("name_id").alias("company_id")).distinct()
-    met = short.dropDuplicates(["text_id"]).join(held, "text_id").join(companies.select(F.col("company_id").cast("long").alias("company_id"), "company"), "company_id")
+    known = companies.select(F.col("company_id").cast("long").alias("company_id"), "company")
+    met = short.dropDuplicates(["text_id"]).join(held.hint("merge"), "text_id").join(known.hint("merge"), "company_id")
     claims = met.select("company_id", "source_id", F.explode(rivals_in(F.col("sentence"), F.col("company"))).alias("rival"), "sentence")
     return claims.groupBy("company_id", "source_id", core_name(F.col("rival")).alias("core")).agg(F.min("rival").alias("rival"), F.min("sentence").alias("quote")).drop("core")

@@ -48,6 +48,14 @@ def test_declared_rivals(spark, company, text, want):
     assert sorted(r.rival for r in claims.collect()) == want
 
 
+def test_large_sets_of_companies_stay_off_the_driver(spark, tmp_path):
+    spark.range(400).selectExpr("id AS company_id", "concat('Works ', id) AS company", "concat('Works ', id, ' competes with Mill.') AS text").write.parquet(f"{tmp_path}/c")
+    c = spark.read.parquet(f"{tmp_path}/c")
+    claims = mentions.rival_claims(c.select(c.company_id.alias("source_id"), "text"), c.select("company_id", "company"), most_bytes=1)
+    assert claims.count() == 400
+    assert "Broadcast" not in claims._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lists_of_names(spark):
     from pyspark.sql import functions as F
 
