@@ -29,17 +29,27 @@ def survivors(groups: DataFrame, richness: DataFrame) -> DataFrame:
     return members.join(best, ["kind", "value"]).where(F.col("entity_id") != F.col("best.entity_id")).select("kind", "value", F.col("entity_id").alias("loser"), F.col("best.entity_id").alias("survivor"))
 
 
-def same_key_pairs(df: DataFrame, key: str, unique: str, agree: Sequence[str] = ()) -> DataFrame:
+def same_key_pairs(df: DataFrame, key: str, unique: str, agree: Sequence[str] = (), *, within: int | None = None) -> DataFrame:
     """left_id < right_id of rows that share a key, with the number of agreeing columns and a score.
 
     The score is 0.7 and 0.1 for each agreement, 1 at most.  Keys that many rows
-    share make many pairs; pass rows whose key is a name, not a category.
+    share make many pairs; pass rows whose key is a name, not a category, or
+    ``within``: ids (numbers) must then be less than that apart, and rows meet only in
+    their own cell of so many ids and the one before.  The join merges: packed files
+    hold more rows than their size says, and aren't sent through the driver.
     """
     cols = [unique, *agree]
     a = df.select(key, *[F.col(c).alias(f"_a_{c}") for c in cols])
     b = df.select(key, *[F.col(c).alias(f"_b_{c}") for c in cols])
+    on = [key]
+    if within is not None:
+        on, cell = [key, "_cell"], lambda c: F.floor(F.col(c) / within)
+        b = b.withColumn("_cell", cell(f"_b_{unique}"))
+        a = a.withColumn("_cell", F.explode(F.array(cell(f"_a_{unique}"), cell(f"_a_{unique}") + 1)))
     agreed = sum((F.when(F.col(f"_a_{c}") == F.col(f"_b_{c}"), 1).otherwise(0) for c in agree), F.lit(0))
-    pairs = a.join(b, key).where(F.col(f"_a_{unique}") < F.col(f"_b_{unique}"))
+    pairs = a.join(b.hint("merge"), on).where(F.col(f"_a_{unique}") < F.col(f"_b_{unique}"))
+    if within is not None:
+        pairs = pairs.where(F.col(f"_b_{unique}") - F.col(f"_a_{unique}") < within)
     return pairs.select(F.col(f"_a_{unique}").alias("left_id"), F.col(f"_b_{unique}").alias("right_id"), key, agreed.alias("agree")).withColumn(
         "score", F.least(F.lit(0.7) + F.lit(0.1) * F.col("agree"), F.lit(1.0))
     )
@@ -96,7 +106,7 @@ def similar_names(df: DataFrame, name: str, unique: str, *, least: float = NAME_
 def undecided(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Pairs that no reviewer has decided, in either order."""
     d = decisions.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")).distinct()
-    return pairs.join(d, ["left_id", "right_id"], "left_anti")
+    return pairs.join(d.hint("merge"), ["left_id", "right_id"], "left_anti")
 
 
 def shared_checkpoints(context) -> None:

@@ -822,7 +822,7 @@ def tier1_survivors(spark, sf_dir):
 def undecided_pairs(spark, sf_dir):
     """Candidate pairs that no reviewer has decided, in either order."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("key"))
-    pairs = resolve.same_key_pairs(c, "key", "c_custkey").where(F.col("right_id") - F.col("left_id") < 100).select("left_id", "right_id")
+    pairs = resolve.same_key_pairs(c, "key", "c_custkey", within=100).select("left_id", "right_id")
     decided = pairs.where((F.col("left_id") + F.col("right_id")) % 4 == 0).select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))
     return resolve.undecided(pairs, decided)
 

@@ -125,3 +125,15 @@ def test_streams(spark, tmp_path):
     once = events.run_available(events.fresh_alerts(stream, ["board", "job"], "at"), "alerts", checkpoint=f"{tmp_path}/c2")
     assert once.count() == 2
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_pairs_near_in_id_meet_in_cells(spark):
+    """Rows of one key meet only where their ids are near: rows joined stay in proportion to rows."""
+    from tessera.operators.resolve import same_key_pairs
+
+    ids = [-205, -101, -100, -1, 0, 1, 99, 100, 101, 199, 200, 350]
+    got = {(r.left_id, r.right_id) for r in same_key_pairs(spark.createDataFrame([("k", i) for i in ids], "key string, id long"), "key", "id", within=100).collect()}
+    assert got == {(a, b) for a in ids for b in ids if a < b < a + 100}
+    many = same_key_pairs(spark.range(20_000).selectExpr("'k' AS key", "id"), "key", "id", within=100)
+    assert many.count() == sum(min(99, 19_999 - i) for i in range(20_000))
+    assert "_cell" in many._jdf.queryExecution().optimizedPlan().toString()
