@@ -1,9 +1,9 @@
-"""Which tags of a company a sentence of its pages supports, through a positional index of words.
+"""Which tags of a company a sentence of its pages supports, through an index of words.
 
 A tag's words may be inflected, so they are looked up by their first letters: the index
-holds, for each sentence, where a word begins with which 4 to 6 letters.  Joined with
-the tags' words, only sentences that hold some of them are left; one supports the tag
-if all its words stand near one occurrence of the first.
+holds the first 4 to 6 letters of each sentence's words.  A tag is joined by the one of its
+words that fewest sentences of the company have; in these its other words are looked for, and
+one supports the tag if all its words stand near one occurrence of the first.
 """
 
 from __future__ import annotations
@@ -69,17 +69,19 @@ def supported_tags(pages: DataFrame, tags: DataFrame) -> DataFrame:
     sides = F.filter(F.transform(F.split("tag", "/"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("(?i)^general$"))
     sides = F.when(F.size(sides) > 1, sides).otherwise(F.array("tag"))
     wanted = asked.select("company", "tag", "tag_id", F.posexplode(sides).alias("side", "words")).withColumn("stems", stems(F.col("words"))).where(F.size("stems") > 0)
-    each = wanted.select("company", "tag_id", "side", F.col("words").alias("alternative"), "stems", F.posexplode("stems").alias("which", "stem"))
+    each = wanted.select("company", "tag_id", "side", F.explode(F.array_distinct("stems")).alias("stem"))
 
     told = pages.where(~says_nothing(F.col("url")) | F.col("url").isNull()).where(~error_page(F.col("text")))
     told = told.select("company", "page", F.posexplode(sentences(F.col("text"))).alias("turn", "quote")).withColumn("w", _words(F.col("quote")))
-    index = told.select("company", "page", "turn", F.posexplode("w").alias("at", "word"))
-    index = index.select("company", "page", "turn", "at", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(4), F.lit(STEM)), lambda n: F.substr("word", F.lit(1), n)))).alias("stem")).where(F.length("stem") >= 4)
-    spots = index.join(each.select("company", "stem", "tag_id", "side", "which"), ["company", "stem"]).groupBy("company", "tag_id", "side", "page", "turn", "which").agg(F.collect_set("at").alias("spots"))
-    held = spots.groupBy("company", "tag_id", "side", "page", "turn").agg(F.sort_array(F.collect_list(F.struct("which", "spots"))).alias("found"))
-    held = held.join(wanted.select("tag_id", "side", "words", "stems"), ["tag_id", "side"]).where(F.size("found") == F.size("stems"))
-    near = F.exists(F.element_at("found", 1)["spots"], lambda p: F.forall("found", lambda f: F.exists(f["spots"], lambda x: F.abs(x - p) <= APART)))
-    tight = held.where(near).join(told.select("company", "page", "turn", "quote", "w"), ["company", "page", "turn"])
+    begun = F.flatten(F.transform("w", lambda x: F.transform(F.sequence(F.lit(4), F.lit(STEM)), lambda n: F.substr(x, F.lit(1), n))))
+    index = told.select("company", "page", "turn", F.explode(F.array_distinct(F.filter(begun, lambda x: F.length(x) >= 4))).alias("stem"))
+    counts = index.groupBy("company", "stem").agg(F.count("*").alias("n"))
+    rarest = each.join(counts.hint("merge"), ["company", "stem"], "left").groupBy("company", "tag_id", "side").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "stem")).alias("least")).where("least.n > 0")
+    held = index.join(rarest.select("company", F.col("least.stem").alias("stem"), "tag_id", "side").hint("merge"), ["company", "stem"]).join(wanted.select("tag_id", "side", "words", "stems"), ["tag_id", "side"])
+    met = held.drop("stem").join(told.select("company", "page", "turn", "quote", "w").hint("merge"), ["company", "page", "turn"])
+    spots = F.transform("stems", lambda s: F.filter(F.transform("w", lambda x, i: F.when(F.startswith(x, s), i)), F.isnotnull))
+    near = F.exists(F.element_at("found", 1), lambda p: F.forall("found", lambda f: F.exists(f, lambda x: F.abs(x - p) <= APART)))
+    tight = met.where(F.forall("stems", lambda s: F.exists("w", lambda x: F.startswith(x, s)))).withColumn("found", spots).where(near)
     carried = tight.where(~_protected(F.col("words"), F.element_at("stems", 1), F.col("w")))
     first = carried.groupBy("tag_id").agg(F.min(F.struct("side", "page", "turn", "quote")).alias("hit"))
     out = asked.join(first, "tag_id", "left")

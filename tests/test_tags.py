@@ -82,3 +82,13 @@ def test_pages_that_say_nothing(spark):
     }
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", tags.says_nothing(F.col("u"))).collect()
     assert {r[0]: r[1] for r in got} == urls
+
+
+def test_tags_are_joined_by_their_rarest_word_alone(spark):
+    """A word that every sentence has makes no row for a tag that has a rarer one; no texts are broadcast."""
+    pages = spark.range(300).selectExpr("'a' AS company", "id AS page", "CAST(NULL AS string) AS url", "concat('The common', if(id = 7, ' zebra', ''), ' platform runs in every place.') AS text")
+    asked = spark.createDataFrame([("a", "common zebra"), ("a", "common platform")], "company string, tag string")
+    found = tags.supported_tags(pages, asked)
+    assert {(r.tag, r.page) for r in found.collect()} == {("common zebra", 7), ("common platform", 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and "collect_set" not in plan
