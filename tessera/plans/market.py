@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import classify, web
 from tessera.operators import keyed, market, quality, relational, resolve, scoring
 from tessera.plans.catalog import query
-from tessera.sources.tables import table
+from tessera.sources.tables import dealt, table
 
 def _today():
     return F.lit("2001-08-01").cast("date")
@@ -99,7 +99,7 @@ def excluded_names(spark, sf_dir):
     k = F.col("p_partkey") % 5
     words = F.concat("p_name", F.lit(" "), F.lower("p_type"), F.when(k == 0, " university of tests").when(k == 1, " universityof tests").otherwise(""))
     denied = spark.createDataFrame([("red widget",), ("ring economy",), ("small",), ("university of",), ("blue",)], "pattern string")
-    hits = market.word_pattern_matches(table(spark, sf_dir, "part"), "p_partkey", words, denied)
+    hits = market.word_pattern_matches(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_partkey"), "p_partkey", words, denied)  # counted where they are dealt to
     return hits.groupBy("p_partkey").agg(F.min("pattern").alias("first_pattern"), F.count("*").alias("patterns"))
 
 
