@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
+from itertools import combinations
+from math import ceil, comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as words
 from tessera.functions.money import close
 from tessera.functions.names import investor_key, investors_match
+from tessera.sources.tables import dealt
 
 #: Trigram likeness from which two names are candidates.
 NAME_LIKENESS = 0.86
@@ -55,51 +61,64 @@ def same_key_pairs(df: DataFrame, key: str, unique: str, agree: Sequence[str] =
     )
 
 
-#: Trigrams that make a key together, by the most trigrams that a name has: few names share three rare ones.
-TOGETHER = ((40, 3), (100, 2))
+#: Most trigrams that make a key together, and most keys that a name has for the names of one size.
+TOGETHER, MOST_KEYS = 4, 36
 
 
-def _keys(grams: Column, k: int) -> Column:
-    """Hashes of all combinations of ``k`` elements of an array."""
-    after = lambda i: F.slice(grams, i + 2, F.size(grams))  # noqa: E731  what follows element i, counted from 0
-    if k == 1:
-        return F.transform(grams, lambda x: F.xxhash64(x))
-    if k == 2:
-        return F.flatten(F.transform(grams, lambda x, i: F.transform(after(i), lambda y: F.xxhash64(x, y))))
-    return F.flatten(F.flatten(F.transform(grams, lambda x, i: F.transform(after(i), lambda y, j: F.transform(after(i + j + 1), lambda z: F.xxhash64(x, y, z))))))
+def _together(n: int, m: int, least: float) -> tuple[int, int]:
+    """(trigrams that sets of n and m must share to be ``least`` alike, how many of them make a key)."""
+    shared = ceil((n + m) * least / (1 + least) - 1e-9)
+    lack = max(n, m) - shared
+    return shared, max([1, *[k for k in range(2, min(TOGETHER, shared) + 1) if comb(lack + k, k) <= MOST_KEYS]])
+
+
+def _name_keys(batches: Iterator[pa.RecordBatch], sizes: list[int], least: float) -> Iterator[pa.RecordBatch]:
+    """(id, key) of every combination of a name's rare trigrams, for each size of names that may be alike; grams are ranks, rarest first."""
+    for batch in batches:
+        ids, grams, count = batch.column("id"), batch.column("grams"), batch.column("n").to_numpy()
+        for n in np.unique(count).tolist():
+            at = np.flatnonzero(count == n)
+            ranks = grams.take(pa.array(at)).flatten().to_numpy().reshape(-1, n).astype(np.uint64)
+            own = ids.take(pa.array(at))
+            for m in sizes:
+                if min(n, m) < least * max(n, m) - 1e-9:
+                    continue
+                shared, k = _together(n, m, least)
+                taken = np.array(list(combinations(range(n - shared + k), k)))
+                key = np.full((len(at), len(taken)), min(n, m) * 1_000_003 + max(n, m), np.uint64)
+                for j in range(k):
+                    key = (key ^ ranks[:, taken[:, j]]) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                each = pa.array(np.repeat(np.arange(len(at)), len(taken)))
+                yield pa.RecordBatch.from_arrays([own.take(each), pa.array(key.ravel().view(np.int64))], names=["id", "key"])
 
 
 def similar_names(df: DataFrame, name: str, unique: str, *, least: float = NAME_LIKENESS) -> DataFrame:
     """left_id < right_id and likeness (3 decimals) of different names at least ``least`` alike by trigrams.
 
-    Of two trigram sets that alike, at least t = ceil(least * n) of each one's n
-    trigrams are shared, so k of them are among the rarest n - t + k of each (for
-    k up to t): names are joined on combinations of k rare trigrams.  The alphabet
-    of trigrams doesn't grow with the names, but three of them together stay rare.
-    How many go together depends on n; a name has the keys of every number
-    that a name alike may have, so nothing is missed.  Equal names stand as one.
+    Two sets of n and m trigrams that alike share at least o = ceil(least / (1 + least) *
+    (n + m)), so k of them are among the rarest n - o + k of the one and m - o + k of
+    the other: names of each two sizes are joined on combinations of k rare
+    trigrams.  The alphabet of trigrams doesn't grow with the names, but several of
+    them together stay rare; k is as many as make MOST_KEYS keys at most, and TOGETHER at
+    most, and every two sizes that can be alike are joined, so nothing is missed.
+    Equal names stand as one.  The joins merge: packed files hold more names than their
+    size says, and aren't sent through the driver.
     """
-    names = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(unique).alias("id")).withColumn("grams", words.word_trigrams(F.col("name"))).where(F.size("grams") > 0)
-    each = names.select("id", F.explode("grams").alias("g"))
-    counts = F.broadcast(each.groupBy("g").agg(F.count("*").alias("df")))  # of letters, digits and a blank: 37 ** 3 at most
-    rarest = F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda x: x["g"])
     shared_checkpoints(df.sparkSession.sparkContext)
-    ranked = each.join(counts, "g").groupBy("id").agg(rarest.alias("grams")).withColumn("n", F.size("grams")).checkpoint()
-    n, t = F.col("n"), F.ceil(F.col("n") * least - 1e-9).cast("int")
-    lows = [0, *[most for most, _ in TOGETHER]]
-    found = []
-    for low, k in zip(lows, [*[k for _, k in TOGETHER], 1], strict=True):
-        high = next((most for most in lows if most > low), None)
-        may = (F.floor(n / least + 1e-9) > low) & (F.lit(True) if high is None else (F.ceil(n * least - 1e-9) <= high))
-        fits = F.least(F.lit(k), n)  # a name of fewer trigrams is only like one with the same
-        prefix = F.slice("grams", F.lit(1), F.least(n, n - t + fits))
-        hashes = F.when(n >= k, _keys(prefix, k)).otherwise(_keys(prefix, 1))
-        found.append(ranked.where(may).select("id", "n", F.lit(k).alias("k"), F.explode(hashes).alias("key")))
-    keys = found[0].unionByName(found[1]).unionByName(found[2])
-    a, b = keys.select(F.col("id").alias("left_id"), F.col("n").alias("ln"), "k", "key"), keys.select(F.col("id").alias("right_id"), F.col("n").alias("rn"), "k", "key")
-    pairs = a.join(b, ["k", "key"]).where((F.col("left_id") < F.col("right_id")) & (F.least("ln", "rn") >= least * F.greatest("ln", "rn") - 1e-9)).select("left_id", "right_id").distinct()
+    names = dealt(df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(unique).alias("id"))).withColumn("grams", words.word_trigrams(F.col("name"))).where(F.size("grams") > 0)
+    names = names.select("id", "grams").checkpoint()
+    each = names.select("id", F.explode("grams").alias("g"))
+    counts = each.groupBy("g").agg(F.count("*").alias("df"))
+    counts = F.broadcast(counts.withColumn("rank", F.row_number().over(W.orderBy("df", "g"))))  # of letters, digits and a blank: 37 ** 3 at most
+    ranked = each.join(counts, "g").groupBy("id").agg(F.array_sort(F.collect_list("rank")).alias("grams")).withColumn("n", F.size("grams")).checkpoint()
+    sizes = [r["n"] for r in ranked.select("n").distinct().collect()]  # as many as the longest name has trigrams at most
+    kind = ranked.schema["id"].dataType.simpleString()
+    keys = ranked.mapInArrow(partial(_name_keys, sizes=sizes, least=least), f"id {kind}, key long")
+    a, b = keys.withColumnRenamed("id", "left_id"), keys.withColumnRenamed("id", "right_id")
+    pairs = a.join(b.hint("merge"), "key").where(F.col("left_id") < F.col("right_id")).select("left_id", "right_id").distinct()
     left, right = ranked.select(F.col("id").alias("left_id"), F.col("grams").alias("lg")), ranked.select(F.col("id").alias("right_id"), F.col("grams").alias("rg"))
-    scored = pairs.join(left, "left_id").join(right, "right_id").withColumn("likeness", words.set_similarity(F.col("lg"), F.col("rg")))
+    scored = pairs.join(left.hint("merge"), "left_id").join(right.hint("merge"), "right_id").withColumn("likeness", words.set_similarity(F.col("lg"), F.col("rg")))
     return scored.where(F.col("likeness") >= least).select("left_id", "right_id", F.round("likeness", 3).alias("likeness"))
 
 
