@@ -6,8 +6,7 @@ report one event, which is a relation of the items alone: connected components o
 (a superset of) it are independent, and tasks stream through them.  Items are linked
 
 - by sums and purchases that both name, through stretches of days over distinct days;
-- on one day by headlines that share most words, found by prefix filtering over
-  distinct word sets (the fewer words' rarest against all of the other's).
+- by company and day where both have enough words to be compared.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.reports import event_keys, headline_words
 from tessera.operators.resolve import connected, shared_checkpoints
+from tessera.sources.tables import dealt
 
 # Days between two reports of one event, words of a headline that can be compared, share that must agree.
 DAYS, LEAST_WORDS, SHARE = 7, 4, 0.6
@@ -81,24 +81,24 @@ _OUT = pa.schema([("company", pa.string()), ("place", pa.int64()), ("seq", pa.in
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(kept: _Kept) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"company": r["company"], "title": r["title"], "url": r["url"], "published": r["day"], "seq": r["seq"], **p} for r, p in zip(kept.items, kept.places, strict=True)], schema=_OUT)
+    def rows(kept: _Kept) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(kept.items), 2048):
+            few = zip(kept.items[start : start + 2048], kept.places[start : start + 2048], strict=True)
+            yield pa.RecordBatch.from_pylist([{"company": r["company"], "title": r["title"], "url": r["url"], "published": r["day"], "seq": r["seq"], **p} for r, p in few], schema=_OUT)
 
     now, kept = None, _Kept()
     for batch in batches:
         for start in range(0, batch.num_rows, 1024):
             for r in batch.slice(start, 1024).to_pylist():
                 if r["component"] != now:
-                    if kept.items:
-                        yield rows(kept)
+                    yield from rows(kept)
                     now, kept = r["component"], _Kept()
                 i = kept.first(r)
                 if i is None:
                     kept.add(r)
                 else:
                     kept.join(i, r)
-    if kept.items:
-        yield rows(kept)
+    yield from rows(kept)
 
 
 def _by_events(items: DataFrame) -> DataFrame:
@@ -109,38 +109,25 @@ def _by_events(items: DataFrame) -> DataFrame:
     ordered = W.partitionBy("firm", "key").orderBy("at")  # over distinct days
     starts = F.when(F.col("at") - F.lag("at").over(ordered) > DAYS, 1).otherwise(0)
     few = few.withColumn("starts", starts).withColumn("part", F.sum("starts").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("starts")
-    placed = each.join(whole, ["firm", "key"]).join(few, ["firm", "key", "at"], "left")
+    placed = each.join(whole.hint("merge"), ["firm", "key"]).join(few.hint("merge"), ["firm", "key", "at"], "left")
     return placed.select("row", F.xxhash64("firm", "key", F.when(F.col("whole"), F.lit(-1)).otherwise(F.col("part"))).alias("node"))
 
 
-def story_pairs(sets: DataFrame) -> DataFrame:
-    """(left, right) of distinct word sets (node, firm, at, words) of one company and day that share most words of the smaller.
+def _components(items: DataFrame) -> DataFrame:
+    """Items with ``component``, so that no two items of different components report one event.
 
-    At least t = ceil(SHARE * n) of its n words are shared, so one of its rarest
-    n - t + 1 is among the words of the other.
+    Headlines that can be compared are linked by their company and day, not pair by
+    pair, so this grows with the items; a pass over a component looks headlines up by their
+    words.  The joins merge: packed files hold more items than their size says, and
+    aren't sent through the driver.
     """
-    each = sets.select("node", "firm", "at", F.size("words").alias("n"), F.explode("words").alias("word"))
-    counts = each.groupBy("word").agg(F.count("*").alias("df"))
-    turn = F.row_number().over(W.partitionBy("node").orderBy("df", "word"))  # over the words of one headline
-    ranked = each.join(counts, "word").withColumn("turn", turn)
-    few = ranked.where(F.col("turn") <= F.col("n") - F.ceil(F.col("n") * SHARE - 1e-9) + 1)
-    a = few.select(F.col("node").alias("left"), "firm", "at", "word", F.col("n").alias("fewer"))
-    b = each.select(F.col("node").alias("right"), "firm", "at", "word", "n")
-    near = a.join(b, ["firm", "at", "word"]).where((F.col("left") != F.col("right")) & (F.col("fewer") <= F.col("n"))).select("left", "right").distinct()
-    lw, rw = sets.select(F.col("node").alias("left"), F.col("words").alias("lw")), sets.select(F.col("node").alias("right"), F.col("words").alias("rw"))
-    checked = near.join(lw, "left").join(rw, "right")
-    return checked.where(F.size(F.array_intersect("lw", "rw")) >= SHARE * F.least(F.size("lw"), F.size("rw"))).select("left", "right")
-
-
-def _components(items: DataFrame) -> DataFrame:
-    events = _by_events(items)
-    told = items.where(F.col("at").isNotNull() & (F.size("words") >= LEAST_WORDS)).withColumn("node", F.xxhash64("firm", "at", F.array_sort("words")))
-    sets = told.groupBy("node").agg(F.first("firm").alias("firm"), F.first("at").alias("at"), F.first("words").alias("words")).checkpoint()
-    nodes = events.unionByName(told.select("row", "node")).checkpoint()
+    told = items.where(F.col("at").isNotNull() & (F.size("words") >= LEAST_WORDS)).select("row", F.xxhash64("firm", "at", F.lit("day")).alias("node"))
+    nodes = _by_events(items).unionByName(told).checkpoint()
     heads = nodes.groupBy("row").agg(F.min("node").alias("head"))
-    edges = nodes.join(heads, "row").select(F.col("head").alias("left"), F.col("node").alias("right")).unionByName(story_pairs(sets))
-    joined = connected(edges.where(F.col("left") != F.col("right")), "left", "right").select(F.col("id").alias("head"), "group_id")
-    return items.join(heads.join(joined, "head", "left"), "row", "left").withColumn("component", F.coalesce("group_id", "head", F.xxhash64("row", F.lit("alone"))))
+    edges = nodes.join(heads.hint("merge"), "row").select(F.col("head").alias("left"), F.col("node").alias("right")).where("left <> right").distinct()
+    joined = connected(edges, "left", "right").select(F.col("id").alias("head"), "group_id")
+    placed = heads.join(joined.hint("merge"), "head", "left")
+    return items.join(placed.hint("merge"), "row", "left").withColumn("component", F.coalesce("group_id", "head", F.xxhash64("row", F.lit("alone"))))
 
 
 def dedupe_news(items: DataFrame, *, own_site: Column | None = None, preferred: Column | None = None) -> DataFrame:
@@ -160,7 +147,8 @@ def dedupe_news(items: DataFrame, *, own_site: Column | None = None, preferred:
         F.col("company").cast("string").alias("company"), F.col("seq").cast("long").alias("seq"), "title", "url", F.col("published").cast("date").alias("day"), F.coalesce(no if own_site is None else own_site, no).alias("own_site"), F.coalesce(no if preferred is None else preferred, no).alias("preferred"),
         event_keys(text).alias("keys"), F.coalesce(headline_words(F.col("title"), F.col("url")), F.array().cast("array<string>")).alias("words"),
     )
+    read = dealt(read)  # rows are read once, though checkpoints run their last stage twice
     read = read.withColumn("firm", F.xxhash64("company")).withColumn("at", F.datediff("day", F.lit("1970-01-01").cast("date"))).withColumn("row", F.monotonically_increasing_id()).checkpoint()
     order = ["seq", F.col("url").asc_nulls_first(), F.col("title").asc_nulls_first()]
-    dealt = _components(read).repartition("component").sortWithinPartitions("component", *order)
-    return dealt.select("component", "company", "seq", "title", "url", "day", "own_site", "preferred", "keys", "words").mapInArrow(_fold, OUT)
+    placed = _components(read).repartition("component").sortWithinPartitions("component", *order)
+    return placed.select("component", "company", "seq", "title", "url", "day", "own_site", "preferred", "keys", "words").mapInArrow(_fold, OUT)

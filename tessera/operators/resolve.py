@@ -152,12 +152,12 @@ def connected(pairs: DataFrame, left: str = "left_id", right: str = "right_id")
         a, b = (F.struct(F.xxhash64(c, F.lit(turn)).alias("draw"), F.col(c).alias("id")) for c in ("a", "b"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy("a").agg(F.min(b).alias("near")).select(F.col("a").alias("root"), F.least(F.col("near"), a)["id"].alias("up")).checkpoint()
-        found = found.join(step, "root", "left").select("id", F.coalesce("up", "root").alias("root")).checkpoint()
+        found = found.join(step.hint("merge"), "root", "left").select("id", F.coalesce("up", "root").alias("root")).checkpoint()
         up_a, up_b = step.select(F.col("root").alias("a"), F.col("up").alias("up_a")), step.select(F.col("root").alias("b"), F.col("up").alias("up_b"))
-        moved = edges.join(up_a, "a").join(up_b, "b").where("up_a != up_b")
+        moved = edges.join(up_a.hint("merge"), "a").join(up_b.hint("merge"), "b").where("up_a != up_b")
         edges = moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct().checkpoint()
         turn += 1
-    return found.join(found.groupBy("root").agg(F.min("id").alias("group_id")), "root").select("id", "group_id")
+    return found.join(found.groupBy("root").agg(F.min("id").alias("group_id")).hint("merge"), "root").select("id", "group_id")
 
 
 def cascade(entities: DataFrame, unique: str, steps: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:

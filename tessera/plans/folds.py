@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import web
 from tessera.operators import newsevents, purchases, rounds, writeplan
 from tessera.plans.catalog import query
-from tessera.sources.tables import table
+from tessera.sources.tables import dealt, table
 
 #: Stage that each priority of an order stands for, when orders are taken as rounds.
 STAGES = {"1-URGENT": "Seed", "2-HIGH": "Series A", "3-MEDIUM": "Series G", "5-LOW": "Growth"}
@@ -48,7 +48,7 @@ def page_news(pages):
 def news_events(spark, sf_dir):
     """One page for each event that pages of a domain report; mobile hosts stand as a company's own site, secure addresses as headlines of the event."""
     url = F.col("url")
-    return newsevents.dedupe_news(page_news(table(spark, sf_dir, "pages")), own_site=url.contains("://m."), preferred=url.startswith("https"))
+    return newsevents.dedupe_news(page_news(dealt(table(spark, sf_dir, "pages").select("page_id", "url", "html"))), own_site=url.contains("://m."), preferred=url.startswith("https"))
 
 
 def order_purchases(orders):

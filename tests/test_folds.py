@@ -146,6 +146,13 @@ def test_news_against_a_plain_pass(spark, companies):
     assert newsevents.dedupe_news(df.limit(0)).count() == 0
 
 
+def test_news_of_a_packed_file_meet_in_merged_joins(spark, tmp_path):
+    spark.createDataFrame([(i, 7, i % 9, ["5m"]) for i in range(40)], "row long, firm long, at int, keys array<string>").write.parquet(f"file://{tmp_path}/news")
+    placed = newsevents._by_events(spark.read.parquet(f"file://{tmp_path}/news"))
+    assert "BroadcastHashJoin" not in placed._jdf.queryExecution().sparkPlan().toString()
+    assert placed.count() == 40 and placed.select("node").distinct().count() == 1
+
+
 @pytest.mark.parametrize(
     ("items", "kept"),
     [

@@ -34,7 +34,9 @@ def test_names_of_all_sizes_against_every_pair(spark):
     assert got == want and len(want) > 100
 
 
-def test_names_meet_in_merged_joins(spark):
-    found = resolve.similar_names(spark.createDataFrame([(1, "north star 1234"), (2, "north star 1234 s")], "id long, name string"), "name", "id")
+def test_names_of_a_packed_file_meet_in_merged_joins(spark, tmp_path):
+    path = f"file://{tmp_path}/names"
+    spark.createDataFrame([(1, "north star 1234"), (2, "north star 1234 s")], "id long, name string").write.parquet(path)
+    found = resolve.similar_names(spark.read.parquet(path), "name", "id")
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     assert found.count() == 0 or found.first().likeness >= 0.86
