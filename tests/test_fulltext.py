@@ -34,3 +34,11 @@ def test_positions(spark):
     rows = spark.createDataFrame([(1, "a b a", "b")], "id long, title string, body string")
     got = {r.word: (r.score, r.places) for r in fulltext.postings(rows, "id", {"title": 1.0, "body": 0.5}).collect()}
     assert got == {"a": (2.0, {"title": [0, 2]}), "b": (1.5, {"title": [1], "body": [0]})}
+
+
+def test_occurrences_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(1, "a b a", "b"), (2, "", None), (1, "b", None), (None, "é_x", "9")], "id long, title string, body string")
+    found = fulltext.postings(rows, "id", {"title": 1.0, "body": 0.5})
+    assert "collect_list" not in found._jdf.queryExecution().sparkPlan().toString()
+    got = {(r.id, r.word): (r.score, r.places) for r in found.collect()}
+    assert got == {(1, "a"): (2.0, {"title": [0, 2]}), (1, "b"): (2.5, {"title": [0, 1], "body": [0]}), (None, "é"): (1.0, {"title": [0]}), (None, "x"): (1.0, {"title": [1]}), (None, "9"): (0.5, {"body": [0]})}
