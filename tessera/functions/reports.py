@@ -52,8 +52,13 @@ def _letters(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "")
 
 
+def _held(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once per row; a column that is named several times would be worked out each time, and such plans outgrow what compiles."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _found(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return _held(F.regexp_extract(text, pattern, 1), lambda x: F.when(x != "", x))
 
 
 def acquirer_in(text: Column, company: Column) -> Column:
@@ -63,25 +68,34 @@ def acquirer_in(text: Column, company: Column) -> Column:
     one fixed pattern: bought by a buyer, sold to one, or a buyer's verb before it.
     A name that a word of another firm follows is another firm's.
     """
+    return _held(F.struct(text.alias("text"), company.alias("company")), lambda x: _acquirer(x["text"], x["company"]))
+
+
+def _acquirer(text: Column, company: Column) -> Column:
     spaced = F.regexp_replace(text, r"\s+", " ")
     name = F.concat(F.lit(r"(?iU)\b\Q"), F.replace(F.regexp_replace(F.trim(company), r"\s+", " "), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-    marked = F.regexp_replace(spaced, name, F.lit(_MARK))
-    other = F.regexp_extract(marked, rf"^[^{_MARK}]*{_MARK}[ ,]+({OTHER_FIRM})\b", 1)
-    own = (other == "") | F.contains(F.concat(F.lit(" "), F.lower(company), F.lit(" ")), F.concat(F.lit(" "), F.lower(other), F.lit(" ")))
-    passive = F.regexp_extract(marked, rf"(?i)^[^{_MARK}]*{_MARK}[^.:;|]{{0,60}}?\b(?:{BOUGHT_BY})\s+(.*)$", 1)
-    described = _found(passive, rf"^(?:[\p{{L}}\d-]+\s+){{0,6}}?(?:{BUYER_NOUNS})\s+({_NAME})")
-    buyer = F.coalesce(described, _found(passive, rf"^\W*({_NAME})"))
-    sale = rf"(?i:\b(?:sale of|sells?|sold|divest(?:s|ed|iture of)?)\s*){_MARK}.*?|{_MARK}[^.:;|]{{0,60}}?(?i:\b(?:sale|sold|divestiture)\b).*?"
-    seller = _found(marked, rf"^[^{_MARK}]*?(?:{sale})\b[Tt]o\s+({_NAME})")
-    active = _found(marked, rf"({_NAME})[^\p{{L}}\p{{N}}{_MARK}]*\b(?i:{BUY})\b(?:(?!\b(?i:{BUY})\b)[^.:;|{_MARK}]){{0,90}}{_MARK}")
+
+    def own(marked: Column) -> Column:
+        other = F.regexp_extract(marked, rf"^[^{_MARK}]*{_MARK}[ ,]+({OTHER_FIRM})\b", 1)
+        return _held(other, lambda x: (x == "") | F.contains(F.concat(F.lit(" "), F.lower(company), F.lit(" ")), F.concat(F.lit(" "), F.lower(x), F.lit(" "))))
+
+    def buyer(passive: Column) -> Column:
+        described = _found(passive, rf"^(?:[\p{{L}}\d-]+\s+){{0,6}}?(?:{BUYER_NOUNS})\s+({_NAME})")
+        return F.coalesce(described, _found(passive, rf"^\W*({_NAME})"))
 
     def usable(raw: Column) -> Column:
         bare = F.regexp_replace(raw, rf"^(?:(?:{REGIONS})(?:['’]s|s)?|[A-Za-z]{{2,4}}-based)\s+(?=\p{{Lu}})", "")
         bare = F.trim(F.regexp_replace(bare, "[.,;]+$", ""))
-        a, b = _letters(bare), _letters(company)
-        return F.when(~bare.rlike(rf"(?i)^(?:{NO_BUYER})$") & ~F.contains(a, b) & ~F.contains(b, a), bare)
+        return _held(bare, lambda x: F.when(~x.rlike(rf"(?i)^(?:{NO_BUYER})$") & _held(F.struct(_letters(x).alias("a"), _letters(company).alias("b")), lambda k: ~F.contains(k["a"], k["b"]) & ~F.contains(k["b"], k["a"])), x))
+
+    def named(marked: Column) -> Column:
+        passive = F.regexp_extract(marked, rf"(?i)^[^{_MARK}]*{_MARK}[^.:;|]{{0,60}}?\b(?:{BOUGHT_BY})\s+(.*)$", 1)
+        sale = rf"(?i:\b(?:sale of|sells?|sold|divest(?:s|ed|iture of)?)\s*){_MARK}.*?|{_MARK}[^.:;|]{{0,60}}?(?i:\b(?:sale|sold|divestiture)\b).*?"
+        seller = _found(marked, rf"^[^{_MARK}]*?(?:{sale})\b[Tt]o\s+({_NAME})")
+        active = _found(marked, rf"({_NAME})[^\p{{L}}\p{{N}}{_MARK}]*\b(?i:{BUY})\b(?:(?!\b(?i:{BUY})\b)[^.:;|{_MARK}]){{0,90}}{_MARK}")
+        return F.when(F.contains(marked, F.lit(_MARK)) & own(marked), F.coalesce(*map(usable, (_held(passive, buyer), seller, active))))
 
-    return F.when(own & F.contains(marked, F.lit(_MARK)), F.coalesce(*map(usable, (buyer, seller, active))))
+    return _held(F.regexp_replace(spaced, name, F.lit(_MARK)), named)
 
 
 def majority_stake(text: Column) -> Column:

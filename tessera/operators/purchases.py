@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.names import ACCENTED, PLAIN
 from tessera.functions.reports import acquirer_in, buyer_key, majority_stake
+from tessera.operators.resolve import shared_checkpoints
 
 # Letters from which one buyer's name may be found within another, and days between reports.
 LEAST_LETTERS, STAKE_DAYS, SAME_STATEMENT, MENTION_DAYS = 4, 120, 14, 10
@@ -30,8 +31,9 @@ def article_claims(articles: DataFrame) -> DataFrame:
     told = F.concat(F.array(F.coalesce("title", F.lit(""))), F.slice(F.split(F.coalesce("content", F.lit("")), r"(?<=[.!?])\s+|\n+"), 1, SENTENCES))
     each = articles.select("company", "seq", "url", "day", F.posexplode(F.transform(told, lambda x: F.trim(x))).alias("at", "quote"))
     fit = each.where((F.length("quote") > SHORTEST) & (F.length("quote") < LONGEST) & F.contains(F.lower("quote"), F.lower(F.regexp_replace(F.trim("company"), r"\s+", " "))))
-    hits = fit.select("*", acquirer_in(F.col("quote"), F.col("company")).alias("acquirer")).where("acquirer IS NOT NULL")
-    first = hits.groupBy("company", "seq").agg(F.min(F.struct("at", "url", "day", "acquirer", "quote")).alias("h"))
+    # a filter on the buyer would have it read once more
+    read = fit.select("*", acquirer_in(F.col("quote"), F.col("company")).alias("acquirer"))
+    first = read.groupBy("company", "seq").agg(F.min(F.when(F.col("acquirer").isNotNull(), F.struct("at", "url", "day", "acquirer", "quote"))).alias("h")).where("h IS NOT NULL")
     return first.select("company", "seq", "h.url", "h.day", "h.acquirer", majority_stake(F.col("h.quote")).alias("majority"), "h.quote")
 
 
@@ -43,14 +45,15 @@ def acquisitions(articles: DataFrame) -> DataFrame:
     stake.  It is dated by the first report of the same buyer and kind (of any kind within
     STAKE_DAYS).  Ties go by ``seq``.  Companies without a claim have no row.
     """
-    claims = article_claims(articles).withColumn("buyer", buyer_key(F.col("acquirer")))
+    shared_checkpoints(articles.sparkSession.sparkContext)
+    claims = article_claims(articles).withColumn("buyer", buyer_key(F.col("acquirer"))).checkpoint()
     held = F.struct("seq", "url", "day", "acquirer", "majority", "quote", "buyer")
     newest = F.max(F.struct(~F.col("majority"), F.col("day").isNotNull(), "day", -F.col("seq"), held.alias("c")))
     picks = claims.groupBy("company").agg(newest["c"].alias("pick"))
-    met = claims.join(picks, "company").where(F.col("buyer") == F.col("pick.buyer")).withColumn("gap", F.abs(F.datediff("day", F.col("pick.day"))))
+    met = claims.join(picks.hint("merge"), "company").where(F.col("buyer") == F.col("pick.buyer")).withColumn("gap", F.abs(F.datediff("day", F.col("pick.day"))))
     stake = F.max(~F.col("pick.majority") & F.col("majority") & (F.col("gap") <= SAME_STATEMENT))
     stakes = met.groupBy("company").agg(F.coalesce(stake, F.lit(False)).alias("stake"))
-    met = met.join(stakes, "company")
+    met = met.join(stakes.hint("merge"), "company")
     status = F.col("stake") | F.col("pick.majority")
     same = F.col("day").isNotNull() & ((F.col("majority") == status) | F.col("pick.day").isNull() | (F.col("gap") <= STAKE_DAYS))
     firsts = met.groupBy("company").agg(F.min(F.when(same, F.struct("day", -F.col("seq"), held.alias("c"))))["c"].alias("first"), F.first("stake").alias("stake"), F.first("pick").alias("pick"))
@@ -62,18 +65,21 @@ def buyer_groups(keys: DataFrame) -> DataFrame:
     """(company, key, group) of distinct buyer keys (company, key, place): a key joins the shortest that stands within it.
 
     A group's key has no other within it, so which key leads doesn't depend on the
-    order of joining: keys are joined with all their substrings of LEAST_LETTERS letters or
-    more by equality, those without a shorter one lead, and of several leaders the
-    shortest, then the first by ``place``, counts.
+    order of joining: of the company's keys within one (and itself) the shortest leads,
+    which has none within, then the first by ``place``.  Keys recur from company to
+    company, so which stand within which is found once over the distinct keys, by
+    joining all their substrings of LEAST_LETTERS letters or more by equality.
     """
     n = F.length("key")
     # every start, and every length from there on
     cuts = F.flatten(F.transform(F.sequence(F.lit(1), n - LEAST_LETTERS + 1), lambda i: F.transform(F.sequence(F.lit(LEAST_LETTERS), n - i + 1), lambda m: F.substr("key", i, m))))
-    within = keys.where(n >= LEAST_LETTERS).select("company", F.col("key").alias("long"), F.explode(F.array_distinct(cuts)).alias("key")).where("key <> long")
-    held = within.join(keys, ["company", "key"])
-    leaders = keys.join(held.select("company", F.col("long").alias("key")).distinct(), ["company", "key"], "left_anti")
-    led = held.drop("place").join(leaders, ["company", "key"]).groupBy("company", "long").agg(F.min(F.struct(F.length("key").alias("n"), "place", "key")).alias("g"))
-    return leaders.select("company", "key", F.col("key").alias("group")).unionByName(led.select("company", F.col("long").alias("key"), F.col("g.key").alias("group")))
+    names = keys.where(n >= LEAST_LETTERS).select("key").distinct()
+    within = names.select(F.col("key").alias("long"), F.explode(F.array_distinct(cuts)).alias("key")).where("key <> long").join(names.hint("merge"), "key")
+    led = keys.select("company", F.col("key").alias("long")).join(within, "long").join(keys.hint("merge"), ["company", "key"])
+    own = keys.select("company", F.col("key").alias("long"), "key", "place")
+    every = own.unionByName(led.select("company", "long", "key", "place"))
+    leads = every.groupBy("company", "long").agg(F.min(F.struct(n.alias("n"), "place", "key")).alias("g"))
+    return leads.select("company", F.col("long").alias("key"), F.col("g.key").alias("group"))
 
 
 def purchase_events(items: DataFrame) -> DataFrame:
@@ -87,24 +93,27 @@ def purchase_events(items: DataFrame) -> DataFrame:
     earliest, one that names the purchase, the least address.  Undated items count
     for nothing; an event without an eligible report has no row.
     """
+    shared_checkpoints(items.sparkSession.sparkContext)
     dated = items.where("day IS NOT NULL").withColumn("acquirer", acquirer_in(F.col("title"), F.col("company")))
-    keyed = dated.withColumn("key", buyer_key(F.col("acquirer"))).withColumn("majority", majority_stake(F.col("title")))
+    keyed = dated.withColumn("key", buyer_key(F.col("acquirer"))).withColumn("majority", majority_stake(F.col("title"))).withColumn("title", F.when(F.col("acquirer").isNull(), F.col("title")))
+    keyed = keyed.select("company", "seq", "url", "title", "day", "eligible", "party", "by_code", "acquirer", "key", "majority").checkpoint()  # titles are read once
     hits = keyed.where("acquirer IS NOT NULL")
-    keys = hits.groupBy("company", "key").agg(F.min("seq").alias("place"))
-    hits = hits.join(buyer_groups(keys), ["company", "key"])
     order = [F.length("key").alias("n"), F.col("seq")]
-    facts = hits.groupBy("company", "group").agg(
-        F.min(F.struct("day", *order, "majority")).alias("first"), F.min(F.struct(F.length("acquirer").alias("size"), *order, "acquirer"))["acquirer"].alias("buyer"),
-    )
+    keys = hits.groupBy("company", "key").agg(
+        F.min("seq").alias("place"), F.min(F.struct("day", *order, "majority")).alias("first"), F.min(F.struct(F.length("acquirer").alias("size"), *order, "acquirer")).alias("short"),
+    ).checkpoint()
+    grouped = keys.join(buyer_groups(keys.select("company", "key", "place")).hint("merge"), ["company", "key"])
+    facts = grouped.groupBy("company", "group").agg(F.min("first").alias("first"), F.min("short")["acquirer"].alias("buyer"))
     facts = facts.select("company", "group", F.col("first.day").alias("first_day"), F.col("first.majority").alias("first_majority"), "buyer")
-    members = hits.join(facts, ["company", "group"]).where((F.col("majority") == F.col("first_majority")) | (F.datediff("day", "first_day") <= STAKE_DAYS)).withColumn("hit", F.lit(True))
+    known = grouped.select("company", "key", "group").join(facts.hint("merge"), ["company", "group"])
+    members = hits.join(known.hint("merge"), ["company", "key"]).where((F.col("majority") == F.col("first_majority")) | (F.datediff("day", "first_day") <= STAKE_DAYS)).withColumn("hit", F.lit(True))
     # who only mentions both meets the events of its company in cells of MENTION_DAYS days
     cell = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / MENTION_DAYS)
-    near = facts.withColumn("cell", F.explode(F.array(*[cell(F.col("first_day")) + i for i in (-1, 0, 1)])))
-    word, own = F.split_part(plain_words(F.col("buyer")), F.lit(" "), F.lit(1)), F.split_part(plain_words(F.col("company")), F.lit(" "), F.lit(1))
-    title = plain_words(F.col("title"))
-    others = keyed.where("acquirer IS NULL").withColumn("cell", cell(F.col("day"))).join(near, ["company", "cell"]).drop("cell")
-    others = others.where((F.abs(F.datediff("day", "first_day")) <= MENTION_DAYS) & (F.length(word) >= LEAST_LETTERS) & title.contains(word) & title.contains(own)).withColumn("hit", F.lit(False))
+    first_word = lambda text: F.split_part(plain_words(text), F.lit(" "), F.lit(1))
+    near = facts.withColumn("word", first_word(F.col("buyer"))).where(F.length("word") >= LEAST_LETTERS).withColumn("cell", F.explode(F.array(*[cell(F.col("first_day")) + i for i in (-1, 0, 1)])))
+    others = keyed.where("acquirer IS NULL").withColumn("plain", plain_words(F.col("title"))).where(F.contains("plain", first_word(F.col("company")))).withColumn("cell", cell(F.col("day")))
+    others = others.join(near.hint("merge"), ["company", "cell"]).drop("cell")
+    others = others.where((F.abs(F.datediff("day", "first_day")) <= MENTION_DAYS) & F.contains("plain", "word")).withColumn("hit", F.lit(False))
     cols = ["company", "group", "buyer", "seq", "url", "day", "eligible", "party", "by_code", "majority", "hit"]
     every = members.select(*cols).unionByName(others.select(*cols))
     best = F.min(F.when(F.col("eligible"), F.struct(~F.col("party"), F.col("by_code"), "day", ~F.col("hit"), "url", "seq"))).alias("rep")

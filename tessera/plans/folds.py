@@ -72,13 +72,13 @@ def order_purchases(orders):
 @query()
 def purchases_reported(spark, sf_dir):
     """Purchases of customers that their orders, taken as headlines, report."""
-    return purchases.purchase_events(order_purchases(table(spark, sf_dir, "orders")).drop("content"))
+    return purchases.purchase_events(order_purchases(dealt(table(spark, sf_dir, "orders"))).drop("content"))
 
 
 @query()
 def purchase_claims(spark, sf_dir):
     """The purchase that stands for each customer by the claims of its articles."""
-    return purchases.acquisitions(order_purchases(table(spark, sf_dir, "orders")))
+    return purchases.acquisitions(order_purchases(dealt(table(spark, sf_dir, "orders"))))
 
 
 @query(

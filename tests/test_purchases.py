@@ -102,3 +102,22 @@ def test_claims(spark, articles, want):
     rows = [("Dietly", i, u, t, None, dt.date.fromisoformat(d)) for i, (u, t, d) in enumerate(articles)]
     got = purchases.acquisitions(spark.createDataFrame(rows, "company string, seq long, url string, title string, content string, day date")).collect()
     assert [(r.status, r.acquirer) for r in got] == ([want] if want else [])
+
+
+def test_plans_stay_small_and_compile(spark):
+    """Each value of the rule is worked out once; when it stood in the plan for each use, the code outgrew what compiles and the plan of a small table took megabytes."""
+    items = order_purchases(spark.read.parquet(f"{FOLDER}/orders.parquet")).drop("content")
+    assert len(purchases.purchase_events(items)._jdf.queryExecution().toString()) < 400_000
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        named = items.select("seq", acquirer_in(F.col("title"), F.col("company")).alias("acquirer")).where("acquirer IS NOT NULL")
+        assert named.agg(F.max("acquirer")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_the_shortest_key_within_leads(spark):
+    """Keys stand within others of their own company alone; of equally short ones the first in place leads, and short ones lead none."""
+    rows = [("A", "inworldai", 1), ("A", "researchinworldai", 2), ("A", "inworld", 9), ("B", "inworldai", 1), ("B", "researchinworldai", 2), ("C", "northsouth", 1), ("C", "north", 5), ("C", "south", 4), ("D", "ox", 1), ("D", "oxbank", 2)]
+    got = {(r.company, r.key): r.group for r in purchases.buyer_groups(spark.createDataFrame(rows, "company string, key string, place long")).collect()}
+    assert got == {("A", "inworldai"): "inworld", ("A", "researchinworldai"): "inworld", ("A", "inworld"): "inworld", ("B", "inworldai"): "inworldai", ("B", "researchinworldai"): "inworldai", ("C", "northsouth"): "south", ("C", "north"): "north", ("C", "south"): "south", ("D", "ox"): "ox", ("D", "oxbank"): "oxbank"}
