@@ -17,6 +17,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from math import floor, inf, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,6 +32,8 @@ SOON, FAR, CONTRADICTION = 60, 270, 120
 ALIKE, DIFFERENT = 0.10, 0.15
 GENERIC = ("Other", "Unknown")
 LETTERS = "Series F+"
+#: Open rounds that are held against a found one each; more are put on shelves.
+FEW = 8
 #: Amounts that differ by ALIKE or less are in one band or in neighbouring ones.
 BAND = log(1 / (1 - ALIKE)) * 1.000001
 
@@ -101,6 +104,7 @@ class OpenRounds:
         self.dated: dict = defaultdict(list)  # sorted (day, number) under (company, stage), (company, band) and (company, stage, band)
         self.undated: dict = defaultdict(list)  # sorted numbers, and so are all of a shelf
         self.every: dict = defaultdict(list)
+        self.shelved = False
 
     def _shelves(self, r: dict) -> list[tuple]:
         band = _band(r["amount"])
@@ -117,12 +121,19 @@ class OpenRounds:
 
     def add(self, r: dict) -> None:
         self.rows.append(r)
-        self._put(len(self.rows) - 1, False)
+        if self.shelved:
+            self._put(len(self.rows) - 1, False)
+        elif len(self.rows) > FEW:
+            self.shelved = True
+            for n in range(len(self.rows)):
+                self._put(n, False)
 
     def change(self, n: int, patch: dict) -> None:
-        self._put(n, True)
+        if self.shelved:
+            self._put(n, True)
         self.rows[n].update(patch)
-        self._put(n, False)
+        if self.shelved:
+            self._put(n, False)
 
     def _nearest(self, shelf: tuple, r: dict, reach: float) -> tuple | None:
         """(days, number) of the nearest dated match on a shelf; of equally near ones the first in order."""
@@ -140,6 +151,8 @@ class OpenRounds:
         return best
 
     def match(self, r: dict) -> int | None:
+        if not self.shelved:
+            return min(((inf if (gap := _gap(x["announced"], r["announced"])) is None else gap, n) for n, x in enumerate(self.rows) if x["company"] == r["company"] and same(x, r)), default=(inf, None))[1]
         company, stage, band = r["company"], r["round_type"], _band(r["amount"])
         near = [] if band is None else [band - 1, band, band + 1]
         if r["announced"] is not None:
@@ -188,9 +201,24 @@ def fold(rows: Iterator[dict]) -> Iterator[dict]:
         yield {"company": r["company"], "action": "insert", "seq": r["seq"], **{f: r[f] for f in FIELDS}}
 
 
+def _inserts(found: pa.RecordBatch) -> pa.RecordBatch:
+    """Found rounds as they are, each an insert."""
+    given = {"action": pa.array(["insert"] * found.num_rows, pa.string())} | {f.name: found.column(f.name) for f in _OUT if f.name in ("company", "seq", *FIELDS)}
+    return pa.RecordBatch.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(found.num_rows, f.type) for f in _OUT], schema=_OUT)
+
+
 def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone: list[pa.RecordBatch] = []
+
     def each() -> Iterator[dict]:
         for batch in batches:
+            # a component of one row has nothing to meet; those at the edges of a batch may go on in the next
+            place = batch.column("component").to_numpy()
+            single = np.zeros(len(place), bool)
+            single[1:-1] = (place[1:-1] != place[:-2]) & (place[1:-1] != place[2:])
+            if single.any():
+                alone.append(_inserts(batch.filter(pa.array(single & batch.column("seq").is_valid().to_numpy(zero_copy_only=False)))))
+                batch = batch.filter(pa.array(~single))
             for start in range(0, batch.num_rows, 1024):
                 yield from batch.slice(start, 1024).to_pylist()
 
@@ -211,17 +239,19 @@ def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(out) == 2048:
                 yield pa.RecordBatch.from_pylist(out, schema=_OUT)
                 out = []
+        while alone:
+            yield alone.pop()
         held = after[0]
+    yield from alone
     if out:
         yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
 
-def _stretches(rows: DataFrame, keys: list[str], value: str, apart: int, name: str) -> DataFrame:
+def _stretches(few: DataFrame, keys: list[str], value: str, apart: int, name: str) -> DataFrame:
     """Number of the stretch that each distinct ``value`` of a key is in; a stretch ends where the next is more than ``apart`` away.
 
     The windows run over distinct values: days of a stage, or bands of amounts.
     """
-    few = rows.where(F.col(value).isNotNull()).select(*keys, value).distinct()
     ordered = W.partitionBy(*keys).orderBy(value)
     starts = F.when(F.col(value) - F.lag(value).over(ordered) > apart, 1).otherwise(0)
     return few.withColumn("_starts", starts).withColumn(name, F.sum("_starts").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_starts")
@@ -240,17 +270,19 @@ def _joined_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return x
 
     for batch in batches:
-        done: list[tuple[int, int]] = []
-        for firm, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        blocks, groups = [], []
+        for firm, a, b in zip(*(c.to_numpy().tolist() for c in batch.columns), strict=True):
             if firm != now:
-                done += [(x, top(x)) for x in up]
+                blocks += up
+                groups += map(top, up)
                 up.clear()
                 now = firm
-            up.setdefault(a, a)
-            up.setdefault(b, b)
-            x, y = top(a), top(b)
-            up[max(x, y)] = min(x, y)
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in (0, 1)], names=names)
+            x, y = top(up.setdefault(a, a)), top(up.setdefault(b, b))
+            if x < y:
+                up[y] = x
+            else:
+                up[x] = y
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (blocks, groups)], names=names)
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (list(up), list(map(top, up)))], names=names)
 
 
@@ -267,17 +299,19 @@ def _components(rows: DataFrame) -> DataFrame:
     day = F.datediff("announced", F.lit("1970-01-01").cast("date"))
     shared_checkpoints(rows.sparkSession.sparkContext)
     rows = rows.withColumn("_firm", F.xxhash64("company")).withColumn("_band", band).withColumn("_day", day)
-    whole = rows.groupBy("_firm", "round_type").agg(F.max(named & F.col("_day").isNull()).alias("_whole"))
-    days, bands = _stretches(rows, ["_firm", "round_type"], "_day", FAR + SOON, "_t"), _stretches(rows, ["_firm"], "_band", 1, "_a")
-    placed = rows.join(whole, ["_firm", "round_type"]).join(days, ["_firm", "round_type", "_day"], "left").join(bands, ["_firm", "_band"], "left")
-    by_stage = F.when(F.col("_whole"), F.xxhash64("_firm", "round_type", F.lit("whole"))).when(F.col("_t").isNotNull(), F.xxhash64("_firm", "round_type", "_t"))
-    by_amount = F.when(F.col("_a").isNotNull(), F.xxhash64("_firm", F.lit("amount"), "_a"))
-    placed = placed.withColumn("_by_stage", by_stage).withColumn("_by_amount", by_amount)
+    # an undated round is a value of its stage, too, so that one join tells all of a row's stage
+    days = _stretches(rows.select("_firm", "round_type", "_day").distinct(), ["_firm", "round_type"], "_day", FAR + SOON, "_t")
+    days = days.withColumn("_whole", F.max(named & F.col("_day").isNull()).over(W.partitionBy("_firm", "round_type")))
+    by_stage = F.when(F.col("_whole"), F.xxhash64("_firm", "round_type", F.lit("whole"))).when(F.col("_day").isNotNull(), F.xxhash64("_firm", "round_type", "_t"))
+    days = days.select(F.col("_firm").alias("_f"), F.col("round_type").alias("_r"), F.col("_day").alias("_d"), by_stage.alias("_by_stage"))
+    bands = _stretches(rows.where("_band IS NOT NULL").select("_firm", "_band").distinct(), ["_firm"], "_band", 1, "_a").select("_firm", "_band", F.xxhash64("_firm", F.lit("amount"), "_a").alias("_by_amount"))
+    met = (F.col("_firm") == F.col("_f")) & F.col("round_type").eqNullSafe(F.col("_r")) & F.col("_day").eqNullSafe(F.col("_d"))
+    placed = rows.join(days.hint("merge"), met).drop("_f", "_r", "_d").join(bands.hint("merge"), ["_firm", "_band"], "left")
     placed = placed.checkpoint()
     pairs = placed.where("_by_stage IS NOT NULL AND _by_amount IS NOT NULL").select("_firm", "_by_stage", "_by_amount").distinct()
     joined = pairs.repartition("_firm").sortWithinPartitions("_firm").mapInArrow(_joined_blocks, "_block long, _group long")
     alone = F.xxhash64("_firm", "id", "seq", F.lit("alone"))
-    placed = placed.withColumn("_block", F.coalesce("_by_stage", "_by_amount", alone)).join(joined, "_block", "left")
+    placed = placed.withColumn("_block", F.coalesce("_by_stage", "_by_amount", alone)).join(joined.hint("merge"), "_block", "left")
     return placed.withColumn("component", F.coalesce("_group", "_block"))
 
 
@@ -298,7 +332,9 @@ def plan_round_writes(on_file: DataFrame, found: DataFrame) -> DataFrame:
     empty fields; rounds without a company are one company's.  Repeated rows on
     file each stand for a round.  Empty tables give an empty plan.
     """
-    rows = _given(on_file, F.col("id").cast("long"), False).unionByName(_given(found, F.col("seq").cast("long"), True).where("round_type <> 'IPO'"))
+    shared_checkpoints(found.sparkSession.sparkContext)
+    given = _given(on_file, F.col("id").cast("long"), False).withColumn("_found", F.lit(False)).unionByName(_given(found, F.col("seq").cast("long"), True).withColumn("_found", F.lit(True)))
+    rows = given.checkpoint().where("NOT _found OR round_type <> 'IPO'").drop("_found")  # labels are read once
     placed = _components(rows).select("component", "company", "id", "seq", *FIELDS)
     dealt = placed.repartition("component").sortWithinPartitions("component", F.col("seq").asc_nulls_first(), "id")
     return dealt.mapInArrow(_plan, OUT)

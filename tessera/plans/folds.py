@@ -27,7 +27,7 @@ def order_rounds(orders):
 @query()
 def round_writes(spark, sf_dir):
     """Plan of writes when finished orders are the rounds on file and all others arrive in order of their keys."""
-    given = order_rounds(table(spark, sf_dir, "orders"))
+    given = order_rounds(dealt(table(spark, sf_dir, "orders")))
     finished = F.col("o_orderstatus") == "F"
     on_file, found = given.where(finished).withColumnRenamed("o_orderkey", "id"), given.where(~finished).withColumnRenamed("o_orderkey", "seq")
     plan = writeplan.plan_round_writes(on_file, found)

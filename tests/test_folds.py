@@ -99,6 +99,55 @@ def test_round_writes(spark):
     assert got == want
 
 
+def test_rounds_are_read_once(spark):
+    """Stretches, bands and rounds come from one reading of what was given."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(day):
+        read.add(1)
+        return day
+
+    rng = random.Random(5)
+    rows = [tuple(drawn(rng, i % 30, i, "seq", 2000).values()) for i in range(200)]
+    found = spark.createDataFrame(rows, f"company long, seq long, {ROUND}").withColumn("announced", F.udf(counted, "date")("announced"))
+    writeplan.plan_round_writes(spark.createDataFrame([], f"company long, id long, {ROUND}"), found).collect()
+    assert read.value == 200
+
+
+def test_lone_rounds_and_edges_of_batches(spark):
+    """Components of one row go on as they are, also where a batch begins or ends; components over two batches are folded whole."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    sizes = [rng.choice([1, 1, 1, 2, 3]) for _ in range(120)]
+    rows = [{"component": c, "id": None, **drawn(rng, 1, 10 * c + i, "seq", 90)} for c, n in enumerate(sizes) for i in range(n)]
+    rows = [r | ({"id": r["seq"], "seq": None} if r["component"] % 5 == 0 else {}) for r in rows]
+    fields = [pa.field("component", pa.int64()), *[f for f in writeplan._OUT if f.name not in ("action", "message")]]
+    schema = pa.schema(fields)
+
+    def planned(step):
+        out = writeplan._plan(iter([pa.RecordBatch.from_pylist(rows[i : i + step], schema=schema) for i in range(0, len(rows), step)]))
+        return Counter(repr(r) for batch in out for r in batch.to_pylist())
+
+    want = Counter()
+    for c in range(len(sizes)):
+        want.update(repr({f.name: None for f in writeplan._OUT} | r) for r in writeplan.fold(iter([dict(r) for r in rows if r["component"] == c])))
+    assert all(planned(step) == want for step in (1, 2, 3, 7, 1000))
+    assert list(writeplan._plan(iter([]))) == []
+
+
+def test_few_open_rounds_match_as_many_do(monkeypatch):
+    rng = random.Random(9)
+    for spread in (60, 400, 3000):
+        rows = [drawn(rng, 1, i, "seq", spread) for i in range(60)]
+        rows = [dict(r, id=r["seq"], seq=None) if i < 12 else dict(r, id=None) for i, r in enumerate(rows)]
+        plans = []
+        for few in (0, 8, 100):
+            monkeypatch.setattr(writeplan, "FEW", few)
+            plans.append(list(writeplan.fold(iter([dict(r) for r in rows]))))
+        assert plans[0] == plans[1] == plans[2]
+
+
 # news ---------------------------------------------------------------------------------------------------------------
 NEWS = "company string, seq long, title string, url string, published date, lead string"
 
