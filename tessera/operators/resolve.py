@@ -35,23 +35,44 @@ def survivors(groups: DataFrame, richness: DataFrame) -> DataFrame:
     return members.join(best, ["kind", "value"]).where(F.col("entity_id") != F.col("best.entity_id")).select("kind", "value", F.col("entity_id").alias("loser"), F.col("best.entity_id").alias("survivor"))
 
 
+#: Rows of a key that one task pairs with all rows of the key.
+PART_ROWS = 1024
+
+
+def _parts(rows: Column) -> Column:
+    return F.ceil(rows / F.lit(PART_ROWS)).cast("int")
+
+
+def _part(unique: Column) -> Column:
+    return F.pmod(F.xxhash64(unique), F.col("_parts")).cast("int")
+
+
+def _each_part() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+
+
 def same_key_pairs(df: DataFrame, key: str, unique: str, agree: Sequence[str] = (), *, within: int | None = None) -> DataFrame:
     """left_id < right_id of rows that share a key, with the number of agreeing columns and a score.
 
-    The score is 0.7 and 0.1 for each agreement, 1 at most.  Keys that many rows
-    share make many pairs; pass rows whose key is a name, not a category, or
-    ``within``: ids (numbers) must then be less than that apart, and rows meet only in
-    their own cell of so many ids and the one before.  The join merges: packed files
-    hold more rows than their size says, and aren't sent through the driver.
+    The score is 0.7 and 0.1 for each agreement, 1 at most.  All pairs of a key are
+    made, which is quadratic in its rows: these are dealt over tasks in parts of
+    PART_ROWS, and each part meets all rows of its key.  A caller that wants only pairs
+    whose ids (numbers) are near passes ``within``: they must then be less than that
+    apart, and rows meet only in their own cell of so many ids and the one before.  The
+    join merges: packed files hold more rows than their size says, and aren't sent
+    through the driver.
     """
     cols = [unique, *agree]
     a = df.select(key, *[F.col(c).alias(f"_a_{c}") for c in cols])
     b = df.select(key, *[F.col(c).alias(f"_b_{c}") for c in cols])
-    on = [key]
     if within is not None:
         on, cell = [key, "_cell"], lambda c: F.floor(F.col(c) / within)
         b = b.withColumn("_cell", cell(f"_b_{unique}"))
         a = a.withColumn("_cell", F.explode(F.array(cell(f"_a_{unique}"), cell(f"_a_{unique}") + 1)))
+    else:
+        on, parts = [key, "_part"], df.groupBy(key).agg(_parts(F.count("*")).alias("_parts")).where(F.col(key).isNotNull())
+        a = dealt(a.join(parts.hint("merge"), key).withColumn("_part", _part(F.col(f"_a_{unique}"))).drop("_parts"), *on)
+        b = dealt(b.join(parts.hint("merge"), key).withColumn("_part", _each_part()).drop("_parts"), *on)
     agreed = sum((F.when(F.col(f"_a_{c}") == F.col(f"_b_{c}"), 1).otherwise(0) for c in agree), F.lit(0))
     pairs = a.join(b.hint("merge"), on).where(F.col(f"_a_{unique}") < F.col(f"_b_{unique}"))
     if within is not None:
@@ -122,10 +143,27 @@ def similar_names(df: DataFrame, name: str, unique: str, *, least: float = NAME_
     return scored.where(F.col("likeness") >= least).select("left_id", "right_id", F.round("likeness", 3).alias("likeness"))
 
 
-def undecided(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Pairs that no reviewer has decided, in either order."""
-    d = decisions.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")).distinct()
-    return pairs.join(d.hint("merge"), ["left_id", "right_id"], "left_anti")
+def undecided_pairs(df: DataFrame, key: str, unique: str, decisions: DataFrame) -> DataFrame:
+    """left_id < right_id of rows that share a key, without those that a reviewer has decided, in either order.
+
+    All pairs of a key are made, which is quadratic in its rows, but none of them is
+    shuffled: a key's ids are one sorted array, and each row, which carries the ids
+    that it is decided with, gives those after it in the array less its own.  A key's
+    rows are dealt over tasks in parts of PART_ROWS, which each get the array.  Ids that
+    stand several times in a key make as many pairs, and have an array to themselves.
+    """
+    kind = f"array<{df.schema[unique].dataType.simpleString()}>"
+    none, lo, hi = F.array().cast(kind), F.least("left_id", "right_id"), F.greatest("left_id", "right_id")
+    decided = decisions.select(lo.alias("_id"), hi.alias("_hi")).groupBy("_id").agg(F.collect_list("_hi").cast(kind).alias("_decided"))
+    counted = df.where(F.col(key).isNotNull() & F.col(unique).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(unique).alias("_id")).agg(F.count("*").cast("int").alias("_n"))
+    once, again = F.when(F.col("_n") == 1, F.col("_id")), F.when(F.col("_n") > 1, F.array_repeat("_id", F.col("_n")))
+    keys = counted.groupBy("_key").agg(F.sort_array(F.collect_list(once)).alias("_once"), F.flatten(F.collect_list(again)).alias("_again"), _parts(F.sum("_n")).alias("_parts"))
+    left = keys.select("_key", "_parts", F.explode(F.concat("_once", "_again")).alias("_id")).join(decided.hint("merge"), "_id", "left")
+    left = dealt(left.select("_key", _part(F.col("_id")).alias("_part"), "_id", F.coalesce("_decided", none).alias("_decided")), "_key", "_part")
+    held = keys.select("_key", "_once", "_again", _each_part().alias("_part"))
+    after = F.slice("_once", F.array_position("_once", F.col("_id")).cast("int") + 1, F.size("_once"))
+    rest = F.concat(F.array_except(after, F.col("_decided")), F.filter("_again", lambda x: ~F.array_contains("_decided", x)))
+    return left.join(held.hint("merge"), ["_key", "_part"]).select(F.col("_id").alias("left_id"), F.explode(rest).alias("right_id")).where("left_id < right_id")
 
 
 def shared_checkpoints(context) -> None:

@@ -815,16 +815,16 @@ def tier1_survivors(spark, sf_dir):
 
 @query(
     """
-    WITH p AS (SELECT a.c_custkey AS l, b.c_custkey AS r FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey AND b.c_custkey - a.c_custkey < 100)
+    WITH p AS (SELECT a.c_custkey AS l, b.c_custkey AS r FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey)
     SELECT l AS left_id, r AS right_id FROM p WHERE (l + r) % 4 <> 0
     """
 )
 def undecided_pairs(spark, sf_dir):
-    """Candidate pairs that no reviewer has decided, in either order."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("key"))
-    pairs = resolve.same_key_pairs(c, "key", "c_custkey", within=100).select("left_id", "right_id")
+    """Candidate pairs that no reviewer has decided, in either order; all pairs of a key are candidates."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), "c_mktsegment").alias("key"))
+    pairs = resolve.same_key_pairs(c, "key", "c_custkey")
     decided = pairs.where((F.col("left_id") + F.col("right_id")) % 4 == 0).select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))
-    return resolve.undecided(pairs, decided)
+    return resolve.undecided_pairs(c, "key", "c_custkey", decided)
 
 
 @query(

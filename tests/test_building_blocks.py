@@ -137,3 +137,20 @@ def test_pairs_near_in_id_meet_in_cells(spark):
     many = same_key_pairs(spark.range(20_000).selectExpr("'k' AS key", "id"), "key", "id", within=100)
     assert many.count() == sum(min(99, 19_999 - i) for i in range(20_000))
     assert "_cell" in many._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_pairs_of_a_key_are_candidates(spark, monkeypatch):
+    """However far their ids are apart, in parts of a key, with ids that stand twice, without a key or decided in either order."""
+    from tessera.operators import resolve
+    from tessera.plans.catalog import load
+
+    monkeypatch.setattr(resolve, "PART_ROWS", 7)
+    rows = [(f"k{i % 3}", i * 1000 % 7919) for i in range(60)] + [("k0", 5_000_000), ("k0", 5_000_000), ("k1", -4), ("k1", -4), ("k1", -4), (None, 1), (None, 2), ("k2", None), ("alone", 9)]
+    df = spark.createDataFrame(rows, "key string, id long")
+    every = sorted((a, b) for i, (k, a) in enumerate(rows) for j, (m, b) in enumerate(rows) if k is not None and k == m and a is not None and b is not None and a < b)
+    assert sorted((r.left_id, r.right_id) for r in resolve.same_key_pairs(df, "key", "id").collect()) == every
+    gone = {p for p in every if sum(p) % 4 == 0}
+    decisions = spark.createDataFrame([p if sum(p) % 8 == 0 else p[::-1] for p in gone] + [(1, 2), (8, 8)], "left_id long, right_id long")
+    left = resolve.undecided_pairs(df, "key", "id", decisions)
+    assert gone and sorted((r.left_id, r.right_id) for r in left.collect()) == [p for p in every if p not in gone]
+    assert load()[0]["undecided_pairs"](spark, "/root/testdata/sf0.001").where("right_id - left_id >= 100").count() > 0
