@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from re import _constants as sre
+from re import _parser as sre_parse
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -138,6 +141,91 @@ def every_label(text: Column, rules: Rules) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(f"(?i){pattern}"), label) for pattern, label in rules]), lambda x: x.isNotNull())
 
 
+#: Most spellings of a pattern that are written out.
+MOST_SPELLINGS = 64
+
+
+def _bare(c: str) -> str:
+    return c.lower() if re.fullmatch("[A-Za-z0-9_]", c) else " "
+
+
+def needed_words(pattern: str) -> list[list[str]]:
+    """Lists of words, lower-cased runs of ``[A-Za-z0-9_]``: a text that the pattern fits has all words of one of these, whole; [[]] if it needs none.
+
+    Spellings are written out with one blank for each run of other characters.  What
+    can't be written out (any word) parts them, and the part with the longest words counts.
+    """
+
+    def spelled(kind, x) -> set[str] | None:
+        """Every spelling of a piece, or None where they can't be written out."""
+        if kind is sre.LITERAL:
+            return {_bare(chr(x))}
+        if kind is sre.AT:
+            return {" "} if x in (sre.AT_BOUNDARY, sre.AT_END, sre.AT_BEGINNING) else None  # one side of a boundary is no word's
+        if kind in (sre.ASSERT, sre.ASSERT_NOT):
+            return {""}
+        if kind is sre.IN:
+            return {" " if (k, c) == (sre.CATEGORY, sre.CATEGORY_SPACE) else _bare(chr(c)) for k, c in x} if all(k is sre.LITERAL or (k, c) == (sre.CATEGORY, sre.CATEGORY_SPACE) for k, c in x) else None
+        if kind is sre.BRANCH:
+            each = [joined(part) for part in x[1]]
+            return None if None in each else set().union(*each)
+        if kind is sre.SUBPATTERN:
+            return joined(x[-1])
+        if kind in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            least, most, part = x
+            each = joined(part)
+            return None if each is None or most > 1 and not each <= {" "} else each if least else each | {""}
+        return None
+
+    def joined(parts) -> set[str] | None:
+        run = {""}
+        for kind, x in parts:
+            each = spelled(kind, x)
+            run = None if each is None else {re.sub(" +", " ", a + b) for a in run for b in each}
+            if run is None or len(run) > MOST_SPELLINGS:
+                return None
+        return run
+
+    def whole(run: set[str]) -> set[tuple[str, ...]]:
+        return {tuple(sorted(set(re.findall(r"(?<= )[a-z0-9_]+(?= )", x)))) for x in run}
+
+    def needed(parts) -> set[tuple[str, ...]]:
+        parts, run, found = list(parts), {""}, []
+        for i, (kind, x) in enumerate(parts):
+            each = spelled(kind, x)
+            if each is None and kind is sre.SUBPATTERN:
+                return needed([*parts[:i], *x[-1], *parts[i + 1 :]])
+            if each is None and kind is sre.BRANCH:
+                return set().union(*[needed([*parts[:i], *part, *parts[i + 1 :]]) for part in x[1]])
+            longer = None if each is None else {re.sub(" +", " ", a + b) for a in run for b in each}
+            if longer is None or len(longer) > MOST_SPELLINGS:
+                found, longer = [*found, run], each or {""}
+            run = longer
+        return max(map(whole, [*found, run]), key=lambda words: min(max(map(len, w), default=0) for w in words))
+
+    words = needed(sre_parse.parse(pattern))
+    return sorted(list(w) for w in words if not any(v != w and set(v) <= set(w) for v in words))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def held_words(text: Column, *rules: Rules) -> Column:
+    """The distinct words of a text that the rules need."""
+    known = sorted({w for ladder in rules for pattern, _ in ladder for words in needed_words(pattern) for w in words})
+    return F.array_intersect(F.transform(F.split(text, "[^A-Za-z0-9_]+"), lambda w: F.lower(w)), F.array(*map(F.lit, known)))
+
+
+def _fits(text: Column, held: Column, pattern: str) -> Column:
+    """Whether a text holds the pattern, whatever the case; it is matched only where the text has the words that it needs."""
+    fits, each = text.rlike(f"(?i){pattern}"), needed_words(pattern)
+    if [] in each:
+        return fits
+    return reduce(Column.__or__, [reduce(Column.__and__, [F.array_contains(held, F.lit(w)) for w in words]) for words in each]) & fits
+
+
 def sector(industry: Column) -> Column:
     blank = industry.isNull() | (F.trim(industry) == "")
     return F.when(blank, "Uncategorized").otherwise(first_label(industry, SECTOR_RULES, "Uncategorized"))
@@ -172,19 +260,27 @@ def title_signals(title: Column) -> Column:
     """Array of (signal_type, signal_value): one seniority, all technologies, keywords.
 
     Where a title names a function of a grown organisation, its keywords of young
-    companies are dropped; seniority is never dropped.
+    companies are dropped; seniority is never dropped.  Whole texts come here too: a
+    rule is matched only where the text has the words that it needs.
     """
 
     def tagged(kind: str, labels: Column) -> Column:
         return F.transform(labels, lambda v: F.struct(F.lit(kind).alias("signal_type"), v.alias("signal_value")))
 
+    def read(x: Column) -> Column:
+        text, held = x["text"], x["held"]
+
+        def labels(rules: Rules) -> Column:
+            return F.filter(F.array(*[F.when(_fits(text, held, pattern), label) for pattern, label in rules]), lambda v: v.isNotNull())
+
+        level = F.coalesce(*[F.when(_fits(text, held, pattern), label) for pattern, label in SENIORITY])
+        levels = F.filter(F.array(level), lambda v: v.isNotNull())
+        early = lambda grown: F.when(F.size(grown) > 0, F.array().cast("array<string>")).otherwise(labels(EARLY_WORDS))
+        words = _let(labels(GROWN_WORDS), lambda grown: F.concat(early(grown), labels(NEUTRAL_WORDS), grown))
+        return F.concat(tagged("seniority", levels), tagged("tech_stack", labels(TECHNOLOGY)), tagged("keyword", words))
+
     text = F.trim(F.coalesce(title, F.lit("")))
-    level = first_label(text, SENIORITY)
-    levels = F.filter(F.array(level), lambda x: x.isNotNull())
-    grown = every_label(text, GROWN_WORDS)
-    early = F.when(F.size(grown) > 0, F.array().cast("array<string>")).otherwise(every_label(text, EARLY_WORDS))
-    words = F.concat(early, every_label(text, NEUTRAL_WORDS), grown)
-    return F.concat(tagged("seniority", levels), tagged("tech_stack", every_label(text, TECHNOLOGY)), tagged("keyword", words))
+    return _let(F.struct(text.alias("text"), held_words(text, SENIORITY, TECHNOLOGY, EARLY_WORDS, GROWN_WORDS, NEUTRAL_WORDS).alias("held")), read)
 
 
 def reasons(*pairs: tuple[Column, str | Column]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 MONTHS = "january february march april may june july august september october november december".split()
 _MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + ")"
 FULL_DATE = rf"(?i)\b{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b"
+DAY_YEAR = r"(?i)\s\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}\b"  # what every full date holds
 MONTH_DATE = rf"(?i)\b{_MONTH},?\s+(\d{{4}})\b"
 
 
@@ -18,9 +19,14 @@ def _month_number(name: Column) -> Column:
 
 def full_date_in(text: Column) -> Column:
     """First full date written in a text (``October 15, 2024``), else null."""
-    month, day, year = (F.regexp_extract(text, FULL_DATE, i) for i in (1, 2, 3))
-    written = F.format_string("%s-%02d-%s", year, _month_number(month), F.lpad(day, 2, "0"))
-    return F.when(year != "", F.try_to_date(written, "yyyy-MM-dd"))
+
+    def read(found: Column) -> Column:
+        month, day, year = (F.regexp_extract(found, FULL_DATE, i) for i in (1, 2, 3))
+        written = F.format_string("%s-%02d-%s", year, _month_number(month), F.lpad(day, 2, "0"))
+        return F.when(year != "", F.try_to_date(written, "yyyy-MM-dd"))
+
+    first = F.when(text.rlike(DAY_YEAR), F.regexp_extract(text, FULL_DATE, 0))  # found once, then taken apart
+    return F.get(F.transform(F.array(first), read), F.lit(0))
 
 
 def date_precision(date: Column, quote: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Words that scale a number.
 SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9}
 # A figure with its scale.
-NUMBER = r"(?i)\$?\s?(\d[\d,]*\.?\d*)\s*(thousand|million|billion|mn|bn|k|m|b)?\b"
+FIGURE = r"(\d[\d,]*\.?\d*)\s*(thousand|million|billion|mn|bn|k|m|b)?\b"
+NUMBER = rf"(?i)\$?\s?{FIGURE}"
 
 
 def _scaled(digits: Column, word: Column) -> Column:
@@ -28,6 +29,11 @@ def numbers_in(text: Column) -> Column:
     return F.filter(F.zip_with(digits, words, _scaled), lambda x: x.isNotNull())
 
 
+def count_numbers(text: Column) -> Column:
+    """How many figures ``numbers_in`` finds: each has a value, and what may stand before its first digit takes none away."""
+    return F.size(F.regexp_extract_all(text, F.lit(f"(?i){FIGURE}"), F.lit(0)))
+
+
 def states_number(text: Column, value: Column) -> Column:
     """Whether a text states the value: within 0.01, or a thousandth of it."""
     return F.exists(numbers_in(text), lambda x: (F.abs(x - value) < 0.01) | ((value != 0) & (F.abs(x - value) / F.abs(value) < 0.001)))

@@ -20,6 +20,7 @@ ERRORS = (
 )
 # Words that a headline doesn't end in, and those after which a word in -ing isn't its end.
 DANGLING = "and or of to for the with".split()
+ENDING_BLANKS, END_CHARS = " \t\n\x0b\f\r\x85\u2028\u2029", 200
 FUNCTION_ENDS = "and or but of to for the an in on at by with from into as is are was were be been has have had will can that which its their this these than about after over under".split()
 AUXILIARIES = "is are was were be been being has have had will can could would should may might must now also still just already finally".split()
 # Words of a site's or a section's name.
@@ -220,7 +221,9 @@ def citations(text: Column) -> Column:
 
 def cut_headline(title: Column) -> Column:
     """Whether a headline looks cut off: it ends in a sign that something follows, or in a joining word."""
-    return title.rlike(rf"(?i)(?:[:;,–—-]|\.\.\.|…)\s*$|\b(?:{'|'.join(DANGLING)})\s*$")
+    stem = F.rtrim(title, F.lit(ENDING_BLANKS))
+    end = F.concat(F.right(stem, F.lit(END_CHARS)), F.substr(title, F.length(stem) + 1))  # no more of a long text counts
+    return end.rlike(rf"(?i)(?:[:;,–—-]|\.\.\.|…)\s*$|\b(?:{'|'.join(DANGLING)})\s*$")
 
 
 def incomplete_headline(title: Column, short: bool = True) -> Column:
